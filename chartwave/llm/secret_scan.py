@@ -92,6 +92,9 @@ def scan(
     )
     name = F.get(F.array(*[F.lit(k) for k in kinds]), F.col("ord"))
     live = F.col("owners") <= max_owners
+    # Written first, so that both sides of the join are plain and a value that very many
+    # documents hold can be split over tasks.
+    held = cut(held)
     judged = (
         spans.join(held, "hash")
         .where((F.col("ord") < len(base)) | live)
