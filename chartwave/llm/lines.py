@@ -164,7 +164,9 @@ def dedup_lines(
     """
     bounded_batches(docs.sparkSession)
     suspects = cut(suspected_lines(docs, min_chars, max_filter_bytes))
-    repeated = (
+    # Written first, so that both sides of the join below are plain and a line that very
+    # many documents hold can be split over tasks.
+    repeated = cut(
         suspects.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper"))
         .where((F.col("n") >= min_docs) & F.col("keeper").isNotNull())
         .select("key", "keeper")
