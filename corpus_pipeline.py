@@ -36,8 +36,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group stays, once; rows without an id cannot be named and stay."""
-    near = simhash.near_texts(docs)
+    """The smallest doc_id of each group of texts of five-word similarity 0.8 or more stays, once.
+
+    Rows without an id cannot be named and stay.
+    """
+    near = simhash.similar_texts(docs, words=5, similarity=0.8)
     kept = near.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     found = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))

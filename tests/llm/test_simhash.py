@@ -87,3 +87,49 @@ def test_dealt_runs_lose_no_link(spark, monkeypatch, run_rows):
 def test_fingerprint_hash_is_spark_xxhash64(spark):
     row = spark.range(1).select(F.xxhash64(F.lit("a b c")).alias("h")).first()
     assert row.h % 2**64 == simhash.fingerprint(b"a b c", 3)
+
+
+def shingle_set(text, k=5):
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
+
+
+@pytest.mark.parametrize("run_rows", [4096, 4])
+def test_similar_texts_against_exact_similarity(spark, monkeypatch, run_rows):
+    monkeypatch.setattr(simhash, "RUN_ROWS", run_rows)
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(3000)]
+    rows, sets = [], []
+    for i in range(60):
+        own = [words[j] for j in rng.integers(0, 3000, 300)]
+        rows.append((10 * i, " ".join(own)))
+        for c in range(1, 4):
+            changed = list(own)
+            for at in rng.choice(300, size=(0, 2, 4, 40)[c], replace=False):
+                changed[at] = "x" + str(rng.integers(10**9))
+            rows.append((10 * i + c, " ".join(changed)))
+    rows += [(5000, None), (5001, ""), (5002, "short"), (5003, "Short"), (None, rows[0][1])]
+    got = {r.doc_id: r.component_id for r in simhash.similar_texts(docs_of(spark, rows)).collect()}
+    sets = {i: shingle_set(t) for i, t in rows if i is not None}
+    assert set(got) == set(sets) and got[5001] == 5000 and got[5003] == 5002
+    near = far = found = wrong = 0
+    for i in range(0, 600, 10):
+        for c in range(1, 4):
+            j = len(sets[i] & sets[i + c]) / len(sets[i] | sets[i + c])
+            near, found = near + (j >= 0.85), found + (j >= 0.85 and got[i + c] == got[i])
+            far, wrong = far + (j < 0.7), wrong + (j < 0.7 and got[i + c] == got[i])
+        assert got[i] == i
+    assert near > 80 and far >= 60 and found >= 0.95 * near and wrong == 0
+    assert simhash.similar_texts(docs_of(spark, [])).count() == 0
+
+
+def test_sketch_estimates_similarity():
+    rng = np.random.default_rng(9)
+    for s in (0.5, 0.8, 0.95):
+        n = 400
+        shared = int(2 * n * s / (1 + s))
+        common = rng.integers(0, 2**63, shared).astype(np.uint64)
+        sides = [np.r_[common, rng.integers(0, 2**63, n - shared).astype(np.uint64)] for _ in range(2)]
+        a, b = (np.array([simhash.majority(simhash.mixed(x, k)) for k in range(64)], dtype=np.uint64) for x in sides)
+        share = np.bitwise_count(a ^ b).sum() / 4096
+        assert abs(share - simhash.differing_share(s)) < 0.02
