@@ -27,6 +27,10 @@ SEED = 42
 FANOUT = 8
 #: Fingerprints of one run searched in one task; longer runs are dealt out again.
 RUN_ROWS = 4096
+#: Fingerprints of a sketch that travel with the bands: 512 bits.
+KEPT = 8
+#: Shingle sets of one block in the exact comparison.
+SET_BYTES = 24 << 20
 
 
 def shingle_hashes(text: bytes | None, words: int) -> np.ndarray:
@@ -257,16 +261,15 @@ def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def sketch(text: bytes | None, words: int, parts: int) -> np.ndarray:
-    """`parts` SimHash fingerprints of the set of word shingles, by independent hashes."""
-    hashes = np.unique(shingle_hashes(text, words))
+def sketch(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """`parts` SimHash fingerprints of a set of shingle hashes, by independent hashes."""
     if not len(hashes):
         return np.zeros(parts, dtype="<u8")
     return np.array([majority(mixed(hashes, k)) for k in range(parts)], dtype="<u8")
 
 
 def differing_share(similarity: float) -> float:
-    """Expected share of differing bits of two equally large sets of that Jaccard similarity."""
+    """Expected share of differing bits of two sets of that Jaccard similarity, at most (equal sizes)."""
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
@@ -274,50 +277,150 @@ def sketch_plan(n_docs: int, similarity: float, recall: float) -> tuple[int, int
     """(bits of a band, bands, fingerprints): a pair at the threshold shares a band with the wanted probability."""
     bits = min(24, max(8, math.ceil(math.log2(n_docs / 64 + 1))))
     bands = math.ceil(math.log(1 - recall) / math.log(1 - (1 - differing_share(similarity)) ** bits))
-    return bits, bands, max(8, -(-bits * bands // 64))
+    return bits, bands, max(KEPT, -(-bits * bands // 64))
 
 
-def similar_run(ids: np.ndarray, sketches: np.ndarray, left: np.ndarray, same: bool, most: int, radius: int) -> tuple:
-    """Star links between the rows of one run whose sketches differ in `most` bits or fewer.
+def open_bits(width: int, similarity: float) -> int:
+    """Differing bits out of `width` that hardly any pair at the threshold exceeds."""
+    share = differing_share(similarity)
+    return min(width, math.ceil(width * share + 3.5 * math.sqrt(width * share * (1 - share))))
 
-    Candidates come from the Gray-order index over the first fingerprints, with a radius
-    that hardly any such pair exceeds.  Unless same, only pairs across left and the rest count.
-    """
-    order = np.argsort(gray_rank(sketches[:, 0]), kind="stable")
-    ids, sketches, left = ids[order], sketches[order], left[order]
-    index = GrayIndex(sketches[:, 0].copy())
-    parent = np.arange(len(ids))
 
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
+class Groups:
+    """Union-find over the rows of one run."""
+
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
         return i
 
-    for s in range(0, len(ids), 512):
-        a, b = index.search(sketches[s : s + 512, 0].copy(), radius)
+    def join(self, i: int, j: int) -> None:
+        i, j = self.root(i), self.root(j)
+        self.parent[max(i, j)] = min(i, j)
+
+    def stars(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        top = np.array([self.root(i) for i in range(len(ids))], dtype=np.int64)
+        hit = top != np.arange(len(ids))
+        return ids[hit], ids[top[hit]]
+
+
+def near_pairs(sketches: np.ndarray, left: np.ndarray, same: bool, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows, ordered by the Gray rank of the first fingerprint, that the sketches leave open.
+
+    Candidates come from the Gray-order index over the first fingerprints.  Unless same,
+    only pairs across left and the rest count.
+    """
+    first, most = open_bits(64, similarity), open_bits(64 * KEPT, similarity)
+    index = GrayIndex(sketches[:, 0].copy())
+    for s in range(0, len(sketches), 512):
+        a, b = index.search(sketches[s : s + 512, 0].copy(), first)
         a = a + s
         wanted = (b > a) if same else (left[a] & ~left[b])
         a, b = a[wanted], b[wanted]
         for t in range(0, len(a), 65536):
             x, y = a[t : t + 65536], b[t : t + 65536]
             near = np.bitwise_count(sketches[x] ^ sketches[y]).sum(axis=1, dtype=np.int64) <= most
-            for i, j in zip(x[near].tolist(), y[near].tolist()):
-                i, j = root(i), root(j)
-                if i != j:
-                    parent[max(i, j)] = min(i, j)
-    top = np.array([root(i) for i in range(len(ids))], dtype=np.int64)
-    hit = top != np.arange(len(ids))
-    return ids[hit], ids[top[hit]]
+            yield x[near], y[near]
+
+
+def open_run(ids: np.ndarray, sketches: np.ndarray, left: np.ndarray, same: bool, similarity: float) -> tuple:
+    """Star links that join the rows of one run that the sketches leave open."""
+    order = np.argsort(gray_rank(sketches[:, 0]), kind="stable")
+    ids, sketches, left = ids[order], sketches[order], left[order]
+    groups = Groups(len(ids))
+    for a, b in near_pairs(sketches, left, same, similarity):
+        for i, j in zip(a.tolist(), b.tolist()):
+            groups.join(i, j)
+    return groups.stars(ids)
+
+
+def exact_run(
+    ids: np.ndarray, sketches: np.ndarray, left: np.ndarray, same: bool, similarity: float, sets: list[np.ndarray]
+) -> tuple:
+    """Star links that join the rows of one run whose shingle sets are similar, computed exactly.
+
+    A pair that earlier links have joined already is not computed: links decide groups only.
+    """
+    order = np.argsort(gray_rank(sketches[:, 0]), kind="stable")
+    ids, sketches, left, sets = ids[order], sketches[order], left[order], [sets[i] for i in order]
+    sizes = np.array([len(x) for x in sets])
+    groups = Groups(len(ids))
+    for a, b in near_pairs(sketches, left, same, similarity):
+        fits = np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b]) - 1e-9
+        for i, j in zip(a[fits].tolist(), b[fits].tolist()):
+            if groups.root(i) != groups.root(j):
+                shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if shared >= similarity * (sizes[i] + sizes[j] - shared) - 1e-9:
+                    groups.join(i, j)
+    return groups.stars(ids)
+
+
+def run_links(rows: DataFrame, keys: list[str], with_sets: bool, similarity: float) -> DataFrame:
+    """Star links (src, dst) found in each run of rows (keys, lo, hi, part, node, digest, sketch and, to be exact, shingles).
+
+    Rows that repeat a node with the same text count once.
+    """
+    names = [*keys, "lo", "hi"]
+    n = len(names)
+    bounded_batches(rows.sparkSession)
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        last, text = None, None
+
+        def flush() -> pa.RecordBatch:
+            part, ids = (np.array([row[i] for row in held], dtype=np.int64) for i in (0, 1))
+            sketches = np.frombuffer(b"".join(row[2] for row in held), dtype="<u8").reshape(-1, KEPT)
+            same, left = last[-1] == last[-2], part == last[-2]
+            src, dst = [], []
+            if len(held) > 1 and with_sets:
+                src, dst = exact_run(ids, sketches, left, same, similarity, [np.frombuffer(row[3], dtype="<u8") for row in held])
+            elif len(held) > 1:
+                src, dst = open_run(ids, sketches, left, same, similarity)
+            return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for row in zip(*columns):
+                if row[:n] != last:
+                    if held:
+                        yield flush()
+                        held.clear()
+                    last, text = row[:n], None
+                if text != row[n + 1 : n + 3]:
+                    text = row[n + 1 : n + 3]
+                    held.append((row[n], row[n + 1], *row[n + 3 :]))
+        if held:
+            yield flush()
+
+    wanted = [*names, "part", "node", "digest", "sketch", *(["shingles"] if with_sets else [])]
+    dealt = rows.select(*wanted).repartition(*names).sortWithinPartitions(*names, "node", "digest")
+    return dealt.mapInArrow(link, "src long, dst long")
+
 
+def dealt_in_blocks(rows: DataFrame) -> DataFrame:
+    """Rows with a number of blocks `cuts`, once for each pair of blocks (lo, hi) that their own block `part` is in."""
+    return (
+        rows.withColumn("part", F.pmod(F.xxhash64("node", "digest"), F.col("cuts")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+        .withColumn("lo", F.least("part", "other"))
+        .withColumn("hi", F.greatest("part", "other"))
+    )
 
-def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.97) -> DataFrame:
+
+def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.99) -> DataFrame:
     """Links documents whose word shingle sets have at least the given Jaccard similarity.
 
-    The similarity is estimated from several SimHash fingerprints (512 bits or more, a
-    standard error of about 0.04 at 0.8).  Bands of their bits deal documents into runs;
-    a pair at the threshold shares a run with at least the given probability, and closer
-    pairs more surely.  In a run the Gray-order index proposes pairs.
+    Every link is confirmed on the exact sets (as 64-bit shingle hashes).  Candidates come
+    from several SimHash fingerprints: bands of their bits deal documents into runs, where
+    a pair at the threshold meets with at least the given probability and closer pairs more
+    surely.  In a run the Gray-order index proposes pairs, and 512 bits of the sketch leave
+    those open that are within 3.5 standard errors of the threshold.  Groups of open pairs
+    get their shingle sets and are compared exactly, large groups in blocks.
 
     Returns per input row with an id doc_id and component_id (the smallest doc_id
     reachable, itself included).  Rows without an id are left out.  Null texts and texts
@@ -327,65 +430,71 @@ def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, reca
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     narrow = narrow.where("doc_id IS NOT NULL")
     bits, bands, parts = sketch_plan(narrow.count(), similarity, recall)
-    share = differing_share(similarity)
-    most = math.floor(64 * parts * share)
-    radius = min(64, math.ceil(64 * share + 3.5 * math.sqrt(64 * share * (1 - share))))
 
     def work(batch: pa.RecordBatch):
-        rows = [sketch(t, words, parts) for t in utf8(batch.column(1))]
+        digests, sizes, rows = [], [], []
+        for text in utf8(batch.column(1)):
+            hashes = np.unique(shingle_hashes(text, words))
+            digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+            sizes.append(len(hashes))
+            rows.append(sketch(hashes, parts))
         if rows:
             flags = np.unpackbits(np.array(rows).view(np.uint8), axis=1, bitorder="little")
             keys = flags[:, : bits * bands].reshape(len(rows), bands, bits) @ (1 << np.arange(bits))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary()), pa.array(keys.tolist(), pa.list_(pa.int32()))],
-                names=["doc_id", "sketch", "bands"],
-            )
-
-    coded = cut(map_batches(narrow, work, "doc_id long, sketch binary, bands array<int>"))
-    classes = cut(coded.groupBy("sketch").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")))
-    dealt = classes.select("node", "sketch", F.posexplode("bands").alias("band", "key"))
+                [
+                    batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()),
+                    pa.array([r[:KEPT].tobytes() for r in rows], pa.binary()), pa.array(keys.tolist(), pa.list_(pa.int32())),
+                ],
+                names=["doc_id", "digest", "size", "sketch", "bands"],
+            )
+
+    coded = cut(map_batches(narrow, work, "doc_id long, digest binary, size long, sketch binary, bands array<int>"))
+    classes = cut(
+        coded.groupBy("digest").agg(
+            F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")
+        )
+    )
+    dealt = classes.select("node", "digest", "sketch", F.posexplode("bands").alias("band", "key"))
     hot = cut(
         dealt.groupBy("band", "key").count().where(F.col("count") > RUN_ROWS)
         .select("band", "key", F.ceil(F.col("count") / RUN_ROWS).cast("int").alias("cuts"))
     )
-    rows = (
-        dealt.join(hot, ["band", "key"], "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
-        .withColumn("part", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-        .select("band", "key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "node", "sketch")
-    )
-    names = ["band", "key", "lo", "hi"]
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        last = None
-
-        def flush() -> pa.RecordBatch:
-            ids, sketches, part = (np.concatenate(x) for x in zip(*held))
-            src, dst = similar_run(ids, sketches, part == last[2], last[2] == last[3], most, radius) if len(ids) > 1 else ([], [])
-            return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            run = np.stack([batch.column(i).to_numpy() for i in range(4)], axis=1)
-            part, ids = batch.column(4).to_numpy(), batch.column(5).to_numpy()
-            sketches = np.frombuffer(b"".join(batch.column(6).to_pylist()), dtype="<u8").reshape(-1, parts)
-            starts = np.r_[0, np.flatnonzero((run[1:] != run[:-1]).any(axis=1)) + 1]
-            for s, e in zip(starts, [*starts[1:], len(ids)]):
-                if last is not None and tuple(run[s]) != last:
-                    yield flush()
-                    held.clear()
-                last = tuple(run[s])
-                held.append((ids[s:e].copy(), sketches[s:e].copy(), part[s:e].copy()))
-        if held:
-            yield flush()
+    rows = dealt.join(hot, ["band", "key"], "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
+    candidates = components(run_links(dealt_in_blocks(rows), ["band", "key"], False, similarity))
+    found = confirmed(narrow, classes.drop("bands"), candidates, words, similarity)
 
-    found = cut(rows.repartition(*names).sortWithinPartitions(*names).mapInArrow(link, "src long, dst long"))
-    # Copies share a sketch, and a repeated id may hold several.
-    same = coded.select("doc_id", "sketch").distinct().join(classes.select("sketch", "node"), "sketch")
+    # Copies share a digest, and a repeated id may hold several.
+    same = coded.select("doc_id", "digest").distinct().join(classes.select("digest", "node"), "digest")
     same = same.where("doc_id <> node").select(F.col("doc_id").alias("src"), F.col("node").alias("dst"))
     parts_of = components(found.union(same))
     return coded.select("doc_id").join(parts_of.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", F.coalesce("component", "doc_id").alias("component_id")
     )
+
+
+def confirmed(texts: DataFrame, classes: DataFrame, candidates: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Exact star links (src, dst) inside the groups (node, component) of candidates.
+
+    Only texts in such a group are read again.  A group whose shingle sets take over
+    SET_BYTES is compared by pairs of blocks.
+    """
+    members = cut(classes.join(candidates, "node"))
+    cuts = members.groupBy("component").agg(F.ceil(F.sum("size") * 8 / SET_BYTES).cast("int").alias("cuts"))
+    members = cut(members.join(cuts.withColumn("cuts", F.greatest("cuts", F.lit(1))), "component").drop("size"))
+
+    def work(batch: pa.RecordBatch):
+        keep, sets = [], []
+        for i, (text, digest) in enumerate(zip(utf8(batch.column(0)), batch.column(1).to_pylist())):
+            hashes = np.unique(shingle_hashes(text, words))
+            if xxhash.xxh3_128_digest(hashes.tobytes()) == digest:
+                keep.append(i)
+                sets.append(hashes.tobytes())
+        kept = batch.take(pa.array(keep, pa.int64()))
+        yield pa.RecordBatch.from_arrays(
+            [*kept.columns[1:], pa.array(sets, pa.binary())], names=[*kept.schema.names[1:], "shingles"]
+        )
+
+    joined = texts.join(members, texts["doc_id"] == members["node"]).select("text", "digest", "sketch", "node", "component", "cuts")
+    rows = map_batches(joined, work, "digest binary, sketch binary, node long, component long, cuts int, shingles binary")
+    return cut(run_links(dealt_in_blocks(rows), ["component"], True, similarity))
