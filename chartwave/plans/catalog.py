@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import chart, kernels
-from ..operators import filters, jobs, matching, raster, sequence, shapes, stats
+from ..operators import edges, filters, jobs, matching, raster, sequence, shapes, stats
 from ..sources import adapters as src
 from .oracles import ORACLES as ORACLES
 
@@ -424,3 +424,40 @@ def component_areas(spark, d):
 def hough_votes(spark, d):
     votes = filters.hough_votes(src.raster(spark, d).where("gray >= 200"))
     return votes.groupBy("image_id").agg(F.max_by(F.struct("theta", "rho", "votes"), F.struct("votes", -F.col("theta"), -F.col("rho"))).alias("b")).select("image_id", "b.*")
+
+
+@query
+def local_contrast(spark, d):
+    return edges.local_contrast(src.raster(spark, d), 8, 8, 2.0, 2)
+
+
+@query
+def edge_pixels(spark, d):
+    return edges.edges(src.raster(spark, d), 8, 8, 200, 500)
+
+
+@query
+def median_blur(spark, d):
+    return longs(edges.median_blur(src.raster(spark, d), 5, 8, 8), "y", "x", "gray")
+
+
+@query
+def background_removed(spark, d):
+    r = src.raster(spark, d)
+    return raster.minmax(edges.without_background(r, filters.blur(r, 5, 8, 8), edges.median_blur(r, 5, 8, 8)))
+
+
+@query
+def skeleton(spark, d):
+    return edges.skeleton(src.raster(spark, d).where("gray >= 100"))
+
+
+@query
+def mask_outlines(spark, d):
+    return edges.outlines(src.raster(spark, d).where("gray >= 160"))
+
+
+@query
+def simplified_outline(spark, d):
+    shapes_ = edges.outlines(src.raster(spark, d).where("gray >= 100"))
+    return shapes_.select("image_id", "label", edges.simplified_outline(F.col("hull"), 0.05).alias("corners"))
