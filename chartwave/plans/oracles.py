@@ -171,6 +171,9 @@ h AS (SELECT image_id, sqrt(avg(d * d)) AS e, avg(d) AS m, max(d) AS x FROM f GR
 SELECT h.image_id, round(e, 5) AS pixel_rmse, round(m, 5) AS mean_distance, round(h.x, 5) AS max_deviation, round(greatest(h.x, k.x), 5) AS hausdorff FROM h JOIN k USING (image_id)""",
     "minmax_normalize": f"""WITH {RASTER}, m AS (SELECT image_id, y, x, gray % 97 AS g, min(gray % 97) OVER (PARTITION BY image_id) AS lo, max(gray % 97) OVER (PARTITION BY image_id) AS hi FROM r),
 k AS (SELECT image_id, y, x, coalesce(CAST(floor((g - lo) * 255 / nullif(hi - lo, 0)) AS BIGINT), 0) AS g FROM m) SELECT image_id, CAST(sum(g) AS BIGINT) AS total, CAST(sum(g * (y * 8 + x)) AS BIGINT) AS moment FROM k GROUP BY 1""",
+    "median_blur": f"""WITH {RASTER}, s AS (SELECT unnest(range(-2, 3)) AS d), t AS (SELECT r.image_id, r.y, r.x, q.gray FROM r CROSS JOIN s AS a CROSS JOIN s AS b
+JOIN r AS q ON q.image_id = r.image_id AND q.y = greatest(0, least(7, r.y + a.d)) AND q.x = greatest(0, least(7, r.x + b.d)))
+SELECT image_id, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, CAST(median(gray) AS BIGINT) AS gray FROM t GROUP BY ALL""",
     "rotate_crop": f"WITH {RASTER}, t AS (SELECT image_id, x AS y, 7 - y AS x, gray FROM r) SELECT image_id, y - 2 AS y, x - 1 AS x, gray FROM t WHERE x BETWEEN 1 AND 5 AND y BETWEEN 2 AND 6",
     "order_points": f"WITH {QUADS} SELECT shape_id, CAST(tl.i AS BIGINT) AS tl, CAST(tr.i AS BIGINT) AS tr, CAST(br.i AS BIGINT) AS br, CAST(bl.i AS BIGINT) AS bl, round({DEV}, 4) + 0.0 AS angle_dev FROM o",
     "corner_score": f"""WITH {QUADS}, k AS (SELECT shape_id, {DEV} AS dev, {AREA} / 6600 AS area, {_spread('x')} / 60 AS sx, {_spread('y')} / 110 AS sy, {_BORDER} AS bd FROM o)

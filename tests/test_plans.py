@@ -50,7 +50,7 @@ def test_registry_and_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= names and len(names) > 50
 
 
-@pytest.mark.parametrize("name", ["dtw_distance", "sinc_resample", "peak_positions", "grid_period", "adaptive_threshold", "resize_bicubic", "component_areas", "hough_votes"])
+@pytest.mark.parametrize("name", ["dtw_distance", "sinc_resample", "peak_positions", "grid_period", "adaptive_threshold", "resize_bicubic", "component_areas", "hough_votes", "local_contrast", "edge_pixels", "background_removed", "skeleton", "mask_outlines", "simplified_outline"])
 def test_queries_without_sql_run(spark, name):
     assert __spark_entry__.queries()[name](spark, SF).count() > 0
 
