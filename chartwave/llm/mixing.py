@@ -1,12 +1,12 @@
 """Mixing sources to target weights by Pfair scheduling, in SQL functions only.
 
 Each source's documents are put in a random but fixed order and cut into blocks.
-With weight w the k-th block of a source is released at slot floor(k / w) and due
-by slot ceil((k + 1) / w); taking in each slot the released block that is due
-first keeps every source within less than one block of its share.  Weights are
-rounded to whole shares of a period, so one period's schedule is computed once (its
-size depends on the number of sources only) and repeated.  When a source runs
-out, the others go on with their weights raised in proportion.
+In the ideal order every source advances steadily at its weight, and when one runs
+out the others go on with their weights raised in proportion.  There the k-th block
+of a source starts and ends at exact times: it is released at the slot in which it
+starts and due by the slot in which it ends.  Taking in each slot the released block
+that is due first keeps every source within less than one block of its ideal share,
+from the first slot to the last.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 import heapq
 import json
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,49 +36,64 @@ def whole_shares(weights: dict[str, float], period: int) -> dict[str, int]:
     return shares
 
 
-def edf_period(shares: dict[str, int], period: int) -> dict[str, list[int]]:
-    """Slots of each source's blocks in one period, earliest deadline first among the released."""
-    waiting = sorted((k * period // a, -(-(k + 1) * period // a), s, k) for s, a in shares.items() for k in range(a))
-    slots: dict[str, list[int]] = {s: [] for s in shares}
-    ready: list[tuple[int, str, int]] = []
+def schedule(blocks: dict[str, int], weights: dict[str, float]) -> dict[str, np.ndarray]:
+    """Slots of each source's blocks in the whole order, earliest deadline first among the released.
+
+    The weights are taken as they are.  Times within 1e-6 of a slot's edge count as on it.
+    """
+    names = sorted(blocks)
+    n = np.array([blocks[s] for s in names], dtype=np.int64)
+    w = np.array([weights[s] for s in names], dtype=np.float64)
+    total = int(n.sum())
+    if not total:
+        return {s: np.zeros(0, dtype=np.int64) for s in names}
+    # At progress v a source has placed min(n, w * v) blocks; all of them together give the slot.
+    end = n / w
+    by_end = np.argsort(end, kind="stable")
+    rest = np.r_[np.cumsum(w[by_end][::-1])[::-1][1:], 0.0]
+    slot_at = np.r_[0.0, np.cumsum(n[by_end]) + end[by_end] * rest]
+    progress, last = np.r_[0.0, end[by_end]], np.r_[np.diff(end[by_end]) > 0, True]
+    keep = np.r_[True, last]
+    source = np.repeat(np.arange(len(n)), n)
+    k = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
+
+    def slot_of(at: np.ndarray) -> np.ndarray:
+        slots = np.interp(at / w[source], progress[keep], slot_at[keep])
+        near = np.rint(slots)
+        return np.where(np.abs(slots - near) < 1e-6, near, slots)
+
+    release, due = np.floor(slot_of(k)).astype(np.int64), np.ceil(slot_of(k + 1)).astype(np.int64)
+    order = np.argsort(release, kind="stable")
+    release, keys = release[order].tolist(), (due * len(n) + source)[order].tolist()
+    taken = np.zeros(total, dtype=np.int64)
+    ready: list[int] = []
     at = 0
-    for slot in range(period):
-        while at < len(waiting) and waiting[at][0] <= slot:
-            _, due, s, k = waiting[at]
-            heapq.heappush(ready, (due, s, k))
+    for slot in range(total):
+        while at < total and release[at] <= slot:
+            heapq.heappush(ready, keys[at])
             at += 1
-        _, s, _ = heapq.heappop(ready)
-        slots[s].append(slot)
-    return slots
+        taken[slot] = heapq.heappop(ready) % len(n)
+    slots = np.split(np.argsort(taken, kind="stable"), np.cumsum(n)[:-1])
+    return dict(zip(names, slots))
+
+
+def edf_period(shares: dict[str, int], period: int) -> dict[str, list[int]]:
+    """Slots of each source's blocks in one period of whole shares."""
+    return {s: slots.tolist() for s, slots in schedule(shares, shares).items()}
 
 
 def phases(blocks: dict[str, int], weights: dict[str, float], period: int) -> list[dict]:
-    """The whole schedule, as runs of equal periods.
+    """The whole schedule: the j-th block of a source is in slots[j].
 
-    Each row says that blocks first..last-1 of a source are placed in periods of
-    `period` slots from `start`, the j-th block of a period in slots[j].  A period in
-    which some source runs out is placed once, without the missing slots.
+    A source without a weight gets one slot of a period.
     """
-    left, done = dict(blocks), {s: 0 for s in blocks}
-    start, rows = 0, []
-    while left := {s: n for s, n in left.items() if n}:
-        shares = whole_shares({s: weights[s] for s in left}, period)
-        slots = edf_period(shares, period)
-        times = min(left[s] // shares[s] for s in left)
-        length = period
-        if not times:
-            taken = sorted((t, s) for s in left for t in slots[s][: left[s]])
-            slots = {s: [] for s in left}
-            for place, (_, s) in enumerate(taken):
-                slots[s].append(place)
-            times, length = 1, len(taken)
-        for s in left:
-            n = times * len(slots[s])
-            rows.append({"stream": s, "first": done[s], "last": done[s] + n, "start": start, "period": length, "slots": slots[s]})
-            done[s] += n
-            left[s] -= n
-        start += times * length
-    return rows
+    given = sum(w for w in weights.values() if w > 0)
+    own = {s: weights[s] if weights[s] > 0 else given / period for s in blocks}
+    total = sum(blocks.values())
+    return [
+        {"stream": s, "first": 0, "last": blocks[s], "start": 0, "period": total, "slots": slots.tolist()}
+        for s, slots in schedule(blocks, own).items()
+    ]
 
 
 def tempered(counts: dict[str, int], alpha: float) -> dict[str, float]:
@@ -94,9 +110,9 @@ def mix(
     (the block's place in the mixed order) and mix_place (the row's place in its block).
 
     weights: the wanted share of each source, in any unit; a source without one gets
-    the least share there is.  Without weights they follow the sources' sizes to the
-    power alpha.  In every whole period each source's blocks differ from its share by
-    less than one; every row is placed exactly once, and a source's last block may be
+    one slot in `period` (or in four times the number of sources, if more).  Without weights they follow the sources' sizes to the
+    power alpha.  In every prefix of the order each source's blocks differ from its share
+    by less than one; every row is placed exactly once, and a source's last block may be
     shorter.
 
     A null source is a source of its own.  Rows are ordered by a hash of doc_id, then

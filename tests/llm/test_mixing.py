@@ -68,3 +68,21 @@ def test_odd_tables(spark):
     many = docs_of(spark, [(i, "x", None, f"s{i}") for i in range(300)])
     assert mixing.mix(many, max_sources=16).select("mix_slot", "mix_place").distinct().count() == 300
     assert mixing.mix(many, weights={"zz": 1.0}).count() == 300
+
+
+@pytest.mark.parametrize(
+    "weights", [{"a": 0.5} | {f"s{i:02}": 0.025 for i in range(20)}, {f"s{i:03}": 1.0 / (i + 1) for i in range(200)}, {"a": 2**0.5, "b": 1.0, "c": 0.001}]
+)
+def test_every_prefix_of_many_periods_follows_the_weights(weights):
+    total = sum(weights.values())
+    blocks = {s: int(20_000 * w / total) + 40 for s, w in weights.items()}
+    rows = {r["stream"]: r for r in mixing.phases(blocks, weights, 1000)}
+    least = min(blocks[s] * total / weights[s] for s in weights)
+    assert least >= 20_000
+    for s, r in rows.items():
+        for j in range(r["last"]):
+            at, n = j - r["first"], len(r["slots"])
+            slot = r["start"] + at // n * r["period"] + r["slots"][at % n]
+            if slot < least:
+                share = weights[s] / total
+                assert abs(j - share * slot) < 1 + 1e-5 and abs(j + 1 - share * (slot + 1)) < 1 + 1e-5
