@@ -12,18 +12,21 @@ from the first slot to the last.
 from __future__ import annotations
 
 import heapq
-import json
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PERIOD = 1000
 BLOCK_ROWS = 32
 #: Rows ranked in one task at a time, whatever the size of a source.
 BUCKET_ROWS = 256
-#: Sources with a schedule of their own; where there are more they share by hash.
+#: Sources up to which the tables by source are always broadcast; where there are more, up to TABLE_BYTES.
 MAX_SOURCES = 200
+TABLE_BYTES = 64 << 20
+#: Blocks of a source in one row of the schedule.
+PIECE = 4096
 
 
 def whole_shares(weights: dict[str, float], period: int) -> dict[str, int]:
@@ -119,14 +122,14 @@ def mix(
     doc_id; repeated and null ids follow each other in any order.  Columns of the
     input named like the new ones are replaced.  An empty table gives an empty result.
 
+    Every source is a stream of its own, however many there are.  max_sources: up to so
+    many, tables by source are always broadcast; beyond, only small ones are.
+
     With ordered the rows are also laid out in the mixed order: each partition holds
     an equal range of slots, and its rows are sorted.
     """
     rows = docs.select(F.struct("*").alias("row"), F.col(source_col).cast("string").alias("source"), F.col("doc_id").cast("string").alias("id"))
     name = F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("source")))
-    n_sources = docs.select(source_col).distinct().count()
-    if n_sources > max_sources:
-        name = F.concat(F.lit("#"), F.pmod(F.xxhash64(name), F.lit(max_sources).cast("long")))
     spread = F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 33)
     rows = rows.select("row", "id", name.alias("stream"), spread.alias("spread"))
     counts = {r.stream: r.n for r in rows.groupBy("stream").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -136,8 +139,11 @@ def mix(
     plan = phases({s: -(-n // block_rows) for s, n in counts.items()}, wanted, max(period, 4 * len(counts)))
 
     # A row's rank in its source: its bucket's rows follow those of all earlier buckets.
-    buckets = lookup({s: -(-n // BUCKET_ROWS) for s, n in counts.items()}, F.col("stream"))
-    rows = rows.withColumn("bucket", F.shiftright(F.col("spread") * buckets, 31))
+    spark, few = docs.sparkSession, len(counts) <= max_sources
+    names = list(counts)
+    buckets = pa.table({"stream": pa.array(names, pa.string()), "buckets": pa.array([-(-counts[s] // BUCKET_ROWS) for s in names], pa.int64())})
+    rows = rows.join(by_source(spark, buckets, few), "stream")
+    rows = rows.withColumn("bucket", F.shiftright(F.col("spread") * F.col("buckets"), 31)).drop("buckets")
     sizes = rows.groupBy("stream", "bucket").agg(F.count(F.lit(1)).alias("n"))
     group = F.shiftright("bucket", 10)
     small = Window.partitionBy("stream", group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -157,12 +163,8 @@ def mix(
         .withColumn("block", F.expr(f"rank div {int(block_rows)}"))
     )
     k = F.col("block")
-    step = plan_of(plan, F.col("stream"), k)
-    placed = ranked.withColumn("step", step)
-    share = F.size("step.slots").cast("long")
-    at = k - F.col("step.first")
-    placed = placed.withColumn("share", share).withColumn("at", at)
-    slot = F.col("step.start") + F.expr("at div share") * F.col("step.period") + F.get(F.col("step.slots"), F.expr("CAST(at % share AS INT)"))
+    placed = ranked.withColumn("piece", F.expr(f"block div {PIECE}")).join(by_source(spark, pieces(plan), few), ["stream", "piece"])
+    slot = F.get("slots", F.expr(f"CAST(block % {PIECE} AS INT)"))
     new = ("mix_block", "mix_slot", "mix_place")
     if ordered:
         parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -177,18 +179,14 @@ def mix(
     )
 
 
-def lookup(values: dict[str, int], key: Column) -> Column:
-    """The value of a key, from a constant map (one entry for each stream)."""
-    table = F.from_json(F.lit(json.dumps(values)), "map<string,bigint>")
-    return F.try_element_at(table, key)
-
+def pieces(plan: list[dict]) -> pa.Table:
+    """The schedule as rows (stream, piece, slots): slots of PIECE blocks of a source."""
+    cut = [(r["stream"], i // PIECE, r["slots"][i : i + PIECE]) for r in plan for i in range(0, r["last"], PIECE)]
+    kinds = {"stream": pa.string(), "piece": pa.int64(), "slots": pa.list_(pa.int64())}
+    return pa.table({n: pa.array([row[i] for row in cut], kind) for i, (n, kind) in enumerate(kinds.items())})
 
-def plan_of(plan: list[dict], stream: Column, block: Column) -> Column:
-    """The row of the schedule that places a stream's block, from a constant map."""
-    by: dict[str, list[dict]] = {}
-    for row in plan:
-        by.setdefault(row["stream"], []).append({k: v for k, v in row.items() if k != "stream"})
-    kind = "map<string,array<struct<first:bigint,last:bigint,start:bigint,period:bigint,slots:array<int>>>>"
-    own = F.try_element_at(F.from_json(F.lit(json.dumps(by)), kind), stream)
-    return F.get(F.filter(own, lambda p: (p["first"] <= block) & (block < p["last"])), F.lit(0))
 
+def by_source(spark: SparkSession, table: pa.Table, few: bool) -> DataFrame:
+    """A table by source as a frame to join with, broadcast unless it is large."""
+    frame = spark.createDataFrame(table)
+    return F.broadcast(frame) if few or table.nbytes <= TABLE_BYTES else frame

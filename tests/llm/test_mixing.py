@@ -86,3 +86,21 @@ def test_every_prefix_of_many_periods_follows_the_weights(weights):
             if slot < least:
                 share = weights[s] / total
                 assert abs(j - share * slot) < 1 + 1e-5 and abs(j + 1 - share * (slot + 1)) < 1 + 1e-5
+
+
+@pytest.mark.parametrize("table_bytes", [64 << 20, 0])
+def test_many_sources_keep_their_own_streams_and_weights(spark, monkeypatch, table_bytes):
+    monkeypatch.setattr(mixing, "TABLE_BYTES", table_bytes)
+    rows = [(i, "x", None, "heavy" if i < 400 else f"s{i % 300}") for i in range(1600)]
+    weights = {"heavy": 300.0} | {f"s{i}": 1.0 for i in range(300)}
+    got = mixing.mix(docs_of(spark, rows), weights=weights, block_rows=1).collect()
+    own = {}
+    for r in got:
+        own.setdefault(r.source, []).append(r.mix_block)
+    assert len(own) == 301 and all(sorted(b) == list(range(len(b))) for b in own.values())
+    placed = sorted((r.mix_slot, r.source) for r in got)
+    assert [p[0] for p in placed] == list(range(1600))
+    done = 0
+    for slot, source in placed[:800]:
+        done += source == "heavy"
+        assert abs(done - (slot + 1) / 2) < 1
