@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -29,6 +30,8 @@ FANOUT = 8
 RUN_ROWS = 4096
 #: Fingerprints of a sketch that travel with the bands: 512 bits.
 KEPT = 8
+#: Shingles of a set up to which its pairs are found by an exact join; sketches of so few hashes vary too much.
+SMALL = 32
 #: Shingle sets of one block in the exact comparison.
 SET_BYTES = 24 << 20
 
@@ -273,17 +276,48 @@ def differing_share(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
+def uneven_share(common: int, left: int, right: int) -> float:
+    """Expected share of differing bits of two sets with so many common and own hashes."""
+
+    def halves(n: int) -> np.ndarray:
+        return np.array([math.comb(n, i) for i in range(n + 1)], dtype=np.float64) / 2.0**n
+
+    def set_bit(own: int) -> np.ndarray:
+        p = halves(own)
+        return np.array([p[[2 * (i + j) > common + own for j in range(own + 1)]].sum() for i in range(common + 1)])
+
+    x, y = set_bit(left), set_bit(right)
+    return float((halves(common) * (x * (1 - y) + y * (1 - x))).sum())
+
+
+@lru_cache
+def largest_share(similarity: float) -> float:
+    """Largest expected share of differing bits of two sets of over SMALL hashes and at least that similarity.
+
+    The share falls towards differing_share with the size, so sizes up to twice SMALL decide.
+    """
+    worst = differing_share(similarity)
+    for a in range(SMALL + 1, 2 * SMALL + 1):
+        for b in range(a, int(a / similarity + 1e-9) + 1):
+            for common in range(math.ceil(similarity * (a + b) / (1 + similarity) - 1e-9), a + 1):
+                worst = max(worst, uneven_share(common, a - common, b - common))
+    return worst
+
+
 def sketch_plan(n_docs: int, similarity: float, recall: float) -> tuple[int, int, int]:
-    """(bits of a band, bands, fingerprints): a pair at the threshold shares a band with the wanted probability."""
+    """(bits of a band, bands, fingerprints): a pair at the threshold shares a band with the wanted probability.
+
+    Half of what may be lost is left to open_bits.
+    """
     bits = min(24, max(8, math.ceil(math.log2(n_docs / 64 + 1))))
-    bands = math.ceil(math.log(1 - recall) / math.log(1 - (1 - differing_share(similarity)) ** bits))
+    bands = math.ceil(math.log((1 - recall) / 2) / math.log(1 - (1 - largest_share(similarity)) ** bits))
     return bits, bands, max(KEPT, -(-bits * bands // 64))
 
 
 def open_bits(width: int, similarity: float) -> int:
     """Differing bits out of `width` that hardly any pair at the threshold exceeds."""
-    share = differing_share(similarity)
-    return min(width, math.ceil(width * share + 3.5 * math.sqrt(width * share * (1 - share))))
+    share = largest_share(similarity)
+    return min(width, math.ceil(width * share + 4.5 * math.sqrt(width * share * (1 - share))))
 
 
 class Groups:
@@ -359,10 +393,31 @@ def exact_run(
     return groups.stars(ids)
 
 
-def run_links(rows: DataFrame, keys: list[str], with_sets: bool, similarity: float) -> DataFrame:
+def small_run(ids: np.ndarray, left: np.ndarray, same: bool, similarity: float, sets: list[np.ndarray]) -> tuple:
+    """Star links that join the rows of one run whose shingle sets are similar, from the sets alone."""
+    sizes = np.array([len(x) for x in sets])
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    holders = np.split(np.repeat(np.arange(len(ids)), sizes)[np.argsort(codes, kind="stable")], np.cumsum(np.bincount(codes))[:-1])
+    label = np.arange(len(ids))
+    for i, own in enumerate(np.split(codes, np.cumsum(sizes)[:-1])):
+        shared = np.zeros(len(ids), dtype=np.int64)
+        for code in own.tolist():
+            shared[holders[code]] += 1
+        near = shared >= similarity * (sizes + sizes[i] - shared) - 1e-9
+        if not same:
+            near &= left != left[i]
+            near[i] = True
+        met = np.unique(label[near])
+        if len(met) > 1:
+            label[np.isin(label, met)] = met[0]
+    hit = label != np.arange(len(ids))
+    return ids[hit], ids[label[hit]]
+
+
+def run_links(rows: DataFrame, keys: list[str], with_sets: bool, similarity: float, small: bool = False) -> DataFrame:
     """Star links (src, dst) found in each run of rows (keys, lo, hi, part, node, digest, sketch and, to be exact, shingles).
 
-    Rows that repeat a node with the same text count once.
+    Rows that repeat a node with the same text count once.  Small sets are compared without their sketches.
     """
     names = [*keys, "lo", "hi"]
     n = len(names)
@@ -378,7 +433,8 @@ def run_links(rows: DataFrame, keys: list[str], with_sets: bool, similarity: flo
             same, left = last[-1] == last[-2], part == last[-2]
             src, dst = [], []
             if len(held) > 1 and with_sets:
-                src, dst = exact_run(ids, sketches, left, same, similarity, [np.frombuffer(row[3], dtype="<u8") for row in held])
+                sets = [np.frombuffer(row[3], dtype="<u8") for row in held]
+                src, dst = small_run(ids, left, same, similarity, sets) if small else exact_run(ids, sketches, left, same, similarity, sets)
             elif len(held) > 1:
                 src, dst = open_run(ids, sketches, left, same, similarity)
             return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
@@ -412,14 +468,16 @@ def dealt_in_blocks(rows: DataFrame) -> DataFrame:
     )
 
 
-def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.99) -> DataFrame:
+def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.9999) -> DataFrame:
     """Links documents whose word shingle sets have at least the given Jaccard similarity.
 
-    Every link is confirmed on the exact sets (as 64-bit shingle hashes).  Candidates come
+    Every link is confirmed on the exact sets (as 64-bit shingle hashes).  A pair whose
+    smaller set has at most SMALL shingles is always found: such sets meet by the shingles
+    of smallest hash, of which similar sets share one.  Candidates among larger sets come
     from several SimHash fingerprints: bands of their bits deal documents into runs, where
     a pair at the threshold meets with at least the given probability and closer pairs more
     surely.  In a run the Gray-order index proposes pairs, and 512 bits of the sketch leave
-    those open that are within 3.5 standard errors of the threshold.  Groups of open pairs
+    those open that are within 4.5 standard errors of the threshold.  Groups of open pairs
     get their shingle sets and are compared exactly, large groups in blocks.
 
     Returns per input row with an id doc_id and component_id (the smallest doc_id
@@ -430,14 +488,16 @@ def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, reca
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     narrow = narrow.where("doc_id IS NOT NULL")
     bits, bands, parts = sketch_plan(narrow.count(), similarity, recall)
+    most = int(SMALL / similarity + 1e-9)
 
     def work(batch: pa.RecordBatch):
-        digests, sizes, rows = [], [], []
+        digests, sizes, rows, small = [], [], [], []
         for text in utf8(batch.column(1)):
             hashes = np.unique(shingle_hashes(text, words))
             digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
             sizes.append(len(hashes))
-            rows.append(sketch(hashes, parts))
+            rows.append(sketch(hashes if len(hashes) > SMALL else hashes[:0], parts))
+            small.append(hashes.tobytes() if len(hashes) <= most else None)
         if rows:
             flags = np.unpackbits(np.array(rows).view(np.uint8), axis=1, bitorder="little")
             keys = flags[:, : bits * bands].reshape(len(rows), bands, bits) @ (1 << np.arange(bits))
@@ -445,24 +505,26 @@ def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, reca
                 [
                     batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()),
                     pa.array([r[:KEPT].tobytes() for r in rows], pa.binary()), pa.array(keys.tolist(), pa.list_(pa.int32())),
+                    pa.array(small, pa.binary()),
                 ],
-                names=["doc_id", "digest", "size", "sketch", "bands"],
+                names=["doc_id", "digest", "size", "sketch", "bands", "shingles"],
             )
 
-    coded = cut(map_batches(narrow, work, "doc_id long, digest binary, size long, sketch binary, bands array<int>"))
+    coded = cut(map_batches(narrow, work, "doc_id long, digest binary, size long, sketch binary, bands array<int>, shingles binary"))
     classes = cut(
         coded.groupBy("digest").agg(
-            F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")
+            F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"),
+            F.first("shingles").alias("shingles"),
         )
     )
-    dealt = classes.select("node", "digest", "sketch", F.posexplode("bands").alias("band", "key"))
+    dealt = classes.where(F.col("size") > SMALL).select("node", "digest", "sketch", F.posexplode("bands").alias("band", "key"))
     hot = cut(
         dealt.groupBy("band", "key").count().where(F.col("count") > RUN_ROWS)
         .select("band", "key", F.ceil(F.col("count") / RUN_ROWS).cast("int").alias("cuts"))
     )
     rows = dealt.join(hot, ["band", "key"], "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
     candidates = components(run_links(dealt_in_blocks(rows), ["band", "key"], False, similarity))
-    found = confirmed(narrow, classes.drop("bands"), candidates, words, similarity)
+    found = confirmed(narrow, classes.drop("bands", "shingles"), candidates, words, similarity).union(small_links(classes, similarity))
 
     # Copies share a digest, and a repeated id may hold several.
     same = coded.select("doc_id", "digest").distinct().join(classes.select("digest", "node"), "digest")
@@ -473,6 +535,20 @@ def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, reca
     )
 
 
+def small_links(classes: DataFrame, similarity: float) -> DataFrame:
+    """Exact star links (src, dst) of the similar pairs of classes whose smaller set has at most SMALL shingles.
+
+    Sets are stored in the order of their hashes.  Similar sets share one of the first
+    n - ceil(similarity * n) + 1 of each, so they are dealt by these; long runs in blocks.
+    """
+    first = F.col("size") - F.ceil(F.col("size") * F.lit(similarity) - 1e-9) + 1
+    key = F.transform(F.sequence(F.lit(0), (first - 1).cast("int")), lambda i: F.substring("shingles", i * 8 + 1, F.lit(8)))
+    dealt = classes.where("shingles IS NOT NULL AND size > 0").select("node", "digest", "sketch", "shingles", F.explode(key).alias("key"))
+    met = dealt.groupBy("key").count().where("count > 1")
+    met = cut(met.select("key", F.ceil(F.col("count") / RUN_ROWS).cast("int").alias("cuts")))
+    return cut(run_links(dealt_in_blocks(dealt.join(met, "key")), ["key"], True, similarity, small=True))
+
+
 def confirmed(texts: DataFrame, classes: DataFrame, candidates: DataFrame, words: int, similarity: float) -> DataFrame:
     """Exact star links (src, dst) inside the groups (node, component) of candidates.
 

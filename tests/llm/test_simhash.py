@@ -1,3 +1,4 @@
+import math
 import re
 
 import numpy as np
@@ -145,3 +146,32 @@ def test_repeated_ids_hold_several_texts(spark):
     rows = [(1, base), (1, other), (1, base), (2, base + " end"), (3, other + " end"), (4, "alone")]
     got = sorted((r.doc_id, r.component_id) for r in simhash.similar_texts(docs_of(spark, rows)).collect())
     assert got == [(1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
+@pytest.mark.parametrize("run_rows", [4096, 3])
+def test_small_similar_sets_are_always_found(spark, monkeypatch, run_rows):
+    monkeypatch.setattr(simhash, "RUN_ROWS", run_rows)
+    rows, sizes = [], [8] * 80 + [9, 13, 17, 25, 36, 37, 40, 44]
+    for i, n in enumerate(sizes):
+        own = [f"d{i}w{j}" for j in range(n)]
+        rows += [(10 * i, " ".join(own)), (10 * i + 1, " ".join([*own, "more"]))]
+        rows.append((10 * i + 2, " ".join([*own, *(f"e{i}x{j}" for j in range(-(-n // 5)))])))
+    common = [f"c{j}" for j in range(34)]
+    rows += [(9000 + i, " ".join([*common, f"z{i}", f"y{i}"])) for i in range(12)]
+    sets = {i: shingle_set(t) for i, t in rows}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    wanted = partition([(a, b) for a in sets for b in sets if a < b and alike(a, b) >= 0.8], list(sets))
+    got = {r.doc_id: r.component_id for r in simhash.similar_texts(docs_of(spark, rows)).collect()}
+    assert got == wanted and all(got[10 * i + 1] == 10 * i for i in range(80))
+
+
+def test_sketch_bounds_hold_for_the_worst_sizes():
+    assert simhash.uneven_share(4, 0, 1) == 0.1875
+    share = simhash.largest_share(0.8)
+    assert 0.155 < share < 0.156
+    bits, bands, _ = simhash.sketch_plan(3_000_000, 0.8, 0.9999)
+    lost = (1 - (1 - share) ** bits) ** bands
+    for width in (64, 512):
+        most = simhash.open_bits(width, 0.8)
+        lost += sum(math.comb(width, k) * share**k * (1 - share) ** (width - k) for k in range(most + 1, width + 1))
+    assert lost < 1e-4
