@@ -1,11 +1,11 @@
 """Main text of web pages by a tree-structured graphical model over DOM nodes.
 
-Every element and text of a page is a node with a hidden state: content or not.
-A node's own features give its potential, and a parent and child share a potential
-that depends on the kind of the child.  Sum-product messages, first from the leaves
-up and then from the root down, give each node's exact content marginal.  The
-weights are trained by gradient ascent on the likelihood of labelled pages; the
-messages of the same two passes give the gradient.
+Every element and text of a page is a node with a hidden state: whether it holds
+content, itself or below.  A node's own features give its potential, and a parent
+and child share a potential that depends on the kinds of both.  Sum-product messages,
+first from the leaves up and then from the root down, give each node's exact content
+marginal.  The weights are trained by gradient ascent on the likelihood of labelled
+pages; the messages of the same two passes give the gradient.
 
 All pages of a batch are one forest: each depth of the trees is one numpy step.
 """
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -23,9 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches
+from .html_training import training_pages
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math select option button".split())
+#: Elements whose text a page does not show as text: code, controls, drawings, what stands in for media.
+RAW = frozenset(
+    "script style textarea title noscript template iframe svg select option datalist button video audio canvas object".split()
+)
+#: Elements whose content is not markup.
+PLAIN = {n: re.compile(rf"</{n}(?=[\s/>])", re.I) for n in ("script", "style", "textarea", "title", "iframe", "noscript")}
 #: Elements that start and end a line of their own.
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer"
@@ -43,9 +50,10 @@ CLOSES = {
     "option": ({"option"}, {"select"}),
 }
 SCOPES = frozenset("html body table td th caption button object".split())
+#: A quote opens a value only right behind =, and only where it is closed again.
 TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|)|[\"'])*+)(?:>|\Z)",
     re.S,
 )
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s>]+)))?""")
@@ -56,41 +64,53 @@ GROUPS = {
     "para": "p blockquote pre",
     "head": "h1 h2 h3 h4 h5 h6",
     "list": "ul ol li dl dt dd",
-    "table": "table tr td th tbody thead caption",
-    "inline": "b i em strong span u s sub sup small code mark q cite abbr time font",
+    "table": "table tr td th tbody thead tfoot caption",
+    "inline": "b i em strong span u s sub sup small code mark q cite abbr time font math details summary",
     "link": "a",
-    "box": "div section",
+    "box": "div section center",
     "nav": "nav menu",
-    "edge": "header footer aside",
-    "form": "form fieldset label input select option button textarea legend",
+    "header": "header",
+    "footer": "footer",
+    "aside": "aside",
+    "form": "form fieldset label input legend dialog",
     "figure": "figure figcaption",
-    "frame": "html body",
-    "unseen": "head script style title noscript template iframe svg math",
+    "frame": "#page html body",
+    "unseen": "head " + " ".join(sorted(RAW)),
 }
 GROUP_OF = {tag: g for g, tags in GROUPS.items() for tag in tags.split()}
 #: Words in class, id and role that speak for or against content.
 HINTS = {
     "good": "article content entry post story body main text prose page",
-    "nav": "nav menu breadcrumb breadcrumbs navbar pagination pager toc skip",
-    "edge": "header footer masthead banner topbar copyright colophon",
-    "side": "sidebar side aside related recommended widget rail more popular trending",
+    "nav": "nav menu breadcrumb breadcrumbs navbar navigation pagination pager toc skip",
+    "edge": "header footer masthead banner topbar copyright colophon contentinfo",
+    "side": "sidebar side aside related recommended widget rail more popular trending complementary",
     "notice": "cookie cookies consent notice alert modal popup gdpr newsletter subscribe signup paywall toast",
-    "advert": "ad ads advert adverts advertisement sponsor sponsored promo promoted banner",
+    "advert": "ad ads advert adverts advertisement sponsor sponsored promo promoted",
     "comment": "comment comments reply replies discussion disqus respond feedback",
-    "share": "share social sharing follow tools meta byline tags",
+    "share": "share social sharing follow tools tags",
 }
 HINT_OF: dict[str, list[str]] = {}
 for _group, _words in HINTS.items():
     for _word in _words.split():
         HINT_OF.setdefault(_word, []).append(_group)
+#: Groups of tags and hints that all nodes below inherit as features, at any depth, unless they hold most of the page.
+BELOW = ("nav", "footer", "aside", "form", "hint_comment", "hint_advert", "hint_notice")
 NAMES = (
     ["bias", "is_text"] + list(GROUPS) + [f"hint_{h}" for h in HINTS]
-    + ["link_share", "long", "sentence", "empty", "deep", "has_paras", "near_top_link"]
+    + ["link_share", "links", "long", "brief", "sentence", "empty", "deep", "has_paras", "near_top_link"]
+    + ["para_share", "para_most", "char_share", "char_most"]
+    + ["controls", "rights", "in_main", "holds_main", "main_elsewhere", "again_main", "good_and_bad"]
+    + [f"below_{g}" for g in BELOW]
 )
 AT = {n: i for i, n in enumerate(NAMES)}
-#: Kinds of child that have pair potentials of their own.
-KINDS = ("text", "inline", "link", "para", "head", "list", "table", "box", "main", "nav", "edge", "form", "figure", "other")
+#: Kinds of node; a parent's and a child's kind choose their pair potential.
+KINDS = (
+    "text", "inline", "link", "para", "head", "list", "table", "box", "main", "nav", "header", "footer", "aside", "form", "figure", "frame", "other", "wrapper",
+)
 KIND_OF = {k: i for i, k in enumerate(KINDS)}
+#: Pair potential of a wrapper and its parent for the same state: it favours no state, however many are nested.
+WRAPPER = 8.0
+RIGHTS = re.compile(r"\u00a9|\(c\)|\ball rights\b|\bcopyright\b", re.I)
 
 
 @dataclass
@@ -104,6 +124,8 @@ class Forest:
     text: list[str | None] = field(default_factory=list)
     unseen: list[bool] = field(default_factory=list)
     label: list[int] = field(default_factory=list)
+    page: list[int] = field(default_factory=list)
+    pages: int = 0
 
     def add(self, parent: int, tag: str, text: str | None, hints: tuple, unseen: bool, label: int) -> int:
         self.parent.append(parent)
@@ -113,12 +135,10 @@ class Forest:
         self.hints.append(hints)
         self.unseen.append(unseen)
         self.label.append(label)
+        self.page.append(self.pages)
         return len(self.parent) - 1
 
 
-MAX_DEPTH = 200
-
-
 @lru_cache(maxsize=4096)
 def hints_of(raw: str) -> tuple[tuple, str | None]:
     """(hint groups of class, id and role; the training label, if any) of a tag's attributes."""
@@ -128,7 +148,7 @@ def hints_of(raw: str) -> tuple[tuple, str | None]:
         if name in ("class", "id", "role", "aria-label", "itemprop"):
             for word in re.split(r"[^a-z]+", entities.unescape(a or b or c).lower()):
                 groups.update(HINT_OF.get(word, ()))
-        elif name == "data-y":
+        elif name == "data-y" and (a or b or c) in ("0", "1"):
             label = a or b or c
         elif name == "hidden":
             groups.add("hidden")
@@ -136,9 +156,10 @@ def hints_of(raw: str) -> tuple[tuple, str | None]:
 
 
 def grow(forest: Forest, page: str) -> tuple[int, int]:
-    """Adds the tree of a page, however broken its markup is; returns its range of nodes."""
+    """Adds the tree of a page, however broken its markup and deep its nesting; returns its range of nodes."""
     first = forest.add(-1, "#page", None, (), False, 0)
     stack = [(first, "#page", False, 0)]
+    opened: Counter[str] = Counter()
     at, end = 0, len(page)
 
     def put_text(raw: str) -> None:
@@ -146,6 +167,11 @@ def grow(forest: Forest, page: str) -> tuple[int, int]:
             node, _, unseen, label = stack[-1]
             forest.add(node, "#text", entities.unescape(raw), (), unseen, label)
 
+    def close_from(i: int) -> None:
+        for item in stack[i:]:
+            opened[item[1]] -= 1
+        del stack[i:]
+
     while at < end:
         found = TAG.search(page, at)
         if not found:
@@ -158,26 +184,28 @@ def grow(forest: Forest, page: str) -> tuple[int, int]:
             continue
         name = name.lower()
         if found[1]:
-            if name == "p" and not any(s[1] == "p" for s in stack):
-                continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][1] == name:
-                    del stack[i:]
-                    break
-                if name not in BLOCK and stack[i][1] in BLOCK:
-                    break
+            if opened[name] > 0:
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i][1] == name:
+                        close_from(i)
+                        break
+                    if name not in BLOCK and stack[i][1] in BLOCK:
+                        break
+            elif name == "p":
+                node, _, unseen, label = stack[-1]
+                forest.add(node, name, None, (), unseen, label)
             continue
         closes, scopes = CLOSES.get(name, (None, None))
         if closes is None and name in BLOCK:
             closes, scopes = {"p"}, SCOPES
         if name == "body":
             closes, scopes = {"head"}, {"html"}
-        if closes:
+        if closes and any(opened[c] > 0 for c in closes):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][1] in scopes:
                     break
                 if stack[i][1] in closes:
-                    del stack[i:]
+                    close_from(i)
                     if name not in ("tr", "body"):
                         break
         node, _, unseen, label = stack[-1]
@@ -185,15 +213,16 @@ def grow(forest: Forest, page: str) -> tuple[int, int]:
         label = label if mark is None else int(mark)
         unseen = unseen or name in RAW or name == "head" or "hidden" in groups
         if name in VOID:
-            if name in ("br", "hr", "wbr", "img"):
+            if name in ("br", "hr", "wbr", "img", "input"):
                 forest.add(node, name, None if name != "br" else " ", groups, unseen, label)
             continue
         own = forest.add(node, name, None, groups, unseen, label)
-        if len(stack) < MAX_DEPTH:
-            stack.append((own, name, unseen, label))
-        if name in ("script", "style", "textarea", "title", "iframe", "noscript"):
-            close = re.compile(rf"</{name}", re.I).search(page, at)
+        stack.append((own, name, unseen, label))
+        opened[name] += 1
+        if name in PLAIN:
+            close = PLAIN[name].search(page, at)
             at = close.start() if close else end
+    forest.pages += 1
     return first, len(forest.parent)
 
 
@@ -202,57 +231,94 @@ def features(forest: Forest) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[n
     n = len(forest.parent)
     x = np.zeros((n, len(NAMES)))
     x[:, AT["bias"]] = 1
-    parent, depth = np.array(forest.parent), np.array(forest.depth)
+    parent, depth, page = (np.array(v, dtype=np.int64) for v in (forest.parent, forest.depth, forest.page))
     kind = np.full(n, KIND_OF["other"])
-    own = np.zeros(n)
-    stops = np.zeros(n)
-    linked = np.zeros(n, dtype=bool)
-    paras = np.zeros(n)
+    own, stops, paras, controls, rights, mains, in_paras = (np.zeros(n) for _ in range(7))
+    linked, main, para, article = (np.zeros(n, dtype=bool) for _ in range(4))
+    links = np.zeros(n)
     for i, (tag, text, hints) in enumerate(zip(forest.tag, forest.text, forest.hints)):
+        p = parent[i]
         if tag == "#text":
             x[i, AT["is_text"]] = 1
             kind[i] = KIND_OF["text"]
             if not forest.unseen[i]:
-                own[i] = len(text) - text.count(" ")
-                stops[i] = sum(text.count(c) for c in ".!?;,。،")
+                own[i] = sum(map(len, text.split()))
+                stops[i] = sum(text.count(c) for c in ".!?;,\u3002\u060c")
+                rights[i] = own[i] < 400 and RIGHTS.search(text) is not None
         else:
             group = GROUP_OF.get(tag)
             if group:
                 x[i, AT[group]] = 1
                 kind[i] = KIND_OF.get(group, KIND_OF["other"])
             paras[i] = tag == "p"
+            links[i] = tag == "a"
+            controls[i] = tag in ("input", "textarea", "select", "button")
+            mains[i] = tag in ("article", "main")
             for h in hints:
                 if h in HINTS:
                     x[i, AT[f"hint_{h}"]] = 1
-        p = parent[i]
-        linked[i] = tag == "a" or (p >= 0 and linked[p])
-    in_links = own * linked
-    levels = [np.flatnonzero(depth == d) for d in range(int(depth.max()) + 1)] if n else []
+        if p >= 0:
+            linked[i], main[i], para[i] = linked[p], main[p], para[p]
+            article[i] = article[p]
+        x[i, AT["again_main"]] = tag == "article" and article[i]
+        article[i] |= tag == "article"
+        linked[i] |= tag == "a"
+        main[i] |= mains[i] > 0
+        para[i] |= tag in ("p", "li", "blockquote", "pre", "td")
+    in_links, in_paras = own * linked, own * (para & ~linked)
+    order = np.argsort(depth, kind="stable")
+    levels = np.split(order, np.cumsum(np.bincount(depth))[:-1]) if n else []
     for level in reversed(levels[1:]):
-        for sums in (own, in_links, stops, paras):
+        for sums in (own, in_links, stops, paras, controls, rights, mains, in_paras, links):
             np.add.at(sums, parent[level], sums[level])
+    whole, of_page, chars = (np.zeros(forest.pages + 1) for _ in range(3))
+    if n:
+        roots = levels[0]
+        whole[page[roots]], of_page[page[roots]], chars[page[roots]] = in_paras[roots], mains[roots], (own - in_links)[roots]
     share = in_links / np.maximum(own, 1)
+    bad = x[:, [AT[f"hint_{h}"] for h in HINTS if h != "good"]].any(axis=1)
     x[:, AT["link_share"]] = share
+    x[:, AT["links"]] = np.minimum(links, 6) / 6
     x[:, AT["long"]] = np.log1p(own) / 6
+    x[:, AT["brief"]] = own < 30
     x[:, AT["sentence"]] = np.minimum(stops / np.maximum(own / 40, 1), 2)
     x[:, AT["empty"]] = own == 0
     x[:, AT["deep"]] = np.minimum(depth, 12) / 12
     x[:, AT["has_paras"]] = np.minimum(paras, 5) / 5
+    x[:, AT["para_share"]] = in_paras / np.maximum(whole[page], 1)
+    x[:, AT["para_most"]] = x[:, AT["para_share"]] > 0.7
+    x[:, AT["char_share"]] = (own - in_links) / np.maximum(chars[page], 1)
+    x[:, AT["char_most"]] = x[:, AT["char_share"]] > 0.6
     x[:, AT["near_top_link"]] = (share > 0.5) & (depth <= 4)
+    x[:, AT["controls"]] = np.minimum(controls * 60 / (own + 60), 1)
+    x[:, AT["rights"]] = (rights > 0) & (own < 400) & (2 * own < chars[page]) & ~main
+    x[:, AT["in_main"]] = main
+    x[:, AT["holds_main"]] = (mains > 0) & ~main
+    x[:, AT["main_elsewhere"]] = (of_page[page] > 0) & (mains == 0) & ~main
+    x[:, AT["good_and_bad"]] = x[:, AT["hint_good"]] * bad
+    marks, below = np.array([AT[g] for g in BELOW]), np.array([AT[f"below_{g}"] for g in BELOW])
+    given = x[:, marks] * (x[:, AT["char_most"]] == 0)[:, None]
+    for level in levels[1:]:
+        up = parent[level]
+        x[level[:, None], below] = np.maximum(x[up[:, None], below], given[up])
+    # A box with all the text of its parent says nothing new: it only passes messages on.
+    wraps = (kind == KIND_OF["box"]) & (own > 0) & (own == own[parent]) & (parent >= 0)
+    kind[wraps] = KIND_OF["wrapper"]
+    x[np.ix_(wraps, [i for i, name in enumerate(NAMES) if not name.startswith("hint_")])] = 0
     return x, parent, kind, levels
 
 
 @dataclass
 class Model:
     node: np.ndarray  # weight of each feature for content
-    pair: np.ndarray  # (kind of child, state of parent, state of child)
+    pair: np.ndarray  # (kind of parent, kind of child, state of parent, state of child)
 
 
 def marginals(model: Model, x: np.ndarray, parent: np.ndarray, kind: np.ndarray, levels: list) -> tuple:
     """Sum-product: (content marginal of each node, pair marginals with the parent)."""
     n = len(parent)
     unary = np.stack([np.zeros(n), x @ model.node], axis=1)
-    pair = model.pair[kind]
+    pair = model.pair[kind[parent], kind]
     up = unary.copy()  # own potential and all messages from below
     message = np.zeros((n, 2))
     for level in reversed(levels[1:]):
@@ -275,30 +341,58 @@ def marginals(model: Model, x: np.ndarray, parent: np.ndarray, kind: np.ndarray,
     return p[:, 1] / p.sum(axis=1), both
 
 
-def train(pages: list[str], rounds: int = 150, rate: float = 0.1, decay: float = 1e-3) -> Model:
-    """Fits the potentials to pages whose elements carry data-y="0" or "1" (inherited)."""
-    forest = Forest()
-    for page in pages:
-        grow(forest, page)
-    x, parent, kind, levels = features(forest)
-    y = np.array(forest.label)
-    model = Model(np.zeros(len(NAMES)), np.zeros((len(KINDS), 2, 2)))
-    child = parent >= 0
-    seen = np.zeros((len(KINDS), 2, 2))
-    np.add.at(seen, (kind[child], y[parent[child]], y[child]), 1)
+def states(forest: Forest) -> np.ndarray:
+    """The labelled state of each node: whether it holds visible content text, itself or below."""
+    y = np.zeros(len(forest.parent), dtype=np.int64)
+    for i in range(len(y) - 1, -1, -1):
+        text = forest.text[i]
+        if text is not None and text.strip() and not forest.unseen[i]:
+            y[i] = forest.label[i]
+        if y[i] and forest.parent[i] >= 0:
+            y[forest.parent[i]] = 1
+    return y
+
+
+def train(pages: list[str], steps: int = 1600, rate: float = 0.06, decay: float = 5e-5, size: int = 40, seed: int = 5) -> Model:
+    """Fits the potentials to pages whose elements carry data-y="0" or "1" (inherited), `size` pages a step."""
+    k = len(KINDS)
+    model = Model(np.zeros(len(NAMES)), np.zeros((k, k, 2, 2)))
+    model.pair[:, KIND_OF["wrapper"]] = WRAPPER * np.eye(2)
+    learnt = np.ones((k, k, 1, 1))
+    learnt[:, KIND_OF["wrapper"]] = 0
+    rng = np.random.default_rng(seed)
+
+    def by_kinds(at: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(at, w, k * k) for w in weights.reshape(-1, 4).T], axis=1).reshape(k, k, 2, 2)
+
+    parts = []
+    for s in range(0, len(pages), size):
+        forest = Forest()
+        for page in pages[s : s + size]:
+            grow(forest, page)
+        x, parent, kind, levels = features(forest)
+        y, child = states(forest), parent >= 0
+        at = (kind[parent] * k + kind)[child]
+        parts.append((x, parent, kind, levels, y, child, at, by_kinds(at, np.eye(4)[(2 * y[parent] + y)[child]]), forest.pages))
     moments = [np.zeros_like(model.node), np.zeros_like(model.pair)], [np.zeros_like(model.node), np.zeros_like(model.pair)]
-    for step in range(1, rounds + 1):
+    for step in range(1, steps + 1):
+        if step % len(parts) == 1 % len(parts):
+            order = rng.permutation(len(parts))
+        x, parent, kind, levels, y, child, at, seen, n = parts[order[step % len(parts)]]
         p, both = marginals(model, x, parent, kind, levels)
-        expected = np.zeros_like(seen)
-        np.add.at(expected, kind[child], both[child])
-        grads = [x.T @ (y - p) / len(pages) - decay * model.node, (seen - expected) / len(pages) - decay * model.pair]
+        grads = [x.T @ (y - p) / n - decay * model.node, learnt * ((seen - by_kinds(at, both[child])) / n - decay * model.pair)]
         for q, g, m, v in zip((model.node, model.pair), grads, *moments):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
-            q += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+            q += rate * (1 - 0.9 * step / steps) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return model
 
 
+@lru_cache(maxsize=1)
+def default_model() -> Model:
+    return train(training_pages())
+
+
 def texts_of(forest: Forest, ranges: list[tuple[int, int]], content: np.ndarray) -> list[str]:
     """Content texts of each page: one line for each block, in page order."""
     out = []
@@ -318,11 +412,13 @@ def texts_of(forest: Forest, ranges: list[tuple[int, int]], content: np.ndarray)
             tag, p = forest.tag[i], forest.parent[i]
             block = i if tag in BLOCK else block_of[p]
             block_of[i] = block
-            if forest.text[i] is not None and content[i] and not forest.unseen[i]:
+            text = forest.text[i]
+            # White space shows no text of its own, so it never joins what it stands between.
+            if text is not None and not forest.unseen[i] and (content[i] or not text.strip()):
                 if block != current:
                     flush()
                     current = block
-                run.append(forest.text[i])
+                run.append(text)
             elif tag in BLOCK:
                 flush()
         flush()
@@ -349,11 +445,12 @@ def main_text(pages: DataFrame, model: Model | None = None, id_col: str = "page_
     Character references are decoded, white space inside a block becomes one space,
     blocks are joined by line feeds in page order.
 
-    A null or empty page, or one without content, gives an empty text.  Repeated
+    Nesting has no bound, and a quote opens an attribute's value only behind =.  A null
+    or empty page, or one without content, gives an empty text.  Repeated
     rows and null ids or urls are kept, further columns left out; an empty table
     gives an empty result.
     """
-    shared = pages.sparkSession.sparkContext.broadcast(model or train(training_pages()))
+    shared = pages.sparkSession.sparkContext.broadcast(model or default_model())
 
     def work(batch: pa.RecordBatch):
         for s in range(0, batch.num_rows, 100):
@@ -366,92 +463,3 @@ def main_text(pages: DataFrame, model: Model | None = None, id_col: str = "page_
 
     narrow = pages.select(F.col(id_col).cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     return map_batches(narrow, work, f"{id_col} long, url string, text string, n_chars long")
-
-
-def training_pages(n: int = 240, seed: int = 11) -> list[str]:
-    """Labelled pages of many layouts: data-y="1" marks content, data-y="0" what is not."""
-    rng = np.random.default_rng(seed)
-    pick = lambda *xs: xs[int(rng.integers(len(xs)))]
-    maybe = lambda share: rng.random() < share
-
-    def words(lo: int, hi: int) -> str:
-        k = int(rng.integers(lo, hi + 1))
-        return " ".join("".join(chr(97 + int(c)) for c in rng.integers(0, 26, int(rng.integers(2, 9)))) for _ in range(k))
-
-    def sentences(lo: int, hi: int) -> str:
-        return " ".join(words(3, 16).capitalize() + pick(".", ".", ".", "?", ",") for _ in range(int(rng.integers(lo, hi + 1))))
-
-    def links(lo: int, hi: int, wrap: str = "li") -> str:
-        k = int(rng.integers(lo, hi + 1))
-        return "".join(f"<{wrap}><a href='/x'>{words(1, 4)}</a></{wrap}>" for _ in range(k))
-
-    def attr(*names: str) -> str:
-        return "" if maybe(0.25) else f' {pick("class", "class", "id")}="{pick(*names)}"'
-
-    def paragraph() -> str:
-        body = sentences(1, 6) if maybe(0.85) else " | ".join(words(1, 2) for _ in range(int(rng.integers(2, 12))))
-        if maybe(0.3):
-            body += f" <a href='/y'>{words(1, 4)}</a> {sentences(1, 2)}"
-        if maybe(0.3):
-            body = f"<{pick('b', 'em', 'strong', 'span')}>{body}"
-        if maybe(0.2):
-            body += "<br>" + (sentences(1, 2) if maybe(0.5) else "")
-        if maybe(0.1):
-            body = words(1, 2).capitalize() + "."
-        return f"<p>{body}" + ("</p>" if maybe(0.75) else "")
-
-    def article() -> str:
-        parts = [f"<h1>{words(2, 9)}</h1>"] if maybe(0.8) else []
-        for _ in range(int(rng.integers(1, 9))):
-            kind = rng.random()
-            if kind < 0.7:
-                parts.append(paragraph())
-            elif kind < 0.78:
-                parts.append(f"<h2>{words(2, 6)}</h2>")
-            elif kind < 0.86:
-                parts.append("<ul>" + "".join(f"<li>{sentences(1, 2)}</li>" for _ in range(int(rng.integers(2, 5)))) + "</ul>")
-            elif kind < 0.9:
-                parts.append(f"<blockquote>{sentences(1, 3)}</blockquote>")
-            elif kind < 0.93:
-                parts.append("<table>" + "".join(f"<tr><td>{words(1, 3)}</td><td>{words(1, 3)}</td></tr>" for _ in range(3)) + "</table>")
-            elif kind < 0.96:
-                parts.append(f"<pre><code>{words(3, 12)}</code></pre>")
-            else:
-                parts.append(junk())
-        return "".join(parts)
-
-    def junk() -> str:
-        made = (
-            lambda: f"<div{attr('ad', 'ads', 'advert', 'sponsored', 'ad-slot', 'promo')} data-y='0'>{sentences(1, 3)}</div>",
-            lambda: f"<aside{attr('sidebar', 'related', 'widget')} data-y='0'><h3>{words(1, 3)}</h3><ul>{links(2, 6)}</ul></aside>",
-            lambda: f"<aside data-y='0'><p>{sentences(1, 3)}</p></aside>",
-            lambda: f"<div class='{pick('cookie', 'cookie-notice', 'consent', 'newsletter', 'notice', 'popup')}' data-y='0'><p>{sentences(1, 2)}</p><button>{words(1, 2)}</button></div>",
-            lambda: f"<form data-y='0'><label>{words(1, 3)}</label><input name='q'><button>{words(1, 1)}</button></form>",
-            lambda: f"<div class='{pick('share', 'social', 'tags', 'byline')}' data-y='0'>{links(2, 4, 'span')}</div>",
-        )
-        return made[int(rng.integers(len(made)))]()
-
-    def comments() -> str:
-        one = lambda: f"<{pick('div', 'li')} class='{pick('comment', 'reply', 'comment-body')}'><b>{words(1, 2)}</b><p>{sentences(1, 4)}</p></div>"
-        return f"<{pick('section', 'div')} {pick('class', 'id')}='{pick('comments', 'comment-list', 'discussion')}' data-y='0'><h3>{words(1, 2)}</h3>{''.join(one() for _ in range(int(rng.integers(1, 5))))}</section>"
-
-    pages = []
-    for _ in range(n):
-        top = [f"<{pick('header', 'header', 'div')}{attr('header', 'masthead', 'topbar')} data-y='0'><a href='/'>{words(1, 3)}</a><p>{sentences(0, 1)}</p></header>"] if maybe(0.4) else []
-        if maybe(0.85):
-            top.append(f"<{pick('nav', 'nav', 'div class=menu', 'div id=nav')} data-y='0'><ul>{links(3, 9)}</ul></nav></div>")
-        for _ in range(int(rng.integers(0, 3))):
-            top.append(junk())
-        main = f"<{pick('article', 'article', 'article', 'main', 'div class=content', 'div class=post-body', 'div id=article', 'section class=entry')} data-y='1'>{article()}"
-        if maybe(0.9):
-            main += "</article></main>" if main.startswith(("<article", "<main")) else "</section>" if main.startswith("<section") else "</div>"
-        if maybe(0.3) and main.endswith(("</article></main>", "</div>")):
-            main = f"<{pick('main', 'div', 'div class=wrapper', 'div id=page')} data-y='0'>{main}" + (junk() if maybe(0.5) else "") + "</div></main>"
-        after = [comments()] if maybe(0.3) else []
-        for _ in range(int(rng.integers(0, 2))):
-            after.append(junk())
-        if maybe(0.85):
-            after.append(f"<{pick('footer', 'footer', 'div class=footer', 'div id=footer')} data-y='0'>{pick('&copy;', '')} {words(1, 3)} &middot; {sentences(0, 2)}{links(0, 4, 'span')}</footer></div>")
-        page = f"<!DOCTYPE html><html><head><title>{words(2, 6)}</title><style>p{{}}</style></head><body>{''.join(top)}{main}{''.join(after)}</body></html>"
-        pages.append(page[: int(rng.integers(len(page) // 2, len(page)))] if maybe(0.08) else page)
-    return pages
