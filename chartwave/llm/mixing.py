@@ -18,8 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 PERIOD = 1000
 BLOCK_ROWS = 32
+#: Blocks of the schedule: beyond BLOCK_ROWS times as many rows a block is that share of the table.
+MOST_BLOCKS = 1 << 20
+#: Rows of one bucket from which row numbers spread the rows, as they share an id or have none.
+HOT_ROWS = 1 << 14
 #: Rows ranked in one task at a time, whatever the size of a source.
 BUCKET_ROWS = 256
 #: Sources up to which the tables by source are always broadcast; where there are more, up to TABLE_BYTES.
@@ -105,7 +111,7 @@ def tempered(counts: dict[str, int], alpha: float) -> dict[str, float]:
 
 
 def mix(
-    docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.5, block_rows: int = BLOCK_ROWS,
+    docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.5, block_rows: int | None = None,
     period: int = PERIOD, seed: int = 5, source_col: str = "source", max_sources: int = MAX_SOURCES,
     ordered: bool = False,
 ) -> DataFrame:
@@ -116,11 +122,16 @@ def mix(
     one slot in `period` (or in four times the number of sources, if more).  Without weights they follow the sources' sizes to the
     power alpha.  In every prefix of the order each source's blocks differ from its share
     by less than one; every row is placed exactly once, and a source's last block may be
-    shorter.
+    shorter.  A block has block_rows rows; by default BLOCK_ROWS, or a share of
+    1 / MOST_BLOCKS of the table if that is more, so the schedule, which the driver
+    computes, has a bounded number of blocks at every size.
 
     A null source is a source of its own.  Rows are ordered by a hash of doc_id, then
-    doc_id; repeated and null ids follow each other in any order.  Columns of the
-    input named like the new ones are replaced.  An empty table gives an empty result.
+    doc_id; repeated and null ids follow each other in any order.  If over HOT_ROWS rows
+    of one bucket share an id or have none, the table is written once with row numbers
+    and these join the hash, so that no task gets all such rows.  Texts of any length
+    only travel along.  Columns of the input named like the new ones are replaced.  An
+    empty table gives an empty result.
 
     Every source is a stream of its own, however many there are.  max_sources: up to so
     many, tables by source are always broadcast; beyond, only small ones are.
@@ -136,6 +147,7 @@ def mix(
     wanted = tempered(counts, alpha) if weights is None else {s: weights.get(s[1:], 0.0) for s in counts}
     if weights is not None and not sum(wanted.values()):
         wanted = {s: 1.0 for s in counts}
+    block_rows = block_rows or max(BLOCK_ROWS, -(-sum(counts.values()) // MOST_BLOCKS))
     plan = phases({s: -(-n // block_rows) for s, n in counts.items()}, wanted, max(period, 4 * len(counts)))
 
     # A row's rank in its source: its bucket's rows follow those of all earlier buckets.
@@ -143,7 +155,12 @@ def mix(
     names = list(counts)
     buckets = pa.table({"stream": pa.array(names, pa.string()), "buckets": pa.array([-(-counts[s] // BUCKET_ROWS) for s in names], pa.int64())})
     rows = rows.join(by_source(spark, buckets, few), "stream")
-    rows = rows.withColumn("bucket", F.shiftright(F.col("spread") * F.col("buckets"), 31)).drop("buckets")
+    bucket = F.shiftright(F.col("spread") * F.col("buckets"), 31)
+    sizes = rows.groupBy("stream", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    if sizes.where(F.col("n") > HOT_ROWS).limit(1).count():
+        numbered = cut(rows.withColumn("number", F.monotonically_increasing_id()))
+        rows = numbered.withColumn("spread", F.shiftrightunsigned(F.xxhash64("id", "number", F.lit(seed)), 33)).drop("number")
+    rows = rows.withColumn("bucket", bucket).drop("buckets")
     sizes = rows.groupBy("stream", "bucket").agg(F.count(F.lit(1)).alias("n"))
     group = F.shiftright("bucket", 10)
     small = Window.partitionBy("stream", group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,6 +1,9 @@
+import math
 from collections import Counter
+from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 from chartwave.llm import mixing
 from tests.llm.helpers import docs_of
@@ -104,3 +107,68 @@ def test_many_sources_keep_their_own_streams_and_weights(spark, monkeypatch, tab
     for slot, source in placed[:800]:
         done += source == "heavy"
         assert abs(done - (slot + 1) / 2) < 1
+
+
+def slow_edf(blocks, weights):
+    """Source of each slot, by exact fractions and a search of all released blocks in each slot."""
+    weights = {s: Fraction(weights[s]) for s in blocks}
+    times, at, left = {s: [Fraction(0)] for s in blocks}, Fraction(0), {s: Fraction(blocks[s]) for s in blocks}
+    while any(left.values()):
+        share = sum(weights[s] for s in left if left[s])
+        step = min(left[s] * share / weights[s] for s in left if left[s])
+        for s in left:
+            if left[s]:
+                done = blocks[s] - left[s]
+                more = step * weights[s] / share
+                for k in range(math.floor(done) + 1, math.floor(done + more) + 1):
+                    times[s].append(at + (k - done) * share / weights[s])
+                left[s] -= more
+        at += step
+    placed, order = dict.fromkeys(blocks, 0), []
+    for slot in range(sum(blocks.values())):
+        ready = [(math.ceil(times[s][k + 1]), s) for s, k in placed.items() if k < blocks[s] and math.floor(times[s][k]) <= slot]
+        due, s = min(ready)
+        assert due > slot
+        order.append(s)
+        placed[s] += 1
+    return order
+
+
+@pytest.mark.parametrize("weights", [None, {"a": 5, "b": 3, "c": 1, "d": 1}, {"a": 0.5, "b": 0.25, "c": 0.125}, {"zz": 2}])
+def test_whole_tables_equal_a_slow_schedule(spark, weights):
+    """Ties of weights, sources that run out, sources without a weight, a null source, null and repeated ids."""
+    rows = [(i, "x", None, "aabbcd"[i % 6]) for i in range(500)] + [(9000 + i, "y", None, None) for i in range(23)]
+    rows += [(None, "n", None, "a")] * 9 + [(7, "again", None, "a")] * 4
+    docs = docs_of(spark, rows)
+    got = mixing.mix(docs, weights=weights, alpha=1.0, block_rows=4, period=50).collect()
+    counts = Counter("" if r[3] is None else "=" + r[3] for r in rows)
+    blocks = {s: -(-n // 4) for s, n in counts.items()}
+    own = dict(counts) if weights is None else {s: weights.get(s[1:], 0) for s in counts}
+    if not sum(own.values()):
+        own = dict.fromkeys(own, 1)
+    own = {s: w or Fraction(sum(own.values())) / 50 for s, w in own.items()}
+    order = slow_edf(blocks, own)
+    hashed = {r[0]: r[1] for r in docs.select(F.col("doc_id").cast("string"), F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), F.lit(5)), 33)).distinct().collect()}
+    name = lambda s: "" if s is None else "=" + s
+    wanted = []
+    for s in blocks:
+        slots = [i for i, x in enumerate(order) if x == s]
+        ids = sorted((hashed[None if r[0] is None else str(r[0])], "" if r[0] is None else str(r[0])) for r in rows if name(r[3]) == s)
+        wanted += [(s, i, k // 4, slots[k // 4], k % 4) for k, (_, i) in enumerate(ids)]
+    assert sorted(wanted) == sorted((name(r.source), "" if r.doc_id is None else str(r.doc_id), r.mix_block, r.mix_slot, r.mix_place) for r in got)
+
+
+def test_rows_that_share_an_id_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "HOT_ROWS", 1000)
+    rows = [(None, f"t{i}", None, "a") for i in range(3000)] + [(5, "same", None, "b")] * 3000 + [(i, "x", None, "c") for i in range(10, 3010)]
+    docs = docs_of(spark, rows)
+    out = mixing.mix(docs, block_rows=10)
+    got = out.collect()
+    assert sorted((r.text, r.source) for r in got) == sorted((r[1], r[3]) for r in rows)
+    assert sorted((r.mix_slot, r.mix_place) for r in got) == [(i // 10, i % 10) for i in range(9000)]
+
+
+def test_blocks_are_a_share_of_large_tables(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 8)
+    got = mixing.mix(docs_of(spark, [(i, "x", None, "ab"[i % 2]) for i in range(4000)])).collect()
+    assert len({r.mix_slot for r in got}) == 8 and max(r.mix_place for r in got) == 499
