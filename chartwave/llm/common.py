@@ -46,9 +46,11 @@ def utf8(column: pa.Array) -> list:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one only where that is unset."""
+    """A new folder below spark.checkpoint.dir; a temporary one only where that is unset on a local master."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = os.path.join(tempfile.gettempdir(), "checkpoints")
     return f"{root.rstrip('/')}/chartwave-{uuid.uuid4().hex}"
 
@@ -91,16 +93,18 @@ def components(links: DataFrame) -> DataFrame:
     edges = cut(canonical(links))
     state = None
     while True:
+        # Each table is written before the join that reads it: both sides of a join are then
+        # plain, and a node with very many links can be split over tasks.
         both = edges.union(edges.select("dst", "src")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("src"), F.col("m").alias("dst"))
-        large = canonical(large)
-        down = large.toDF("u", "v")
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.col("v").alias("src"), F.col("m").alias("dst"))
-        after = cut(canonical(small.union(least.toDF("src", "dst"))))
+        down = cut(canonical(large).toDF("u", "v"))
+        lower = cut(down.groupBy("u").agg(F.min("v").alias("m")))
+        small = down.join(lower, "u").select(F.col("v").alias("src"), F.col("m").alias("dst"))
+        after = cut(canonical(small.union(lower.toDF("src", "dst"))))
         now = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
-        drop_table(edges)
+        for spent in (edges, least, down, lower):
+            drop_table(spent)
         edges = after
         if now == state or not now[0]:
             break
