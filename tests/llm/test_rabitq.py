@@ -57,22 +57,55 @@ def test_empty_table_null_and_repeated_ids(spark):
     assert out == [(0, 0, None, False), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False)]
 
 
-def test_estimates_are_unbiased_and_the_bound_is_certain():
-    rng = np.random.default_rng(4)
-    d, cosine = 48, 0.9
-    o = rng.standard_normal((400, d))
-    q = cosine * o / np.linalg.norm(o, axis=1, keepdims=True)
-    side = rng.standard_normal((400, d))
+def pairs_at(rng, n, d, cosine):
+    o, side = rng.standard_normal((n, d)), rng.standard_normal((n, d))
     o /= np.linalg.norm(o, axis=1, keepdims=True)
     side -= (side * o).sum(1, keepdims=True) * o
-    q = cosine * o + math.sqrt(1 - cosine**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
-    means = []
+    return o, cosine * o + math.sqrt(1 - cosine**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+
+
+def test_estimates_are_unbiased_and_the_bound_holds():
+    rng = np.random.default_rng(4)
+    d, cosine = 48, 0.9
+    o, q = pairs_at(rng, 1000, d, cosine)
+    means, below = [], 0
     for seed in range(30):
-        bits, factor = rabitq.codes(o, 1, seed)
-        est = np.diag(rabitq.estimate(bits, factor, q @ rabitq.rotation(d, 0, seed).T))
-        assert (est >= rabitq.least_estimate(factor, cosine, d, None) - 1e-9).all()
+        bits, factor, turned = rabitq.codes(o, 1, seed)
+        packed = rabitq.pack(*rabitq.codes(q, 2, seed))
+        more, _, step, near = rabitq.unpack(packed, d)
+        assert np.abs(near - q @ rabitq.rotation(d, 0, seed).T).max(axis=1).max() <= step.max() / 2 + 1e-6
+        assert (more[:, : 2 * d] == rabitq.codes(q, 2, seed)[0]).all()
+        est = np.diag(rabitq.estimate(bits, factor, near))
+        below += (est < rabitq.least_estimate(factor, step, cosine, d, 3.0)).sum()
         means.append(est.mean())
     assert abs(np.mean(means) - cosine) < 0.003
+    assert below <= 3 * 30_000 * (1 - rabitq.NormalDist().cdf(3.0))
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs just above the threshold are all found, however the two halves of the loss fall."""
+    rng = np.random.default_rng(8)
+    o, q = pairs_at(rng, 1500, 64, 0.9501)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.concatenate([o, q]))]
+    out = rabitq.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sum(r.n_links > 0 for r in out) >= 0.999 * len(rows)
+
+
+def test_copies_count_without_being_compared(spark):
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal((3, 16))
+    rows = [(i, [float(x) for x in base[i % 3]]) for i in range(3000)] + [(9000, [float(x) for x in base[0] * 1.5])]
+    out = {r.vec_id: (r.n_links, r.component_id) for r in rabitq.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    near = [[j for j in range(3) if base[i] @ base[j] >= 0.95 * np.linalg.norm(base[i]) * np.linalg.norm(base[j])] for i in range(3)]
+    assert near == [[0], [1], [2]]
+    assert all(out[i] == (1000 if i % 3 == 0 else 999, i % 3) for i in range(3000)) and out[9000] == (1000, 0)
+
+
+def test_repeated_ids_with_different_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.99, 0.01]), (2, [1.0, 0.0]), (2, [1.0, 0.001]), (-2, [1.0, 0.001]), (3, [0.0, 1.0]), (1, [0.0, 1.0])]
+    out = rabitq.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    # Links of all rows of an id: id 1 has two rows that link with three vectors of other ids, and one with one.
+    assert sorted({(r.vec_id, r.n_links, r.component_id) for r in out}) == [(-2, 4, -2), (1, 7, -2), (2, 6, -2), (3, 1, -2)]
 
 
 def test_bands_reach_the_wanted_recall():
