@@ -1,30 +1,33 @@
 """Line dedup with two Bloom filters for hashes seen once and seen twice.
 
-Each task sets the cells of its line hashes in a once filter; a hash whose cells
-are all set already goes to the twice filter.  The filters travel as pages and are
-merged page by page: a cell is in the merged twice filter if it is in any task's
-twice filter or in two tasks' once filters.  Lines outside the twice filter were
-certainly seen in one document only and never leave their task.  The others are
-suspected repeats: they alone are shuffled, counted exactly by the line itself,
-and the largest doc_id that holds them keeps them.
+The hash space is cut into ranges of a bounded number of lines.  Each range has a once
+and a twice filter: a hash whose cells are all set in the once filter goes to the twice
+filter.  Every document's line hashes travel to their range twice, first to fill the
+filters and then to be looked up.  Lines outside the twice filter were certainly seen in
+one document only and go no further.  The others are suspected repeats: they alone are
+counted exactly, and the largest doc_id that holds them keeps them.
+
+Lines are told apart by a 128-bit cryptographic digest, of which the filters use 64 bits.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, map_batches, utf8
+from .common import bounded_batches, cut, drop_table, utf8
 
-PAGE_CELLS = 1 << 16
-#: Bound on the twice filter, the only thing broadcast.  A fuller filter lets more
-#: lines be suspected, which costs shuffle and never correctness.
-MAX_FILTER_BYTES = 64 << 20
+#: Cells of each of the two filters of a range, and the lines that a range should have: what a task holds
+#: at a time has one size for any table.
+RANGE_CELLS = 1 << 22
+RANGE_LINES = RANGE_CELLS // 8
+#: Digests that a task remembers, so that a line met again and again does not travel each time.
+REMEMBERED = 200_000
 
 
 def line_key(line: bytes) -> bytes:
@@ -36,98 +39,142 @@ def long_enough(key: bytes, least: int) -> bool:
     return len(key) >= least and (len(key) >= 4 * least or len(key.decode("utf-8", "replace")) >= least)
 
 
-def document_keys(text: bytes | None, least: int) -> set[bytes]:
+def digest_of(key: bytes) -> bytes:
+    return hashlib.blake2b(key, digest_size=16).digest()
+
+
+def document_digests(text: bytes | None, least: int) -> set[bytes]:
+    """Digests of the distinct keys of a text that are long enough."""
     keys = {line_key(x) for x in (text or b"").split(b"\n")}
-    return {k for k in keys if long_enough(k, least)}
+    return {digest_of(k) for k in keys if long_enough(k, least)}
+
+
+def places(digests: list[bytes], ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """(range, hash) of each digest."""
+    words = np.frombuffer(b"".join(digests), dtype="<u8").reshape(-1, 2)
+    part = (words[:, 0] >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+    return part.astype(np.int32), words[:, 1].view(np.int64)
 
 
-def cells_of(keys, cells: int) -> np.ndarray:
-    """Two cells for each key, from the two halves of its 64-bit hash."""
-    h = np.fromiter((xxhash.xxh64_intdigest(k) for k in keys), dtype=np.uint64)
-    mask = np.uint64(cells - 1)
-    return np.stack([h & mask, (h >> np.uint64(32)) & mask], axis=1).astype(np.int64)
+def cells_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two cells of each hash in the filters of its range."""
+    h = hashes.view(np.uint64)
+    return (h & np.uint64(RANGE_CELLS - 1)).astype(np.int64), (h >> np.uint64(32) & np.uint64(RANGE_CELLS - 1)).astype(np.int64)
 
 
-def pages(once: np.ndarray, twice: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
-    """Non-empty pages of two flag arrays, as cell offsets or, where shorter, as bits."""
+def bit(packed: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    return (packed[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
 
-    def pack(flags: np.ndarray) -> bytes:
-        at = np.flatnonzero(flags)
-        return b"o" + at.astype("<u2").tobytes() if 2 * len(at) < PAGE_CELLS // 8 else b"b" + np.packbits(flags).tobytes()
 
-    for page in np.unique(np.flatnonzero(once) // PAGE_CELLS).tolist():
-        own = slice(page * PAGE_CELLS, (page + 1) * PAGE_CELLS)
-        yield page, pack(once[own]), pack(twice[own])
+class Memory:
+    """How often a task has met a digest, up to REMEMBERED of them; then it starts anew."""
 
+    def __init__(self):
+        self.met: dict[bytes, int] = {}
 
-def unpack(page: bytes) -> np.ndarray:
-    if page[:1] == b"b":
-        return np.unpackbits(np.frombuffer(page, dtype=np.uint8, offset=1)).astype(bool)
-    flags = np.zeros(PAGE_CELLS, dtype=bool)
-    flags[np.frombuffer(page, dtype="<u2", offset=1)] = True
-    return flags
+    def count(self, digest: bytes) -> int:
+        n = self.met.get(digest, 0)
+        if len(self.met) >= REMEMBERED:
+            self.met.clear()
+        self.met[digest] = n + 1
+        return n
 
 
-def twice_filter(texts: DataFrame, cells: int, least: int) -> DataFrame:
-    """Pages (page, bits) of the merged twice filter over the documents of column text."""
-    bounded_batches(texts.sparkSession)
+def twice_filters(docs: DataFrame, ranges: int, least: int) -> DataFrame:
+    """Rows (part, bits): the twice filter of each range of hashes of the column text."""
+    bounded_batches(docs.sparkSession)
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(cells, dtype=bool), np.zeros(cells, dtype=bool)
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = Memory()
         for batch in batches:
-            for text in utf8(batch.column(0)):
-                own = cells_of(document_keys(text, least), cells)
-                seen = once[own].all(axis=1)
-                twice[own[seen]] = True
-                once[own] = True
-        for page, a, b in pages(once, twice):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([page], pa.int64()), pa.array([a], pa.binary()), pa.array([b], pa.binary())],
-                names=["page", "once", "twice"],
-            )
+            # Two documents say all that the filters ask about a digest.
+            found = [d for text in utf8(batch.column(0)) for d in document_digests(text, least) if memory.count(d) < 2]
+            part, h = places(found, ranges)
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(h)], names=["part", "hash"])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once = twice = None
+        last = None
 
-    def merge(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        once, twice = np.zeros(PAGE_CELLS, dtype=bool), np.zeros(PAGE_CELLS, dtype=bool)
-        for a, b in zip(group["once"].to_pylist(), group["twice"].to_pylist()):
-            seen = unpack(a)
-            twice |= unpack(b) | (once & seen)
-            once |= seen
-        return pa.table({"page": [key[0].as_py()], "bits": pa.array([np.packbits(twice).tobytes()], pa.binary())})
+        def filled() -> pa.RecordBatch:
+            bits = pa.array([np.packbits(twice).tobytes()], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), bits], names=["part", "bits"])
 
-    parts = texts.mapInArrow(build, "page long, once binary, twice binary")
-    return parts.groupBy("page").applyInArrow(merge, "page long, bits binary")
+        for batch in batches:
+            parts, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            starts = np.r_[0, np.flatnonzero(parts[1:] != parts[:-1]) + 1] if len(parts) else []
+            for s, e in zip(starts, [*starts[1:], len(parts)]):
+                if parts[s] != last:
+                    if last is not None:
+                        yield filled()
+                    last = int(parts[s])
+                    once, twice = np.zeros(RANGE_CELLS, dtype=bool), np.zeros(RANGE_CELLS, dtype=bool)
+                own, n = np.unique(rows[s:e], return_counts=True)
+                x, y = cells_of(own)
+                again = (n > 1) | (once[x] & once[y])
+                twice[x[again]] = twice[y[again]] = True
+                once[x] = once[y] = True
+        if last is not None:
+            yield filled()
+
+    dealt = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(hashes, "part int, hash long")
+    return dealt.repartition("part").sortWithinPartitions("part").mapInArrow(fill, "part int, bits binary")
+
+
+def suspected_lines(docs: DataFrame, min_chars: int, ranges: int) -> DataFrame:
+    """Rows (digest, doc_id, row), once per document: lines that the twice filters do not rule out.
+
+    row is a hash of the text: it tells rows of one id apart, and spreads those without an id.
+    """
+    filters = cut(twice_filters(docs, ranges, min_chars))
+    schema = "part int, bits binary, digest binary, doc_id long, row long"
 
+    def lookups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = Memory()
+        for batch in batches:
+            found, at, sure = [], [], []
+            for i, text in enumerate(utf8(batch.column(1))):
+                for d in document_digests(text, min_chars):
+                    found.append(d)
+                    at.append(i)
+                    # Met before by this task: a repeat for certain, for any task to pass on.
+                    sure.append(memory.count(d) > 0)
+            part, h = places(found, ranges)
+            sure = np.array(sure, dtype=bool)
+            rows = batch.take(pa.array(at, pa.int64()))
+            part = np.where(sure, (h ^ rows.column(2).to_numpy()) % ranges, part) if len(found) else part
+            known = pa.array([b"" if s else None for s in sure], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part, pa.int32()), known, pa.array(found, pa.binary()), rows.column(0), rows.column(2)],
+                names=["part", "bits", "digest", "doc_id", "row"],
+            )
 
-def suspected_lines(docs: DataFrame, min_chars: int, max_filter_bytes: int) -> DataFrame:
-    """Rows (doc_id, key), once per document: lines that the twice filter does not rule out."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col("text").cast("string").alias("text"))
-    breaks = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
-    n_lines = texts.agg(F.sum(breaks + 1)).first()[0] or 0
-    cells = PAGE_CELLS
-    while cells < 8 * n_lines and cells < 8 * max_filter_bytes:
-        cells *= 2
-    bits = np.zeros(cells // 8, dtype=np.uint8)
-    for row in twice_filter(texts, cells, min_chars).toLocalIterator():
-        bits[row.page * PAGE_CELLS // 8 : (row.page + 1) * PAGE_CELLS // 8] = np.frombuffer(row.bits, dtype=np.uint8)
-    shared = spark.sparkContext.broadcast(bits.tobytes())
-
-    def work(batch: pa.RecordBatch):
-        twice = np.frombuffer(shared.value, dtype=np.uint8)
-        ids, found = [], []
-        for doc_id, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
-            keys = list(document_keys(text, min_chars))
-            at = cells_of(keys, cells)
-            hit = (twice[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
-            own = [k for k, h in zip(keys, hit.all(axis=1).tolist()) if h]
-            ids += [doc_id] * len(own)
-            found += own
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(found, pa.binary())], names=["doc_id", "key"]
-        )
-
-    narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return map_batches(narrow, work, "doc_id long, key binary")
+    def pass_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, twice = None, None
+        for batch in batches:
+            parts = batch.column(0).to_numpy()
+            starts = np.r_[0, np.flatnonzero(parts[1:] != parts[:-1]) + 1] if len(parts) else []
+            for s, e in zip(starts, [*starts[1:], len(parts)]):
+                run = batch.slice(s, e - s)
+                if parts[s] != last:
+                    last, twice = parts[s], None
+                if not run.column(2)[0].is_valid:  # the filter of the range comes first
+                    twice = np.frombuffer(run.column(1)[0].as_py(), dtype=np.uint8)
+                    run = run.slice(1)
+                if run.num_rows:
+                    x, y = cells_of(places(run.column(2).to_pylist(), ranges)[1])
+                    known = run.column(1).is_valid().to_numpy(zero_copy_only=False)
+                    stays = known | (True if twice is None else bit(twice, x) & bit(twice, y))
+                    yield pa.RecordBatch.from_arrays(run.filter(pa.array(stays)).columns[2:], names=["digest", "doc_id", "row"])
+
+    text = F.col("text").cast("string")
+    narrow = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("row"))
+    none = F.lit(None)
+    first = filters.select("part", "bits", none.cast("binary").alias("digest"), none.cast("long").alias("doc_id"), none.cast("long").alias("row"))
+    both = narrow.mapInArrow(lookups, schema).union(first)
+    suspects = cut(both.repartition("part").sortWithinPartitions("part", F.col("digest").isNotNull()).mapInArrow(pass_on, "digest binary, doc_id long, row long"))
+    drop_table(filters)
+    return suspects
 
 
 def without_lines(text: pa.Array, drops: pa.Array) -> pa.Array:
@@ -136,7 +183,7 @@ def without_lines(text: pa.Array, drops: pa.Array) -> pa.Array:
     for t, keys in zip(utf8(text), drops.to_pylist()):
         lines = (t or b"").split(b"\n")
         gone = set(keys or ())
-        kept = [x for x in lines if line_key(x) not in gone] if gone else lines
+        kept = [x for x in lines if digest_of(line_key(x)) not in gone] if gone else lines
         texts.append(None if t is None else b"\n".join(kept))
         counts.append(len(lines))
         dropped.append(len(lines) - len(kept))
@@ -146,9 +193,7 @@ def without_lines(text: pa.Array, drops: pa.Array) -> pa.Array:
     )
 
 
-def dedup_lines(
-    docs: DataFrame, min_chars: int = 20, min_docs: int = 3, max_filter_bytes: int = MAX_FILTER_BYTES
-) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, range_lines: int = RANGE_LINES) -> DataFrame:
     """The input rows with repeated lines dropped from text, plus n_lines and n_dropped.
 
     A line's key is the line without ASCII white space at both ends, A-Z lower-cased.
@@ -157,29 +202,31 @@ def dedup_lines(
 
     A null or empty text is one empty line and stays as it is.  Each input row is a
     document of its own; rows that share the largest doc_id all keep the line, and
-    rows that share another doc_id lose what any of them loses.  Rows with a null
+    rows that share another doc_id each lose their repeated lines.  Rows with a null
     doc_id count, and lose a repeated line unless no row that holds it has an id.
-    Other columns stay; columns named n_lines or n_dropped are replaced.  An empty
-    table gives an empty result.
+    Texts of any length are read whole.  Other columns stay; columns named n_lines or
+    n_dropped are replaced.  An empty table gives an empty result.
     """
     bounded_batches(docs.sparkSession)
-    suspects = cut(suspected_lines(docs, min_chars, max_filter_bytes))
+    breaks = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    n_lines = docs.select(F.col("text").cast("string").alias("text")).agg(F.sum(breaks + 1)).first()[0] or 0
+    suspects = suspected_lines(docs, min_chars, max(1, -(-n_lines // range_lines)))
     # Written first, so that both sides of the join below are plain and a line that very
     # many documents hold can be split over tasks.
     repeated = cut(
-        suspects.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper"))
+        suspects.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper"))
         .where((F.col("n") >= min_docs) & F.col("keeper").isNotNull())
-        .select("key", "keeper")
+        .select("digest", "keeper")
     )
     drops = (
-        suspects.join(repeated, "key")
+        suspects.join(repeated, "digest")
         .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-        .groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
-        .withColumnRenamed("doc_id", "dropper")
+        .groupBy(F.col("doc_id").alias("dropper"), F.col("row").alias("dropping")).agg(F.collect_set("digest").alias("keys"))
     )
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
+    text = F.col("text").cast("string")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("own"))
     drop = F.arrow_udf(without_lines, "text string, n_lines long, n_dropped long")
-    joined = rows.join(drops, F.col("id").eqNullSafe(F.col("dropper")), "left")
+    joined = rows.join(drops, F.col("id").eqNullSafe(F.col("dropper")) & (F.col("own") == F.col("dropping")), "left")
     done = joined.select("row", drop(F.col("row.text").cast("string"), "keys").alias("done"))
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return done.select(

@@ -31,15 +31,16 @@ def result(df):
     return {r.doc_id: (r.n_lines, r.n_dropped, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in df.collect()}
 
 
-@pytest.mark.parametrize("max_bytes", [64 << 20, 8192])
-def test_matches_brute_force_on_a_table(spark, max_bytes):
+@pytest.mark.parametrize("range_lines, remembered", [(lines.RANGE_LINES, lines.REMEMBERED), (700, 50)])
+def test_matches_brute_force_on_a_table(spark, monkeypatch, range_lines, remembered):
+    monkeypatch.setattr(lines, "REMEMBERED", remembered)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    assert result(lines.dedup_lines(docs, max_filter_bytes=max_bytes)) == brute(rows)
+    assert result(lines.dedup_lines(docs, range_lines=range_lines)) == brute(rows)
 
 
 def test_odd_texts_and_full_filter(spark, monkeypatch):
-    monkeypatch.setattr(lines, "cells_of", lambda keys, cells: lines.np.zeros((len(list(keys)), 2), dtype=int))
+    monkeypatch.setattr(lines, "cells_of", lambda hashes: [lines.np.zeros(len(hashes), dtype=int)] * 2)
     same = "This line is long enough to count"
     rows = [(1, None), (2, ""), (3, f" {same.upper()}\r\nown line of the third text\n"), (4, f"{same}\n{same}\t"),
             (9, f"a\n{same}\n\nb"), (7, "ÄÖÜ" * 7 + "\n" + "x" * 19), (8, "äöü" * 7), (5, "ÄÖÜ" * 7 + "x" * 90_000)]
@@ -62,11 +63,22 @@ def test_ids_and_clashing_columns(spark):
     assert lines.dedup_lines(docs_of(spark, [])).count() == 0
 
 
-def test_pages_round_trip():
-    flags = lines.np.zeros(4 * lines.PAGE_CELLS, dtype=bool)
-    flags[[3, 70_000]] = True
-    flags[2 * lines.PAGE_CELLS : 3 * lines.PAGE_CELLS : 3] = True
-    seen = dict((p, lines.unpack(a)) for p, a, _ in lines.pages(flags, flags))
-    for p in range(4):
-        own = flags[p * lines.PAGE_CELLS : (p + 1) * lines.PAGE_CELLS]
-        assert (seen[p] == own).all() if own.any() else p not in seen
+def test_most_lines_of_one_document_are_ruled_out(spark):
+    own = [(i, "\n".join(f"line {j} of document {i} is its own" for j in range(30))) for i in range(300)]
+    shared = [(i, "a line that all of these documents hold") for i in range(1000, 1400)]
+    docs = docs_of(spark, own + shared)
+    got = lines.suspected_lines(docs, 20, 3)
+    by = {}
+    for r in got.collect():
+        by.setdefault(bytes(r.digest), []).append(r.doc_id)
+    # The shared line is suspected in each of its documents, of the others few by chance.
+    assert sorted(by.pop(lines.digest_of(b"a line that all of these documents hold"))) == list(range(1000, 1400))
+    assert len(by) < 90
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    same = "This line is long enough to count"
+    rows = [(None, f"{same}\nnull {i} and some more of it") for i in range(40)] + [(1, f"{same}\n{i}") for i in range(3)] + [(2, same)] * 2
+    got = sorted((r.doc_id or 0, r.text, r.n_dropped) for r in lines.dedup_lines(docs_of(spark, rows)).collect())
+    wanted = [(0, f"null {i} and some more of it", 1) for i in range(40)] + [(1, str(i), 1) for i in range(3)] + [(2, same, 0)] * 2
+    assert got == sorted(wanted)
