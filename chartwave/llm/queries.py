@@ -9,8 +9,10 @@ from . import bpe, html_tree, langid, lines, mixing, quality, rabitq, secret_sca
 from .common import table
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
-#: Site names that the URL list blocks.
-BLOCKED_LABELS = ["adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+#: The list of blocked hosts: each of these names in each of these zones.
+BLOCKED_NAMES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+BLOCKED_ZONES = ("com", "net", "org", "example.com", "example.net", "example.org")
+BLOCKED_HOSTS = [f"{name}.{zone}" for name in BLOCKED_NAMES for zone in BLOCKED_ZONES]
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -55,7 +57,8 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.filter_urls(table(spark, sf_dir, "pages"), RULES, BLOCKED_LABELS)
+    listed = spark.createDataFrame([(h,) for h in BLOCKED_HOSTS], "host string")
+    return urls.filter_urls(table(spark, sf_dir, "pages"), RULES, listed)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import BLOCKED_LABELS, RULES
+from .queries import BLOCKED_HOSTS, RULES
 from .secret_scan import BASE, MAX_OWNERS, OPAQUE
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -105,14 +105,15 @@ def _op7() -> str:
         fits = f"WHEN (host = '{site}' OR ends_with(host, '.{site}')) AND starts_with(path, '{slash + rest}') THEN"
         cases["rule"] += f" {fits} '{text}'"
         cases["verdict"] += f" {fits} '{kind}'"
-    labels = ", ".join(f"'{x}'" for x in BLOCKED_LABELS)
+    listed = ", ".join(f"('{x}')" for x in BLOCKED_HOSTS)
     return f"""
 WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substring(url, instr(url, '://') + 3) END AS tail FROM pages),
 h AS (
   SELECT page_id, coalesce({_LOWER.format("regexp_extract(tail, '^([^/?#]*)', 1)")}, '') AS host,
     coalesce(regexp_extract(tail, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u)
 SELECT page_id, host, path, CASE{cases["rule"]} END AS rule,
-  CASE{cases["verdict"]} WHEN list_has_any(string_split(host, '.'), [{labels}]) THEN 'block' ELSE 'allow' END AS verdict
+  CASE{cases["verdict"]} WHEN EXISTS (
+    SELECT 1 FROM (VALUES {listed}) b(listed) WHERE host = listed OR ends_with(host, '.' || listed)) THEN 'block' ELSE 'allow' END AS verdict
 FROM h
 """
 

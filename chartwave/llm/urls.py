@@ -4,23 +4,24 @@ The cascade's first level is a Bloom filter of the listed keys.  The keys of the
 corpus that it lets through wrongly are encoded in a second level, the listed keys
 that pass that one in a third, and so on until nothing passes wrongly.  Over the
 corpus's complete key universe membership is then exact: a key is listed if the
-number of levels that it passes before its first miss is odd.  The filter words
-are a literal in the plan, so rows are judged where they are read, without a join.
+number of levels that it passes before its first miss is odd.  The filter words of a
+level are one array, made by the cluster and shared as a scalar subquery, so rows are
+judged where they are read, without a join.
 """
 
 from __future__ import annotations
 
-import json
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop_table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Bound on all levels together; larger lists are matched by a semi join instead.
-MAX_CASCADE_BYTES = 4 << 20
+#: Bound on all levels together, which every executor holds; longer lists are matched by a join instead.
+MAX_CASCADE_BYTES = 16 << 20
 MAX_LEVELS = 64
 
 
@@ -53,94 +54,110 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
     return (none, none) if rule is None else (rule, verdict)
 
 
+def suffixes_of(host: Column) -> Column:
+    """The host and all domains above it, longest first: a.b.c, b.c, c."""
+    labels = F.split(host, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+
+
+@dataclass
+class Level:
+    """One Bloom filter: its words are the only row of a written table."""
+
+    hashes: int
+    bits: int
+    words: DataFrame
+
+    def array(self) -> Column:
+        return self.words.scalar()
+
+
 def positions(key: Column, level: int, hashes: int, bits: int) -> list[Column]:
     return [F.pmod(F.xxhash64(key, F.lit(level), F.lit(i)), F.lit(bits).cast("long")) for i in range(hashes)]
 
 
-def build_level(keys: DataFrame, level: int, hashes: int, bits: int) -> list[int]:
-    """The words of one level's filter over column key."""
+def build_level(keys: DataFrame, level: int, hashes: int, bits: int) -> Level:
+    """One level's filter over column key: its 64-bit words in order."""
     at = keys.select(F.explode(F.array(*positions(F.col("key"), level, hashes, bits))).alias("at"))
-    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(
-        F.expr("bit_or(shiftleft(1L, CAST(at & 63 AS INT)))").alias("bits")
-    )
-    out = [0] * (bits // 64 + 1)
-    for row in words.collect():
-        out[row.word] = row.bits
-    return out
+    words = at.groupBy(F.shiftright("at", 6).alias("id")).agg(F.expr("bit_or(shiftleft(1L, CAST(at & 63 AS INT)))").alias("bits"))
+    every = keys.sparkSession.range(bits // 64 + 1).join(words, "id", "left").select("id", F.coalesce("bits", F.lit(0)).alias("bits"))
+    row = every.agg(F.array_sort(F.collect_list(F.struct("id", "bits"))).alias("words")).select(F.expr("transform(words, w -> w.bits)").alias("words"))
+    return Level(hashes, bits, cut(row))
 
 
-def passes(key: Column, level: int, hashes: int, bits: int, words: list[int]) -> Column:
-    table = F.from_json(F.lit(json.dumps(words)), "array<bigint>")
+def passes(key: Column, number: int, level: Level, words: Column) -> Column:
     hit = F.lit(True)
-    for at in positions(key, level, hashes, bits):
-        word = F.get(table, F.shiftright(at, 6).cast("int"))
+    for at in positions(key, number, level.hashes, level.bits):
+        word = F.get(words, F.shiftright(at, 6).cast("int"))
         hit = hit & (F.getbit(word, at.bitwiseAND(F.lit(63)).cast("int")) == 1)
     return hit
 
 
-def cascade(listed: DataFrame, universe: DataFrame, max_bytes: int = MAX_CASCADE_BYTES) -> list[tuple] | None:
-    """Levels (hashes, bits, words) that tell the listed keys among the universe; None beyond the bound.
+def cascade(listed: DataFrame, universe: DataFrame, max_bytes: int = MAX_CASCADE_BYTES) -> list[Level] | None:
+    """Levels that tell the listed keys among the universe; None beyond the bound.
 
-    Both frames have distinct non-null keys in column key; keys listed but not in the
-    universe are encoded too.
+    Both frames have distinct non-null keys in column key.  Listed keys outside the universe
+    are left out: no row asks for them.
     """
-    inside = cut(listed.select("key"))
-    outside = cut(universe.select("key").join(inside, "key", "left_anti"))
+    universe = cut(universe.select("key"))
+    inside = cut(universe.join(listed.select("key"), "key", "left_semi"))
+    outside = cut(universe.join(inside, "key", "left_anti"))
     n_in, n_out = inside.count(), outside.count()
-    levels: list[tuple] = []
+    levels: list[Level] = []
     rate = min(0.5, n_in / max(1.0, math.sqrt(2) * n_out))
     while n_in:
-        if len(levels) >= MAX_LEVELS:
-            return None
         hashes = max(1, round(math.log2(1 / rate)))
         bits = max(64, math.ceil(n_in * hashes / math.log(2)))
-        if sum(len(w) for _, _, w in levels) * 8 + bits // 8 > max_bytes:
+        if len(levels) >= MAX_LEVELS or sum(x.bits for x in levels) + bits > 8 * max_bytes:
             return None
-        level = len(levels)
-        words = build_level(inside, level, hashes, bits)
-        levels.append((hashes, bits, words))
-        wrong = outside.where(passes(F.col("key"), level, hashes, bits, words))
-        wrong = cut(wrong)
+        number = len(levels)
+        levels.append(build_level(inside, number, hashes, bits))
+        wrong = cut(outside.where(passes(F.col("key"), number, levels[-1], levels[-1].array())))
+        drop_table(outside)
         inside, outside, n_in, rate = wrong, inside, wrong.count(), 0.5
+    drop_table(universe)
     return levels
 
 
-def listed_in(key: Column, levels: list[tuple]) -> Column:
+def listed_in(key: Column, levels: list[Level], words: list[Column]) -> Column:
     """Whether a key of the universe is listed: the first level that it misses decides."""
     verdict = F.lit(len(levels) % 2 == 1)
-    for level in range(len(levels) - 1, -1, -1):
-        hashes, bits, words = levels[level]
-        verdict = F.when(passes(key, level, hashes, bits, words), verdict).otherwise(F.lit(level % 2 == 1))
+    for number in range(len(levels) - 1, -1, -1):
+        verdict = F.when(passes(key, number, levels[number], words[number]), verdict).otherwise(F.lit(number % 2 == 1))
     return verdict
 
 
 def filter_urls(
-    pages: DataFrame, rules: list[tuple[str, str]], blocked_labels: list[str],
-    max_bytes: int = MAX_CASCADE_BYTES, id_col: str = "page_id",
+    pages: DataFrame, rules: list[tuple[str, str]], listed: DataFrame, max_bytes: int = MAX_CASCADE_BYTES, id_col: str = "page_id"
 ) -> DataFrame:
     """Judges each row's url; returns the id, host, path, rule and verdict (allow or block).
 
-    The longest rule that fits decides.  Else hosts with one of the blocked labels
-    between their dots are blocked: the listed keys are those hosts, the universe is
-    all hosts of the table, and the cascade over both is exact.
+    The longest rule that fits decides.  Else hosts are blocked that are listed (column
+    host, lower case) or lie below a listed one.  The cascade's universe are all hosts of
+    the table and the domains above them, over which it is exact.
 
     A null url, or one without ://, has empty host and path and is allowed unless
-    listed.  Repeated rows are judged each, null ids kept, further columns left out;
-    an empty table gives an empty result.
-    """
+    listed.  Null and repeated listed hosts count once or not at all.  Urls of any length
+    are read whole.  Repeated rows are judged each, null ids kept, further columns left
+    out; an empty table gives an empty result.
+    """
     url = F.col("url").cast("string")
     hosts = pages.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"))
-    universe = cut(hosts.select(F.col("host").alias("key")).distinct())
-    marks = F.array(*[F.lit(x) for x in blocked_labels]).cast("array<string>")
-    listed = universe.where(F.arrays_overlap(F.split("key", r"\."), marks))
-    levels = cascade(listed, universe, max_bytes)
+    universe = hosts.select("host").distinct().select(F.explode(suffixes_of(F.col("host"))).alias("key")).distinct()
+    keys = listed.select(F.col("host").cast("string").alias("key")).where("key IS NOT NULL").distinct()
+    levels = cascade(keys, universe, max_bytes)
+    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     if levels is None:
-        hit = F.col("listed").isNotNull()
-        hosts = hosts.join(listed.select(F.col("key").alias("host"), F.lit(True).alias("listed")), "host", "left")
+        below = universe.join(keys, "key", "left_semi")
+        own = hosts.select("host").distinct().select("host", F.explode(suffixes_of(F.col("host"))).alias("key"))
+        hit_hosts = own.join(below, "key", "left_semi").select("host").distinct().withColumn("hit", F.lit(True))
+        judged = hosts.join(hit_hosts, "host", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
     else:
-        hit = listed_in(F.col("host"), levels)
-    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    return hosts.select(
+        names = [f"words_{i}" for i in range(len(levels))]
+        judged = hosts.select("*", *[x.array().alias(n) for x, n in zip(levels, names)])
+        hit = F.exists(suffixes_of(F.col("host")), lambda key: listed_in(key, levels, [F.col(n) for n in names])) if levels else F.lit(False)
+        judged = judged.withColumn("hit", hit)
+    return judged.select(
         F.col("id").alias(id_col), "host", "path", rule.alias("rule"),
-        F.coalesce(verdict, F.when(hit, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
+        F.coalesce(verdict, F.when(F.col("hit"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
     )
