@@ -39,7 +39,8 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = F.expr("array_join(transform(spans, s -> concat(s.kind, ':', s.start, ':', s.end)), ',')")
     return found.select(
         "doc_id", *[c.alias(n) for n, c in count.items()],
-        F.sha2(base, 256).alias("base_sha256"), every.alias("spans"), "n_live", "n_copied",
+        F.sha2(base, 256).alias("base_sha256"), every.alias("spans"), "n_live", "n_copied", "n_shared",
+        "most_owners", "most_repositories",
     )
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .queries import BLOCKED_HOSTS, RULES
-from .secret_scan import BASE, MAX_OWNERS, OPAQUE
+from .secret_scan import BASE, MAX_OWNERS, MAX_REPOSITORIES, OPAQUE
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -47,6 +47,7 @@ def _op4() -> str:
         for i, (kind, p, group, least) in enumerate((*BASE, OPAQUE))
     )
     base = ", ".join(f"count(*) FILTER (WHERE kind = '{b[0]}') AS n_{b[0]}" for b in BASE)
+    states = ", ".join(f"count(*) FILTER (WHERE state = '{x}') AS n_{x}" for x in ("live", "copied", "shared"))
     counts = ", ".join(f"coalesce(b.n_{b[0]}, 0) AS n_{b[0]}" for b in BASE)
     return f"""
 WITH t AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
@@ -60,14 +61,19 @@ s AS (
   SELECT * FROM p WHERE ord < {len(BASE)} UNION ALL SELECT * FROM p o WHERE ord = {len(BASE)} AND regexp_matches(val, '[0-9]')
     AND regexp_matches(val, '[A-Za-z]') AND NOT EXISTS (SELECT 1 FROM p b WHERE b.doc_id = o.doc_id
     AND b.ord < {len(BASE)} AND b.st < o.st + o.ln AND o.st < b.st + b.ln)),
-h AS (SELECT val, count(DISTINCT coalesce(source, '')) <= {MAX_OWNERS} AS live FROM s GROUP BY val),
-j AS (SELECT s.*, live, kind || ':' || st || ':' || (st + ln) AS span FROM s JOIN h USING (val) WHERE ord < {len(BASE)} OR live),
+c AS (SELECT val, count(DISTINCT coalesce(source, '')) AS owners, count(DISTINCT doc_id) AS repositories FROM s GROUP BY val),
+h AS (
+  SELECT *, CASE WHEN owners > {MAX_OWNERS} THEN 'copied' WHEN repositories > {MAX_REPOSITORIES} THEN 'shared' ELSE 'live' END AS state FROM c),
+j AS (
+  SELECT s.*, owners, repositories, state, kind || ':' || st || ':' || (st + ln) AS span
+  FROM s JOIN h USING (val) WHERE ord < {len(BASE)} OR state = 'live'),
 b AS (
   SELECT doc_id, {base}, string_agg(span, ',' ORDER BY st, ord) FILTER (WHERE ord < {len(BASE)}) AS base,
-    string_agg(span, ',' ORDER BY st, ord) AS spans, count(*) FILTER (WHERE live) AS n_live,
-    count(*) FILTER (WHERE NOT live) AS n_copied FROM j GROUP BY doc_id)
+    string_agg(span, ',' ORDER BY st, ord) AS spans, {states},
+    max(owners) AS most_owners, max(repositories) AS most_repositories FROM j GROUP BY doc_id)
 SELECT t.doc_id, {counts}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
-  coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+  coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied, coalesce(n_shared, 0) AS n_shared,
+  coalesce(most_owners, 0) AS most_owners, coalesce(most_repositories, 0) AS most_repositories
 FROM t LEFT JOIN b USING (doc_id)
 """
 

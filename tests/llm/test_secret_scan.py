@@ -22,17 +22,20 @@ def brute(rows, max_owners=2):
             if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and not any(b[0] < m.end() and m.start() < b[2] for b in base)
         ]
         found.append((i, sorted(base), sorted(base + more), owner))
-    owners = {}
-    for _, _, spans, owner in found:
+    owners, places = {}, {}
+    for row, (_, _, spans, owner) in enumerate(found):
         for s in spans:
             owners.setdefault(s[4], set()).add(owner)
+            places.setdefault(s[4], set()).add(row)
     join = lambda spans: ",".join(f"{s[3]}:{s[0]}:{s[2]}" for s in spans)
+    state = lambda s: "copied" if len(owners[s[4]]) > max_owners else "shared" if len(places[s[4]]) > 20 else "live"
     out = []
     for i, base, spans, _ in found:
-        kept = [s for s in spans if s[1] < 3 or len(owners[s[4]]) <= max_owners]
-        live = sum(len(owners[s[4]]) <= max_owners for s in kept)
+        kept = [s for s in spans if s[1] < 3 or state(s) == "live"]
         n = [sum(b[1] == k for b in base) for k in range(3)]
-        out.append((i, *n, hashlib.sha256(join(base).encode()).hexdigest(), join(kept), live, len(kept) - live))
+        states = [sum(state(s) == x for s in kept) for x in ("live", "copied", "shared")]
+        most = [max((len(x[s[4]]) for s in kept), default=0) for x in (owners, places)]
+        out.append((i, *n, hashlib.sha256(join(base).encode()).hexdigest(), join(kept), *states, *most))
     return sorted(out, key=str)
 
 
@@ -49,6 +52,7 @@ CASES = [
 def test_matches_brute_force(spark, monkeypatch):
     rows = [(i, t, None, f"s{i % 4}") for i, t in enumerate(CASES)]
     rows += [(100 + i, "again Copy1Copy1Copy1Copy1Copy1 token=widespread1", None, f"s{i}") for i in range(4)]
+    rows += [(300 + i, "token=ownedbyone1 and Own1Own1Own1Own1Own1Own1", None, "s9") for i in range(25)]
     rows += [(None, CASES[3], None, None), (7, CASES[7], None, "s1"), (7, CASES[7], None, "s1"), (200, "x" * 100_000 + " token=abcdefgh1", None, "s2")]
     monkeypatch.setattr(queries, "table", lambda *_: docs_of(spark, rows))
     got = sorted((tuple(r) for r in queries.op4_secret_scan(spark, "").collect()), key=str)
@@ -57,3 +61,12 @@ def test_matches_brute_force(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert secret_scan.scan(docs_of(spark, [])).count() == 0
+
+
+def test_very_many_matches_in_one_text(spark):
+    n = 60_000
+    text = " ".join(f"token=value{i:08}" if i % 3 else f"Opaque{i:014}x" for i in range(n))
+    row = secret_scan.scan(docs_of(spark, [(1, text, None, "s"), (2, None, None, None)])).orderBy("doc_id").collect()
+    assert len(row[0].base) == n - n // 3 and len(row[0].spans) == n and row[1].spans == []
+    wanted = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
+    assert [(s.start, s.end) for s in row[0].spans] == wanted and row[0].n_live == n
