@@ -10,19 +10,21 @@ for a language is the mean over all of its windows, weighted by their bytes.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, utf8
+from .common import bounded_batches, map_batches, utf8
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 12
-#: Bound on the labelled documents of each language that training reads.
+#: Bound on the labelled documents of each language that training reads, and on the languages learnt.
 SAMPLE = 400
+MOST_LANGS = 300
 CHUNK = 64
 #: Training steps at least, however few the labelled documents are.
 LEAST_STEPS = 300
@@ -37,6 +39,14 @@ class Model:
     weight: np.ndarray
     offset: np.ndarray
 
+    @cached_property
+    def pairs(self) -> list[list[tuple[int, np.ndarray]]]:
+        """The filters' tables by pairs of bytes, made once in each process."""
+        return pair_tables(self.tables)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "pairs"}
+
 
 def windows_of(text: bytes, size: int = WINDOW) -> np.ndarray:
     """The whole text as rows of `size` bytes; the last one is filled up with zeros."""
@@ -74,14 +84,14 @@ def pair_tables(tables: list[np.ndarray]) -> list[list[tuple[int, np.ndarray]]]:
     return out
 
 
-def predict(model: Model, pairs: list, x: np.ndarray) -> np.ndarray:
+def predict(model: Model, x: np.ndarray) -> np.ndarray:
     """Language probabilities of each window, in chunks that stay in the cache."""
     out = np.empty((len(x), len(model.langs)), dtype=np.float64)
     for s in range(0, len(x), CHUNK):
         part = x[s : s + CHUNK]
         both = part[:, :-1].astype(np.int32) * 256 + part[:, 1:]
         pooled = []
-        for table, own in zip(model.tables, pairs):
+        for table, own in zip(model.tables, model.pairs):
             span = part.shape[1] - len(table) + 1
             total = None
             for j, values in own:
@@ -95,8 +105,20 @@ def predict(model: Model, pairs: list, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(texts: list[bytes], langs: list[str], epochs: int = 6, seed: int = 3, filters: int = FILTERS) -> Model:
-    """Trains the network by Adam on cross-entropy; the same input gives the same model."""
+def pieces_of(text: bytes, seed: int) -> list[bytes]:
+    """What training takes of a text: two whole windows and a short piece, as short texts have; chosen by the seed."""
+    x = windows_of(text)
+    if not len(x):
+        return []
+    rng = np.random.default_rng(seed)
+    out = [x[k].tobytes() for k in rng.choice(len(x), size=min(2, len(x)), replace=False)]
+    words = text.split()
+    at, n = int(rng.integers(len(words))) if words else 0, int(rng.integers(1, 9))
+    return [*out, b" ".join(words[at : at + n])[:WINDOW].ljust(WINDOW, b"\0")]
+
+
+def fit(windows: list[bytes], langs: list[str], epochs: int = 6, seed: int = 3, filters: int = FILTERS) -> Model:
+    """Trains the network on windows by Adam on cross-entropy; the same input gives the same model."""
     rng = np.random.default_rng(seed)
     names = sorted(set(langs))
     y_of = {lang: i for i, lang in enumerate(names)}
@@ -105,23 +127,8 @@ def fit(texts: list[bytes], langs: list[str], epochs: int = 6, seed: int = 3, fi
     n_hidden = filters * len(WIDTHS)
     params = [*tables, np.zeros(n_hidden, np.float32), f32(n_hidden, len(names)), np.zeros(len(names), np.float32)]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-    rows, labels = [], []
-    for text, lang in zip(texts, langs):
-        x = windows_of(text)
-        if not len(x):
-            continue
-        # Two whole windows of the text and a short piece, as short texts have.
-        for k in rng.choice(len(x), size=min(2, len(x)), replace=False):
-            rows.append(x[k])
-            labels.append(y_of[lang])
-        short = np.zeros(WINDOW, dtype=np.uint8)
-        words = text.split()
-        at, n = int(rng.integers(len(words))) if words else 0, int(rng.integers(1, 9))
-        piece = b" ".join(words[at : at + n])[:WINDOW]
-        short[: len(piece)] = np.frombuffer(piece, dtype=np.uint8)
-        rows.append(short)
-        labels.append(y_of[lang])
-    x, y = np.array(rows), np.array(labels)
+    x = np.frombuffer(b"".join(windows), dtype=np.uint8).reshape(-1, WINDOW)
+    y = np.array([y_of[lang] for lang in langs])
     step = 0
     for _ in range(max(epochs, -(-LEAST_STEPS // max(1, -(-len(y) // 64))))):
         order = rng.permutation(len(y))
@@ -154,29 +161,39 @@ def fit(texts: list[bytes], langs: list[str], epochs: int = 6, seed: int = 3, fi
     return Model(names, params[: len(WIDTHS)], params[-3], params[-2], params[-1])
 
 
-def training_rows(docs: DataFrame, held_out, sample: int) -> list[tuple[str, str]]:
-    """(lang, text) of about `sample` labelled documents of each language, at most twice as many.
+def training_rows(docs: DataFrame, held_out, sample: int) -> list[tuple[str, bytes]]:
+    """(lang, window) of about `sample` labelled documents of each language, at most twice as many.
 
-    Documents are chosen by a hash of doc_id and text length, so the choice does not
-    depend on how rows are dealt out.
+    Documents are chosen by a hash of doc_id, so the choice does not depend on how rows are
+    dealt out.  The windows are cut where the texts lie: the driver gets three windows of a
+    document, and of languages the MOST_LANGS commonest.
     """
     labelled = docs.where(~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    common = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS)
+    counts = {r.lang: r.n for r in common.collect()}
     if not counts:
         return []
     place = F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 30).cast("long"))
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int((1 << 30) * min(1, sample / n))))])
-    chosen = labelled.where(place < F.try_element_at(share, F.col("lang"))).select("doc_id", "lang", "text")
-    rows = chosen.orderBy(place, "doc_id").limit(2 * sample * len(counts)).collect()
-    rows.sort(key=lambda r: (r.doc_id is None, r.doc_id or 0, r.lang, r.text))
-    return [(r.lang, r.text) for r in rows]
+    chosen = labelled.where(place < F.try_element_at(share, F.col("lang")))
+    chosen = chosen.select(F.col("lang").cast("string"), F.col("text").cast("string"), place.alias("place"), F.xxhash64("text").alias("own"))
+
+    def cut_up(batch: pa.RecordBatch):
+        rows = list(zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()))
+        made = [(lang, place, own, i, w) for lang, text, place, own in rows for i, w in enumerate(pieces_of(text, own % (1 << 32)))]
+        kinds = {"lang": pa.string(), "place": pa.int64(), "own": pa.int64(), "i": pa.int32(), "window": pa.binary()}
+        yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], kind) for k, kind in enumerate(kinds.values())], names=list(kinds))
+
+    windows = map_batches(chosen, cut_up, "lang string, place long, own long, i int, window binary")
+    rows = windows.orderBy("place", "own", "i", "lang").limit(6 * sample * len(counts)).collect()
+    return [(r.lang, bytes(r.window)) for r in rows]
 
 
 def train_on(docs: DataFrame, sample: int = SAMPLE, folds: int = 4, held_fold: int = 2) -> Model | None:
     """A model from a bounded sample (about `sample` documents of each language) of the rows
     that have a lang and whose crc32 of doc_id as text is not held_fold modulo folds."""
     rows = training_rows(docs, held_out(folds, held_fold), sample)
-    return fit([t.encode() for _, t in rows], [lang for lang, _ in rows]) if rows else None
+    return fit([w for _, w in rows], [lang for lang, _ in rows]) if rows else None
 
 
 def held_out(folds: int = 4, held_fold: int = 2):
@@ -201,7 +218,7 @@ def predictor(docs: DataFrame, model: Model | None):
                     parts.append(windows_of(t))
                     sizes.append(len(t))
         if at:
-            p = predict(net, pair_tables(net.tables), np.concatenate(parts))
+            p = predict(net, np.concatenate(parts))
             fill = [np.r_[np.full(len(w) - 1, WINDOW), n - WINDOW * (len(w) - 1)] for w, n in zip(parts, sizes)]
             starts = np.r_[0, np.cumsum([len(w) for w in parts])[:-1]]
             mean = np.add.reduceat(p * np.concatenate(fill)[:, None], starts, axis=0) / np.array(sizes)[:, None]
@@ -219,8 +236,9 @@ def identify(docs: DataFrame, model: Model | None = None, **training) -> DataFra
     score is the mean probability of lang_pred over the text's windows, 0 to 1.  Without
     a model one is trained (train_on).
 
-    A null text, and one without a letter, gets und and score 0; so does every text
-    where nothing is labelled.  A null doc_id is not held out.  Repeated rows are
+    Texts are read whole, however long.  Of languages with equal mean probability the
+    first by name is taken.  A null text, and one without a letter, gets und and score 0;
+    so does every text where nothing is labelled.  A null doc_id is not held out.  Repeated rows are
     judged each; columns named like the new ones are replaced.  An empty table gives
     an empty result.
     """

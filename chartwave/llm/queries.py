@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, html_tree, langid, lines, mixing, quality, rabitq, secret_scan, simhash, urls
-from .common import table
+from .common import cut, table
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 #: The list of blocked hosts: each of these names in each of these zones.
@@ -53,10 +53,16 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (~quality.passes(quality.POLICIES["base"])).alias("base_failed"),
-        quality.passes(quality.POLICIES["v1"]).alias("kept"),
+        quality.passes(quality.POLICIES["v1"]).alias("kept"), "n_lines", "n_bangs", "failed",
     )
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy costs over all documents, from the stored ledger."""
+    book = cut(quality.ledger(table(spark, sf_dir, "documents")))
+    return quality.ablation(book, quality.POLICIES["v1"])
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = spark.createDataFrame([(h,) for h in BLOCKED_HOSTS], "host string")
     return urls.filter_urls(table(spark, sf_dir, "pages"), RULES, listed)
@@ -83,6 +89,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_near_vectors, op2_near_texts, op3_line_dedup, op4_secret_scan, op5_main_text, op6_quality_rules,
-        op7_url_filter, op8_language_id, op9_byte_bpe, op10_source_mix,
+        op7_url_filter, op8_language_id, op9_byte_bpe, op10_source_mix, quality_ablation,
     )
 }

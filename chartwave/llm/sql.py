@@ -78,7 +78,19 @@ FROM t LEFT JOIN b USING (doc_id)
 """
 
 
-OP6 = f"""
+#: The rules in order: rule i is bit i of failed.
+_FAILS = (
+    "n_words < 50",
+    "100 * n_repeat_words > 50 * n_words",
+    "10 * n_symbols > n_words",
+    "2 * n_bangs > n_words",
+    "10 * n_dup_lines > 4 * n_lines",
+    "word_chars < 2 * n_words OR word_chars > 14 * n_words",
+)
+_FAILED = " + ".join(f"CASE WHEN {x} THEN {1 << i} ELSE 0 END" for i, x in enumerate(_FAILS))
+_NAMES = ("few_words", "repeated_words", "symbols", "bangs", "dup_lines", "word_length")
+
+_MEASURED = f"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t,
     list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
@@ -94,15 +106,23 @@ m AS (
     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(l.n, 0) AS n_lines,
     coalesce(l.dup, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, length(t) - length(replace(t, '!', '')) AS n_bangs
   FROM d LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id)),
-f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+f AS (SELECT *, CAST({_FAILED} AS BIGINT) AS failed FROM m)
+"""
+
+OP6 = f"""{_MEASURED}
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
   CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
-  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-  NOT (base_failed OR 10 * n_symbols > n_words OR 2 * n_bangs > n_words OR 10 * n_dup_lines > 4 * n_lines
-    OR word_chars < 2 * n_words OR word_chars > 14 * n_words) AS kept
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_bangs AS BIGINT) AS n_bangs,
+  failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed
 FROM f
 """
 
+ABLATION = f"""{_MEASURED}, rules(rule, bit) AS (VALUES {", ".join(f"('{n}', {1 << i})" for i, n in enumerate(_NAMES))})
+SELECT rule, count(*) FILTER (WHERE failed & bit <> 0) AS n_failed, count(*) FILTER (WHERE failed = bit) AS n_only,
+  count(*) FILTER (WHERE failed & ~bit = 0) AS n_kept_without
+FROM f, rules GROUP BY rule
+"""
+
 
 def _op7() -> str:
     cases = {"rule": "", "verdict": ""}
@@ -130,4 +150,5 @@ ORACLES = {
     "op4_secret_scan": _op4(),
     "op6_quality_rules": OP6,
     "op7_url_filter": _op7(),
+    "quality_ablation": ABLATION,
 }

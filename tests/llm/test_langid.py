@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from chartwave.llm import langid
@@ -40,10 +41,35 @@ def test_nothing_labelled(spark):
     assert langid.identify(docs_of(spark, [])).count() == 0
 
 
-def test_pair_tables_give_the_same_responses():
-    model = langid.fit([b"the and that", b"der und das"] * 10, ["en", "de"] * 10, epochs=1)
-    x = langid.windows_of(b"whole texts are cut into windows " * 30)
-    pooled, _ = langid.responses(model.tables, x)
-    hidden = langid.np.maximum(pooled + model.bias, 0) @ model.weight + model.offset
-    e = langid.np.exp(hidden - hidden.max(1, keepdims=True))
-    assert langid.np.allclose(langid.predict(model, langid.pair_tables(model.tables), x), e / e.sum(1, keepdims=True), atol=1e-5)
+def slow_judge(model, text):
+    """Mean probabilities over windows, each filter tried at each place in plain loops."""
+    total, n = np.zeros(len(model.langs)), 0
+    for s in range(0, len(text), langid.WINDOW):
+        window = text[s : s + langid.WINDOW]
+        full = window + bytes(langid.WINDOW - len(window))
+        best = []
+        for table in model.tables:
+            for f in range(table.shape[2]):
+                best.append(max(sum(float(table[j][full[at + j]][f]) for j in range(len(table))) for at in range(langid.WINDOW - len(table) + 1)))
+        hidden = [max(0.0, b + float(c)) for b, c in zip(best, model.bias)]
+        logits = np.array([sum(h * float(w) for h, w in zip(hidden, model.weight[:, k])) + float(model.offset[k]) for k in range(len(model.langs))])
+        e = np.exp(logits - logits.max())
+        total += e / e.sum() * len(window)
+        n += len(window)
+    return total / n
+
+
+def test_whole_operator_equals_plain_loops(spark):
+    texts = ["the and that " * 60, "der das und", "the der", "é ü ß " * 50, "a", "x" * langid.WINDOW, "y" * (langid.WINDOW + 1), "das und der and that. " * 30]
+    windows = [w for i, t in enumerate(["the and that with", "der das und nicht", "el la que los"] * 10) for w in langid.pieces_of(t.encode() * (1 + i), i)]
+    model = langid.fit(windows, (["en"] * 3 + ["de"] * 3 + ["es"] * 3) * 10 if len(windows) == 90 else [["en", "de", "es"][i % 3] for i in range(len(windows))], epochs=1)
+    got = {r.text: (r.lang_pred, r.score) for r in langid.identify(docs_of(spark, list(enumerate(texts))), model).collect()}
+    for t in texts:
+        wanted = slow_judge(model, t.encode())
+        assert got[t][0] == model.langs[int(wanted.argmax())] and abs(got[t][1] - wanted.max()) < 1e-5
+
+
+def test_languages_learnt_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGS", 2)
+    rows = [(i, f"some text {i}", "ab"[i % 2]) for i in range(60)] + [(1000 + i, "other", f"dirty{i}") for i in range(40)]
+    assert langid.train_on(docs_of(spark, rows)).langs == ["a", "b"]
