@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, drop_table, map_batches
+from .common import components, cut, drop_table, map_batches, merge_labels
 
 #: Rows of one bucket compared in one task; larger buckets are dealt out in blocks.
 BLOCK_ROWS = 2048
@@ -150,22 +150,6 @@ def encode(vectors: DataFrame, bits: int, bands: int, seed: int) -> DataFrame:
     return map_batches(vectors, work, f"rid long, vec_id long, embedding {kind}, dim int, digest binary, packed binary, bands array<int>")
 
 
-def union_labels(parent: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> None:
-    """Joins the labels of linked positions; the smallest position of a set is its label."""
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else []
-    for s, e in zip(starts, [*starts[1:], len(rows)]):
-        for j in np.unique(parent[cols[s:e]]):
-            a, b = root(rows[s]), root(j)
-            parent[max(a, b)] = min(a, b)
-
-
 def first_shared(keys: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether the pairs agree on none of the earlier bands' keys."""
     out = np.ones(len(a), dtype=bool)
@@ -227,11 +211,9 @@ def exact_links(
         a, b = rows[a], right[b]
         fresh = first_shared(keys, a, b) & ((reps[a] == 0) | (reps[a] != reps[b]))
         a, b = a[fresh], b[fresh]
-        union_labels(parent, a, b)
+        merge_labels(parent, a, b)
         np.add.at(count, a, sizes[b])
         np.add.at(count, b, sizes[a])
-    while (parent != parent[parent]).any():
-        parent = parent[parent]
     return count, parent
 
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, cut, map_batches, utf8
+from .common import bounded_batches, components, cut, drop_table, map_batches, merge_labels, utf8
 
 SEED = 42
 FANOUT = 8
@@ -132,23 +132,12 @@ def run_stars(fps: np.ndarray, radius: int, strip: int = 512) -> tuple[np.ndarra
     """Links (fingerprint, another one) that join what is within the radius in one run."""
     codes = fps[np.argsort(gray_rank(fps), kind="stable")]
     index = GrayIndex(codes)
-    parent = np.arange(len(codes))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
+    label = np.arange(len(codes))
     for s in range(0, len(codes), strip):
         a, b = index.search(codes[s : s + strip], radius)
-        for i, j in zip((a[b > a + s] + s).tolist(), b[b > a + s].tolist()):
-            x, y = root(i), root(j)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-    top = np.array([root(i) for i in range(len(codes))], dtype=np.int64)
-    hit = top != np.arange(len(codes))
-    return codes[hit], codes[top[hit]]
+        merge_labels(label, a[b > a + s] + s, b[b > a + s])
+    hit = label != np.arange(len(codes))
+    return codes[hit], codes[label[hit]]
 
 
 def choices(width: int, radius: int, blocks: int) -> list[int]:
@@ -320,26 +309,10 @@ def open_bits(width: int, similarity: float) -> int:
     return min(width, math.ceil(width * share + 4.5 * math.sqrt(width * share * (1 - share))))
 
 
-class Groups:
-    """Union-find over the rows of one run."""
-
-    def __init__(self, n: int):
-        self.parent = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = self.parent[self.parent[i]]
-            i = self.parent[i]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        i, j = self.root(i), self.root(j)
-        self.parent[max(i, j)] = min(i, j)
-
-    def stars(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        top = np.array([self.root(i) for i in range(len(ids))], dtype=np.int64)
-        hit = top != np.arange(len(ids))
-        return ids[hit], ids[top[hit]]
+def stars(label: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each labelled position to the first of its set."""
+    hit = label != np.arange(len(ids))
+    return ids[hit], ids[label[hit]]
 
 
 def near_pairs(sketches: np.ndarray, left: np.ndarray, same: bool, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -365,11 +338,10 @@ def open_run(ids: np.ndarray, sketches: np.ndarray, left: np.ndarray, same: bool
     """Star links that join the rows of one run that the sketches leave open."""
     order = np.argsort(gray_rank(sketches[:, 0]), kind="stable")
     ids, sketches, left = ids[order], sketches[order], left[order]
-    groups = Groups(len(ids))
+    label = np.arange(len(ids))
     for a, b in near_pairs(sketches, left, same, similarity):
-        for i, j in zip(a.tolist(), b.tolist()):
-            groups.join(i, j)
-    return groups.stars(ids)
+        merge_labels(label, a, b)
+    return stars(label, ids)
 
 
 def exact_run(
@@ -382,15 +354,19 @@ def exact_run(
     order = np.argsort(gray_rank(sketches[:, 0]), kind="stable")
     ids, sketches, left, sets = ids[order], sketches[order], left[order], [sets[i] for i in order]
     sizes = np.array([len(x) for x in sets])
-    groups = Groups(len(ids))
+    label = np.arange(len(ids))
     for a, b in near_pairs(sketches, left, same, similarity):
         fits = np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b]) - 1e-9
-        for i, j in zip(a[fits].tolist(), b[fits].tolist()):
-            if groups.root(i) != groups.root(j):
-                shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if shared >= similarity * (sizes[i] + sizes[j] - shared) - 1e-9:
-                    groups.join(i, j)
-    return groups.stars(ids)
+        a, b = a[fits], b[fits]
+        while len(a):
+            apart = label[a] != label[b]
+            a, b = a[apart], b[apart]
+            now = list(zip(a[:64].tolist(), b[:64].tolist()))
+            shared = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in now])
+            near = shared >= similarity * (sizes[a[:64]] + sizes[b[:64]] - shared) - 1e-9 if now else np.zeros(0, dtype=bool)
+            merge_labels(label, a[:64][near], b[:64][near])
+            a, b = a[64:], b[64:]
+    return stars(label, ids)
 
 
 def small_run(ids: np.ndarray, left: np.ndarray, same: bool, similarity: float, sets: list[np.ndarray]) -> tuple:
@@ -410,8 +386,7 @@ def small_run(ids: np.ndarray, left: np.ndarray, same: bool, similarity: float,
         met = np.unique(label[near])
         if len(met) > 1:
             label[np.isin(label, met)] = met[0]
-    hit = label != np.arange(len(ids))
-    return ids[hit], ids[label[hit]]
+    return stars(label, ids)
 
 
 def run_links(rows: DataFrame, keys: list[str], with_sets: bool, similarity: float, small: bool = False) -> DataFrame:
@@ -523,13 +498,16 @@ def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, reca
         .select("band", "key", F.ceil(F.col("count") / RUN_ROWS).cast("int").alias("cuts"))
     )
     rows = dealt.join(hot, ["band", "key"], "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
-    candidates = components(run_links(dealt_in_blocks(rows), ["band", "key"], False, similarity))
+    candidates_in = cut(run_links(dealt_in_blocks(rows), ["band", "key"], False, similarity))
+    candidates = components(candidates_in)
     found = confirmed(narrow, classes.drop("bands", "shingles"), candidates, words, similarity).union(small_links(classes, similarity))
 
     # Copies share a digest, and a repeated id may hold several.
     same = coded.select("doc_id", "digest").distinct().join(classes.select("digest", "node"), "digest")
     same = same.where("doc_id <> node").select(F.col("doc_id").alias("src"), F.col("node").alias("dst"))
     parts_of = components(found.union(same))
+    for spent in (classes, hot, candidates_in):
+        drop_table(spent)
     return coded.select("doc_id").join(parts_of.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", F.coalesce("component", "doc_id").alias("component_id")
     )
