@@ -78,3 +78,35 @@ def words(text: Column) -> Column:
 
 def keyword_hits(text: Column) -> Column:
     return F.size(F.filter(words(F.lower(text)), lambda w: w.isin(REPORT_WORDS)))
+
+
+def lead_alias(key: Column) -> Column:
+    """The rhythm strip's name in any case as Rhythm."""
+    return F.when(F.upper(key) == "RHYTHM", F.lit("Rhythm")).otherwise(key)
+
+
+def named_probabilities(names: Column, values: Column) -> Column:
+    """Map of class names to probabilities; an error if their numbers differ."""
+    wrong = F.assert_true(F.size(names) == F.size(values), F.lit("as many classes as probabilities are needed"))
+    return F.when(wrong.isNull(), F.map_from_arrays(names, values))
+
+
+def confident(words_found, least: int = 20):
+    """Rows of recognised text (text, conf) that are sure enough and not blank."""
+    return words_found.where((F.col("conf") >= least) & (F.trim("text") != ""))
+
+
+def run_paths(run_id: Column, root: str = "uploads") -> dict[str, Column]:
+    return {"result": F.format_string(f"{root}/result_%s.json", run_id.cast("string")), "folder": F.format_string(f"{root}/digitized_%s", run_id.cast("string"))}
+
+
+def new_run_id() -> Column:
+    return F.uuid()
+
+
+def tail(text: Column, chars: int = 20_000) -> Column:
+    return F.right(text, F.lit(chars))
+
+
+def percent(share: Column) -> Column:
+    return F.format_string("%.2f%%", 100.0 * share)

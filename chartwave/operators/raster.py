@@ -144,3 +144,47 @@ def rotate(pixels: DataFrame, angle: int, width: int, height: int) -> DataFrame:
 def crop(pixels: DataFrame, x1: int, y1: int, x2: int, y2: int) -> DataFrame:
     inside = (F.col("x") >= x1) & (F.col("x") < x2) & (F.col("y") >= y1) & (F.col("y") < y2)
     return pixels.where(inside).withColumns({"x": F.col("x") - x1, "y": F.col("y") - y1})
+
+
+def mean_row_carried(mask: DataFrame, images: DataFrame) -> DataFrame:
+    """(image_id, x, y): mean row of the ink of each column; an empty one takes the column before, zero at first."""
+    means = mask.groupBy("image_id", "x").agg(F.avg("y").alias("y"))
+    spine = images.select("image_id", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"))
+    w = Window.partitionBy("image_id").orderBy("x")
+    return spine.join(means, ["image_id", "x"], "left").withColumn("y", F.coalesce(F.last("y", True).over(w), F.lit(0.0)))
+
+
+def densest_row(mask: DataFrame, images: DataFrame, taps: int = 9) -> DataFrame:
+    """(image_id, row): the row of most ink after a moving sum over taps; the first wins ties."""
+    counts = mask.groupBy("image_id", "y").agg(F.count(F.lit(1)).alias("n"))
+    spine = images.select("image_id", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"))
+    w = Window.partitionBy("image_id").orderBy("y").rowsBetween(-(taps // 2), taps // 2)
+    sums = spine.join(counts, ["image_id", "y"], "left").withColumn("s", F.sum(F.coalesce("n", F.lit(0))).over(w))
+    return sums.groupBy("image_id").agg(F.max_by("y", F.struct("s", -F.col("y"))).alias("row"))
+
+
+def spike_tips(mask: DataFrame, images: DataFrame) -> DataFrame:
+    """(image_id, x, y): tips of tall and sparse columns, the end farther from the densest row; ties go to the top."""
+    cols = mask.groupBy("image_id", "x").agg(F.count(F.lit(1)).alias("n"), F.min("y").alias("top"), F.max("y").alias("bottom"))
+    tall = cols.join(images, "image_id").where((F.col("bottom") - F.col("top") > 0.12 * F.col("height")) & (F.col("n") / (F.col("bottom") - F.col("top") + 1) < 0.55))
+    own = tall.join(densest_row(mask, images), "image_id")
+    return own.withColumn("y", F.when(F.abs(F.col("top") - F.col("row")) >= F.abs(F.col("bottom") - F.col("row")), F.col("top")).otherwise(F.col("bottom")))
+
+
+def separator_columns(mask: DataFrame, edge: float = 0.18) -> DataFrame:
+    """Columns of (image_id, width, height, y, x) with their count and whether they are separator lines.
+
+    A line is long, dense and full; in the outer parts of the image less is enough.
+    """
+    cols = mask.groupBy("image_id", "width", "height", "x").agg(F.count(F.lit(1)).alias("n"), (F.max("y") - F.min("y") + 1).alias("span"))
+    n, fill, h = F.col("n"), F.col("n") / F.col("span"), F.col("height")
+    outer = (F.col("x") < F.floor(edge * F.col("width"))) | (F.col("x") >= F.col("width") - F.floor(edge * F.col("width")))
+    line = (F.col("span") > 0.46 * h) & (n > 0.28 * h) & (fill > 0.55)
+    return cols.withColumn("bad", line | (outer & (n > 0.18 * h) & (fill > 0.45)))
+
+
+def before_after(before: DataFrame, after: DataFrame, least: int) -> DataFrame:
+    """(image_id, diff, unchanged): summed difference of two versions of each image that both have."""
+    b = after.select("image_id", "y", "x", F.col("gray").alias("other"))
+    diff = before.join(b, ["image_id", "y", "x"]).groupBy("image_id").agg(F.sum(F.abs(F.col("gray") - F.col("other"))).alias("diff"))
+    return diff.withColumn("unchanged", F.col("diff") < least)

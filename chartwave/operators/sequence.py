@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stats import robust_z
+
 
 def ordered(keys: list[str], by: str = "idx"):
     return Window.partitionBy(*keys).orderBy(by)
@@ -133,3 +135,43 @@ def resample(df: DataFrame, keys: list[str], n: int) -> DataFrame:
     both = spine.join(low, [*keys, "i0"]).join(high, [*keys, "i1"])
     value = F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("spot") - F.col("i0"))
     return both.select(*keys, F.col("place").alias("idx"), value.alias("v"))
+
+
+def edge_mean(keys: list[str], taps: int, value: str = "v") -> Column:
+    """Moving mean with the edges repeated; an even window reaches one further back than ahead."""
+    w, all_ = ordered(keys), Window.partitionBy(*keys)
+    left, right = taps // 2, taps - taps // 2 - 1
+    place = F.row_number().over(w) - 1
+    before = F.greatest(F.lit(0), left - place)
+    after = F.greatest(F.lit(0), right - (F.count(F.lit(1)).over(all_) - 1 - place))
+    first, last = F.min_by(value, "idx").over(all_), F.max_by(value, "idx").over(all_)
+    return (F.sum(value).over(w.rowsBetween(-left, right)) + before * first + after * last) / taps
+
+
+def baseline_corrected(df: DataFrame, keys: list[str], hz: float) -> DataFrame:
+    """Gaps filled and the running median over 200 ms taken off."""
+    taps = max(3, round(0.2 * hz))
+    full = fill_all_gaps(df, keys)
+    return full.withColumn("v", F.col("v") - running_median(keys, taps + 1 - taps % 2))
+
+
+def alignment_feature(df: DataFrame, keys: list[str], hz: float) -> DataFrame:
+    """Robust energy of a baseline-corrected signal: what two recordings are laid over each other by."""
+    z = robust_z(df, keys).withColumn("z", F.least(F.greatest("z", F.lit(-6.0)), F.lit(6.0)))
+    step = F.coalesce(F.abs(F.col("z") - F.lag("z").over(ordered(keys))), F.lit(0.0))
+    energy = z.withColumn("v", F.abs("z") + 0.8 * step)
+    smooth = energy.withColumn("v", edge_mean(keys, max(3, round(0.045 * hz))))
+    return robust_z(smooth.drop("z"), keys).withColumn("v", F.col("z")).drop("z")
+
+
+def highest(peaks: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """(keys, idx, ord): the n highest peaks of each group that has as many, numbered by place."""
+    high = Window.partitionBy(*keys).orderBy(F.desc("v"), "idx")
+    own = peaks.withColumn("place", F.row_number().over(high)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    return own.where((F.col("n") >= n) & (F.col("place") <= n)).select(*keys, "idx", (F.row_number().over(ordered(keys)) - 1).alias("ord"))
+
+
+def stacked(samples: DataFrame, keys: list[str], leads: list[str]) -> DataFrame:
+    """(keys, idx, leads array): samples (keys, lead, idx, v) of all leads side by side, zero where one is missing."""
+    values = samples.groupBy(*keys, "idx").agg(F.map_from_entries(F.collect_list(F.struct("lead", "v"))).alias("m"))
+    return values.select(*keys, "idx", F.array(*[F.coalesce(F.try_element_at("m", F.lit(n)), F.lit(0.0)) for n in leads]).alias("leads"))

@@ -87,3 +87,14 @@ def upscale_totals(images: DataFrame, factor: float, *by: str) -> DataFrame:
     old = F.col("width").cast("long") * F.col("height").cast("long")
     sums = images.rollup(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(old).alias("pixels"), F.sum(new).alias("pixels_after"))
     return sums.withColumn("increase_pct", 100.0 * (F.col("pixels_after") - F.col("pixels")) / F.nullif("pixels", F.lit(0)))
+
+
+def pixel_count(width: str, height: str) -> dict[str, Column]:
+    pixels = F.col(width) * F.col(height)
+    return {"pixels": pixels, "megapixels": F.bround(pixels / 1e6, 2)}
+
+
+def screen_size(width: str, height: str, most_width: float, most_height: float) -> dict[str, Column]:
+    """Size scaled down to fit a screen, never up."""
+    scale = F.least(most_width / F.col(width), most_height / F.col(height), F.lit(1.0))
+    return {"fw": (F.col(width) * scale).cast("long"), "fh": (F.col(height) * scale).cast("long")}

@@ -46,12 +46,12 @@ def pair_metrics(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Error metrics of est against ref: n, pearson (null when undefined), rmse, mae, prd, snr."""
     d = F.col("est") - F.col("ref")
     sums = pairs.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.corr("ref", "est").alias("r"), F.stddev_pop("ref").alias("sr"), F.stddev_pop("est").alias("se"),
+        F.count(F.lit(1)).alias("n"), F.covar_pop("ref", "est").alias("c"), F.stddev_pop("ref").alias("sr"), F.stddev_pop("est").alias("se"),
         F.sum(d * d).alias("dd"), F.avg(F.abs(d)).alias("mae"), F.sum(F.col("ref") * F.col("ref")).alias("rr"),
     )
     return sums.select(
         *keys, "n",
-        F.when((F.col("n") > 1) & (F.col("sr") > 1e-12) & (F.col("se") > 1e-12), F.col("r")).alias("pearson"),
+        F.when((F.col("n") > 1) & (F.col("sr") > 1e-12) & (F.col("se") > 1e-12), F.col("c") / F.nullif(F.col("sr") * F.col("se"), F.lit(0.0))).alias("pearson"),
         F.sqrt(F.col("dd") / F.col("n")).alias("rmse"), "mae",
         (100 * F.sqrt(F.col("dd") / F.nullif(F.col("rr"), F.lit(0.0)))).alias("prd"),
         snr_db(F.col("rr"), F.col("dd")).alias("snr"),
@@ -95,7 +95,7 @@ def amplitude_check(peaks: DataFrame, leads: DataFrame, other: tuple[float, floa
     lo, hi = F.coalesce("lo_mv", F.lit(other[0])), F.coalesce("hi_mv", F.lit(other[1]))
     low = F.when(p2p < lo, F.lit("low"))
     high = F.when(p2p > hi, F.lit("high"))
-    out = peaks.join(F.broadcast(leads.select("lead", "lo_mv", "hi_mv")), "lead", "left")
+    out = peaks.join(leads.select("lead", "lo_mv", "hi_mv"), "lead", "left")
     out = out.withColumn("issues", F.concat_ws(",", low, high)).drop("lo_mv", "hi_mv")
     return out.withColumn("score", F.when(F.col("issues") == "", F.lit(1.0)).otherwise(F.lit(0.75)))
 
@@ -132,3 +132,25 @@ def trimmed_gain_fit(pairs: DataFrame, keys: list[str], min_rows: int = 10, min_
     )
     poor = (F.col("n") < min_rows) | (F.col("n_active") < min_rows)
     return fit.select(*keys, F.when(poor, F.lit(1.0)).otherwise(F.col("gain")).alias("gain"), F.when(poor, F.lit(0.0)).otherwise(F.col("offset")).alias("offset"), "n_kept")
+
+
+def with_gain(v: Column, gain: float, offset: float) -> Column:
+    return v * gain + offset
+
+
+def sample_ms(idx: Column, hz: float) -> Column:
+    return 1000.0 * idx / F.lit(hz)
+
+
+def amplitude_issues(peaks: DataFrame, leads: DataFrame, other: tuple[float, float]) -> DataFrame:
+    """(keys of peaks, lead, issue): the implausible amplitude in words, empty if there is none."""
+    out = peaks.join(leads.select("lead", "lo_mv", "hi_mv"), "lead", "left")
+    p2p, lo, hi = 2 * F.col("peak"), F.coalesce("lo_mv", F.lit(other[0])), F.coalesce("hi_mv", F.lit(other[1]))
+    text = lambda word, sign, bound: F.format_string(f"amplitude too {word} (%.3f mV {sign} %.2f mV)", p2p, bound)
+    issue = F.when(p2p < lo, text("low", "<", lo)).when(p2p > hi, text("high", ">", hi)).otherwise(F.lit(""))
+    return out.withColumn("issue", issue).drop("peak", "lo_mv", "hi_mv")
+
+
+def batch_counts(items: DataFrame, done: Column, size: Column, *by: str) -> DataFrame:
+    """Items, successes, failures and summed sizes by group, with a total row."""
+    return items.rollup(*by).agg(F.count(F.lit(1)).alias("total"), F.count_if(done).alias("success"), F.count_if(~done).alias("failed"), F.sum(size).alias("pixels"))

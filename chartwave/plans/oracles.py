@@ -112,7 +112,7 @@ f AS (SELECT run_id, min(idx) AS idx FROM k GROUP BY run_id UNION ALL SELECT f.r
 SELECT run_id, idx FROM f WHERE idx IS NOT NULL""",
     "merge_nearby_kept": f"""WITH RECURSIVE {SIG}, f AS (SELECT run_id, min(v) AS y FROM s GROUP BY run_id UNION ALL
 SELECT f.run_id, (SELECT min(s.v) FROM s WHERE s.run_id = f.run_id AND s.v - f.y >= 7.5) FROM f WHERE f.y IS NOT NULL) SELECT run_id, round(y, 5) + 0.0 AS y FROM f WHERE y IS NOT NULL""",
-    "vertical_anchors": f"""WITH {SIG}, k AS (SELECT DISTINCT run_id, v AS y FROM s WHERE idx < 5), q AS (SELECT *, y - lag(y) OVER w AS a, lead(y) OVER w - y AS c FROM k WINDOW w AS (PARTITION BY run_id ORDER BY y))
+    "vertical_anchors": f"""WITH {SIG}, k AS (SELECT DISTINCT run_id, v AS y FROM s), q AS (SELECT *, y - lag(y) OVER w AS a, lead(y) OVER w - y AS c FROM k WINDOW w AS (PARTITION BY run_id ORDER BY y))
 SELECT run_id, round(y, 5) + 0.0 AS y, CASE WHEN n IS NOT NULL THEN greatest(0, CAST(trunc(y - 0.7 * n) AS BIGINT)) END AS top, CASE WHEN n IS NOT NULL THEN least(100, CAST(trunc(y + 0.7 * n) AS BIGINT)) END AS bottom FROM (SELECT *, least(a, c) AS n FROM q)""",
     "band_merge": f"""WITH {SIG}, {RUNS.format(50)}, g AS (SELECT *, start - lag(stop) OVER (PARTITION BY run_id ORDER BY start) AS gap, count(*) OVER (PARTITION BY run_id) AS n FROM b),
 h AS (SELECT *, gap IS NOT NULL AND row_number() OVER (PARTITION BY run_id ORDER BY gap NULLS LAST, start) <= n - 4 AS j FROM g),
@@ -121,7 +121,7 @@ i AS (SELECT *, sum(CAST(NOT j AS INT)) OVER (PARTITION BY run_id ORDER BY start
 SELECT b.run_id, k AS idx, round(s0.v + (s1.v - s0.v) * (tt - floor(tt)), 5) + 0.0 AS v FROM b JOIN s s0 ON s0.run_id = b.run_id AND s0.idx = floor(tt) JOIN s s1 ON s1.run_id = b.run_id AND s1.idx = ceil(tt)""",
     "cross_correlation_lag": f"""WITH {PAIR}, k AS (SELECT a.run_id, a.idx - b.idx AS lag, round(sum(a.ref * b.est), 4) AS score FROM p a JOIN p b USING (run_id) WHERE abs(a.idx - b.idx) <= 200 GROUP BY 1, 2)
 SELECT run_id, lag, round(score, 3) + 0.0 AS score FROM k QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY score DESC, lag) = 1""",
-    "candidate_offsets": f"""WITH {PEAKS}, sc AS (SELECT unnest([0.95::DOUBLE + 0.025::DOUBLE * 0, 0.95::DOUBLE + 0.025::DOUBLE * 1, 0.95::DOUBLE + 0.025::DOUBLE * 2, 0.95::DOUBLE + 0.025::DOUBLE * 3, 0.95::DOUBLE + 0.025::DOUBLE * 4]) AS scale),
+    "candidate_offsets": f"""WITH {PEAKS}, sc AS (SELECT round(0.95::DOUBLE + 0.002::DOUBLE * unnest(range(51)), 6) AS scale),
 z AS (SELECT run_id, count(*) AS n FROM p GROUP BY run_id), w AS (SELECT run_id, scale, 0.2::DOUBLE * n - scale * n AS lo, n - 0.2::DOUBLE * n AS hi FROM z, sc),
 v AS (SELECT run_id, scale, lo + unnest(range(0, CAST(ceil((hi + 2 - lo) / 2) AS BIGINT))) * 2.0::DOUBLE AS o FROM w),
 u AS (SELECT tp.run_id, scale, tp.idx - scale * pp.idx AS o FROM tp JOIN pp USING (run_id), sc UNION ALL SELECT * FROM v),
@@ -135,7 +135,7 @@ q AS (SELECT *, ax >= quantile_cont(ax, 0.65) OVER w - 1e-9 AND ax <= quantile_c
   ax >= quantile_cont(ax, 0.75) OVER w - 1e-9 OR ay >= quantile_cont(ay, 0.75) OVER w - 1e-9 AS ei FROM m WINDOW w AS (PARTITION BY run_id)),
 t1 AS (SELECT *, CASE WHEN sum(CAST(bt AS INT)) OVER (PARTITION BY run_id) >= 20 THEN bt ELSE ei END AS act FROM q),
 a1 AS (SELECT run_id, idx, ref, est, n, count(*) OVER (PARTITION BY run_id) AS na, true AS keep FROM t1 WHERE act){_FIT}
-SELECT run_id, round(CASE WHEN n < 4 OR na < 4 THEN 1.0 ELSE gain END, 4) + 0.0 AS gain, round(CASE WHEN n < 4 OR na < 4 THEN 0.0 ELSE off END, 4) + 0.0 AS "offset", CAST(sum(CAST(keep AS INT)) AS BIGINT) AS n_kept
+SELECT run_id, round(CASE WHEN n < 10 OR na < 10 THEN 1.0 ELSE gain END, 4) + 0.0 AS gain, round(CASE WHEN n < 10 OR na < 10 THEN 0.0 ELSE off END, 4) + 0.0 AS "offset", CAST(sum(CAST(keep AS INT)) AS BIGINT) AS n_kept
 FROM k4 GROUP BY run_id, n, na, gain, off""",
     "percentiles": "SELECT event_type AS lead, " + ", ".join(f"round(quantile_cont(value, {p / 100}), 5) AS p{p}" for p in (15, 50, 65, 70, 75, 80, 85, 90, 98)) + " FROM events GROUP BY event_type",
     "modal_baseline": f"""WITH {SIG}, h AS (SELECT run_id, CAST(round_even(v, 0) AS BIGINT) AS bin, count(*) AS c FROM s WHERE v IS NOT NULL GROUP BY 1, 2 HAVING bin BETWEEN 0 AND 100),
@@ -193,7 +193,7 @@ SELECT l_linestatus, count(*) AS n, CAST(sum(w * h) AS BIGINT) AS pixels, CAST(s
     "orientation_vote": f"""WITH t AS (SELECT conv_id AS image_id, turn % 4 * 90 AS angle, length(regexp_replace(text, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS c,
 len(list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: list_contains({_WORDS}, w))) AS k FROM conversations),
 p AS (SELECT image_id, angle, max(c) + 250 * max(k) AS score FROM t GROUP BY 1, 2)
-SELECT image_id, CAST(CASE WHEN score < 10 THEN 0 ELSE angle END AS BIGINT) AS angle, CAST(score AS BIGINT) AS score FROM p QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY score DESC, angle) = 1""",
+SELECT image_id, CAST(CASE WHEN score < 10 THEN CASE WHEN image_id % 3 = 0 THEN 90 ELSE 0 END ELSE angle END AS BIGINT) AS angle, CAST(score AS BIGINT) AS score FROM p QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY score DESC, angle) = 1""",
     "lead_token_match": f"""WITH k AS (SELECT l_orderkey AS doc_id, ['V', 'a V ', '|', 'v ', 'x'][l_linenumber % 5 + 1] || ['1', 'R', 'I', 'II', '6', 'L', 'f'][CAST(l_quantity AS BIGINT) % 7 + 1] AS t FROM lineitem),
 c AS (SELECT doc_id, {_TOKEN_CASES} AS lead FROM k) SELECT lead, count(*) AS n, count(DISTINCT doc_id) AS docs FROM c WHERE lead IS NOT NULL GROUP BY lead""",
     "progress_parse": f"WITH {PROGRESS} SELECT seq, type, step, CAST(run_id AS VARCHAR) AS \"runId\" FROM f WHERE seq % 10 NOT IN (3, 7)",

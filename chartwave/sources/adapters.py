@@ -111,3 +111,13 @@ def progress_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def probs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("run_id"), F.col("event_type").alias("label")).agg(F.sum("value").alias("s"))
     return e.select("run_id", "label", (F.col("s") / F.sum("s").over(Window.partitionBy("run_id"))).alias("p"))
+
+
+def plates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image_id, width, height, y, x, gray, b, g, r): one image of its own size for each supplier."""
+    k = F.col("s_suppkey").cast("int")
+    sizes = table(spark, sf_dir, "supplier").select(k.alias("image_id"), (20 + (k * 7) % 45).alias("width"), (16 + (k * 11) % 37).alias("height"))
+    rows = sizes.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("height") - 1))).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
+    i, y, x = F.col("image_id"), F.col("y"), F.col("x")
+    gray = (x * x * 3 + y * 7 * (i % 13 + 1) + x * y) % 256
+    return rows.select("*", gray.alias("gray"), gray.alias("b"), ((x * 5 + y * 3 + i) % 256).alias("g"), ((x * y + i * 11) % 256).alias("r"))
