@@ -27,7 +27,7 @@ from .common import bounded_batches, cut, drop_table, utf8
 RANGE_CELLS = 1 << 22
 RANGE_LINES = RANGE_CELLS // 8
 #: Digests that a task remembers, so that a line met again and again does not travel each time.
-REMEMBERED = 200_000
+REMEMBERED = 10_000
 
 
 def line_key(line: bytes) -> bytes:
