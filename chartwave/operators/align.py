@@ -81,8 +81,7 @@ def aligned_metrics(pairs: DataFrame, gains: DataFrame, keys: list[str], active:
     own = own.withColumn("est", F.col("gain") * F.col("est") + F.col("v_offset"))
     if active is not None:
         own = own.join(active.withColumn("on", F.lit(True)), [*keys, "idx"], "left")
-        n = F.count("on").over(Window.partitionBy(*keys))
-        own = own.where((n < 10) | F.col("on"))
+        own = own.withColumn("n_on", F.count("on").over(Window.partitionBy(*keys))).where((F.col("n_on") < 10) | F.col("on"))
     return stats.pair_metrics(own, keys)
 
 

@@ -74,3 +74,81 @@ def progress_log(spark: SparkSession, path: str, streaming: bool = False) -> Dat
     """Lines of progress logs, as a batch or as a stream of files."""
     reader = spark.readStream if streaming else spark.read
     return reader.format("text").load(path).withColumnRenamed("value", "line")
+
+
+def sorted_files(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """Image files by path; with `most` only the first ones (a look at a folder)."""
+    files = image_files(spark, path).orderBy("path")
+    return files.limit(most) if most else files
+
+
+def result_archives(spark: SparkSession, root: str, name: str = "ecg_signals_mv.npz") -> DataFrame:
+    """Archives of exactly this name below a folder, by path; one directly in it hides those further down."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(root)
+    base = F.size(F.split(F.regexp_replace("path", "^file:(//)?", ""), "/"))
+    direct = base == len(root.rstrip("/").split("/")) + 1
+    found = files.withColumn("direct", direct)
+    any_direct = found.where("direct").limit(1).select(F.lit(True).alias("hide"))
+    return found.join(any_direct, F.lit(True), "left").where(F.coalesce("hide", F.lit(False)) == F.col("direct")).drop("direct", "hide").orderBy("path")
+
+
+def sampling_rates(truth: DataFrame, own: DataFrame, key: str, default: float = 500.0) -> DataFrame:
+    """(key, truth_hz, own_hz): a truth without a rate has the default, an extracted signal the truth's."""
+    both = truth.select(key, F.col("sampling_rate").alias("t")).join(own.select(key, F.col("sampling_rate").alias("o")), key, "full")
+    return both.select(key, F.coalesce("t", F.lit(default)).alias("truth_hz"), F.coalesce("o", "t", F.lit(default)).alias("own_hz"))
+
+
+def class_names(spark: SparkSession, path: str) -> DataFrame:
+    """(ord, name): a JSON file with an array of class names; an empty or other one is an error."""
+    names = F.from_json(F.regexp_replace("value", r"\s+", " "), "array<string>")
+    rows = spark.read.text(path, wholetext=True).select(names.alias("names"))
+    right = F.assert_true(F.coalesce(F.size("names"), F.lit(0)) > 0, F.lit("a JSON array of class names is needed"))
+    return rows.select(F.posexplode(F.when(right.isNull(), F.col("names"))).alias("ord", "name"))
+
+
+def preferred_file(spark: SparkSession, folders: list[str], preferred: str, pattern: str) -> str:
+    """The preferred file of the first folder that has it, else the first of the pattern by folder and name."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    found = []
+    for folder in folders:
+        at = jvm.Path(folder)
+        system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        if system.exists(jvm.Path(at, preferred)):
+            return f"{folder.rstrip('/')}/{preferred}"
+        found += sorted(str(f.getPath()) for f in system.globStatus(jvm.Path(at, pattern)) or [])
+    if not found:
+        raise FileNotFoundError(f"neither {preferred} nor {pattern} in {folders}")
+    return found[0]
+
+
+def orientation(content: bytes | None) -> int:
+    """The orientation tag (1 to 8) of a JPEG's EXIF block; 1 without one."""
+    at = 2
+    while content and content[:2] == b"\xff\xd8" and at + 4 <= len(content) and content[at] == 0xFF:
+        size = int.from_bytes(content[at + 2 : at + 4], "big")
+        block = content[at + 4 : at + 2 + size]
+        if content[at + 1] == 0xE1 and block[:6] == b"Exif\0\0":
+            tiff = block[6:]
+            order = "little" if tiff[:2] == b"II" else "big"
+            number = lambda i, n: int.from_bytes(tiff[i : i + n], order)
+            start = number(4, 4)
+            for k in range(number(start, 2)):
+                entry = start + 2 + 12 * k
+                if number(entry, 2) == 274:
+                    value = number(entry + 8, 2)
+                    return value if 1 <= value <= 8 else 1
+        if content[at + 1] == 0xDA:
+            break
+        at += 2 + size
+    return 1
+
+
+def oriented_files(spark: SparkSession, path: str) -> DataFrame:
+    """Image files with the angle (0, 90, 180, 270) that their orientation tag asks to turn them by."""
+
+    @F.pandas_udf("int")
+    def tag(content: pd.Series) -> pd.Series:
+        return content.map(orientation)
+
+    files = image_files(spark, path).withColumn("tag", tag("content"))
+    return files.withColumn("angle", F.when(F.col("tag").isin(3, 4), 180).when(F.col("tag").isin(5, 6), 90).when(F.col("tag").isin(7, 8), 270).otherwise(0))

@@ -78,3 +78,40 @@ def windowed_counts(events: DataFrame, size: str, delay: str = "10 minutes") ->
 def classify_end(exit_code, success):
     """The final event of a run: error on a bad exit or a result that reports failure."""
     return F.when((exit_code != 0) | ~F.coalesce(success, F.lit(True)), F.lit("error")).otherwise(F.lit("complete"))
+
+
+def steady(frames: DataFrame, key: str = "camera", need: int = 10) -> DataFrame:
+    """(key, seq): a capture each time `need` detections in a row are positive; frames: (key, seq, found).
+
+    A negative or missing detection starts the count anew, and so does a capture.  Frames of
+    one batch are taken by seq; the count goes on in the next batch.
+    """
+
+    def update(k: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        n = held.get[0] if held.exists else 0
+        fired = []
+        for r in pd.concat(list(parts)).sort_values("seq", kind="stable").itertuples():
+            n = n + 1 if r.found is True or r.found == 1 else 0
+            if n >= need:
+                fired.append(int(r.seq))
+                n = 0
+        held.update((n,))
+        yield pd.DataFrame({key: [k[0]] * len(fired), "seq": fired})
+
+    kind = dict(frames.dtypes)[key]
+    return frames.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, seq long", "n int", "append", GroupStateTimeout.NoTimeout)
+
+
+def predictions(events: DataFrame) -> DataFrame:
+    """(run_id, prediction): the last prediction that a complete or earlier event of a job carried."""
+    last = F.max_by("prediction", F.when(F.col("prediction").isNotNull(), F.col("seq")))
+    return events.groupBy("run_id").agg(last.alias("prediction"))
+
+
+def each_batch(report):
+    """A sink for writeStream.foreachBatch that tells `report` each finished batch's number and rows."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        report(number, batch.count())
+
+    return run
