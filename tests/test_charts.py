@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from chartwave.functions import chart, kernels
 from chartwave.operators import align, calibrate, layout, stats, tiles
-from chartwave.plans import classify
+from chartwave.plans import classify, digitize
 from chartwave.sources import readers, sinks
 from chartwave.streaming import jobs as stream
 
@@ -98,6 +98,31 @@ def test_calibration_of_a_drawn_grid(spark):
     assert (rows["none"].px_per_mm, rows["none"].confidence, rows["none"].method) == (11.8, 0.0, "fallback-default")
 
 
+def drawn_chart(width=800, height=480):
+    """White traces on black: three rows of four leads and a rhythm strip."""
+    image, x = np.zeros((height, width, 3), np.uint8), np.arange(width)
+    rows = [60, 180, 300, 420]
+    shape = 18 * np.sin(2 * np.pi * x / 50)
+    for y0 in rows:
+        for dy in (-1, 0, 1):
+            image[np.rint(y0 - shape).astype(int) + dy, x] = 255
+    return image, rows, shape
+
+
+def test_digitize_a_whole_chart(spark):
+    image, rows, shape = drawn_chart()
+    samples, quality = digitize.run(pixels_of(spark, {"c": image}), chart.lead_dim(spark))
+    got = {}
+    for r in samples.collect():
+        got.setdefault(r.lead, []).append((r.idx, r.mv, r.norm))
+    assert {k: len(v) for k, v in got.items()} == {n: 5000 if n == "Rhythm" else 1250 for n, *_ in chart.LEADS}
+    assert all(max(abs(v[2]) for v in own) == pytest.approx(1) for own in got.values())
+    off = np.array([v[1] for v in sorted(got["Rhythm"])]) * 118 - np.interp(np.linspace(0, 799, 5000), np.arange(800), shape)
+    assert np.abs(off - np.median(off))[1000:4700].max() < 3
+    q = {r.lead: r for r in quality.collect()}
+    assert len(q) == 13 and all(r.finite_share > 0.8 and r.mask_pixels > 300 and r.score == 1.0 for r in q.values())
+
+
 def test_column_splits_prefer_labels_then_lines(spark):
     anchors = spark.createDataFrame([(1, 100, [12, 40, 60, 90]), (2, 100, [2, 4, 60, 90]), (3, 100, None), (4, 100, [12, None, None, None])], "image_id int, width int, anchors array<bigint>")
     lines = spark.createDataFrame([(2, [24, 51, 77, 90]), (4, [1, 2, 3])], "image_id int, places array<bigint>")
