@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, drop_table, utf8
+from .common import bounded_batches, cut, drop_table, slices, utf8
 
 #: Cells of each of the two filters of a range, and the lines that a range should have: what a task holds
 #: at a time has one size for any table.
@@ -87,10 +87,11 @@ def twice_filters(docs: DataFrame, ranges: int, least: int) -> DataFrame:
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = Memory()
         for batch in batches:
-            # Two documents say all that the filters ask about a digest.
-            found = [d for text in utf8(batch.column(0)) for d in document_digests(text, least) if memory.count(d) < 2]
-            part, h = places(found, ranges)
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(h)], names=["part", "hash"])
+            for few in slices(batch, 0):
+                # Two documents say all that the filters ask about a digest.
+                found = [d for text in utf8(few.column(0)) for d in document_digests(text, least) if memory.count(d) < 2]
+                part, h = places(found, ranges)
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(h)], names=["part", "hash"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once = twice = None
@@ -132,22 +133,27 @@ def suspected_lines(docs: DataFrame, min_chars: int, ranges: int) -> DataFrame:
     def lookups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = Memory()
         for batch in batches:
-            found, at, sure = [], [], []
-            for i, text in enumerate(utf8(batch.column(1))):
-                for d in document_digests(text, min_chars):
-                    found.append(d)
-                    at.append(i)
-                    # Met before by this task: a repeat for certain, for any task to pass on.
-                    sure.append(memory.count(d) > 0)
-            part, h = places(found, ranges)
-            sure = np.array(sure, dtype=bool)
-            rows = batch.take(pa.array(at, pa.int64()))
-            part = np.where(sure, (h ^ rows.column(2).to_numpy()) % ranges, part) if len(found) else part
-            known = pa.array([b"" if s else None for s in sure], pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part, pa.int32()), known, pa.array(found, pa.binary()), rows.column(0), rows.column(2)],
-                names=["part", "bits", "digest", "doc_id", "row"],
-            )
+            for few in slices(batch, 1):
+                yield asked(few, memory)
+
+    def asked(batch: pa.RecordBatch, memory: Memory) -> pa.RecordBatch:
+        found, at, sure = [], [], []
+        for i, text in enumerate(utf8(batch.column(1))):
+            own = document_digests(text, min_chars)
+            found += own
+            at += [i] * len(own)
+            # Met before by this task: a repeat for certain, for any task to pass on.
+            sure += [memory.count(d) > 0 for d in own]
+        part, h = places(found, ranges)
+        sure, at = np.array(sure, dtype=bool), pa.array(at, pa.int64())
+        # Of each line's document only the id and the hash are fetched, never the text.
+        doc_id, row = batch.column(0).take(at), batch.column(2).take(at)
+        part = np.where(sure, (h ^ row.to_numpy()) % ranges, part) if len(found) else part
+        known = pa.array([b"" if s else None for s in sure], pa.binary())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(part, pa.int32()), known, pa.array(found, pa.binary()), doc_id, row],
+            names=["part", "bits", "digest", "doc_id", "row"],
+        )
 
     def pass_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, twice = None, None
@@ -180,12 +186,12 @@ def suspected_lines(docs: DataFrame, min_chars: int, ranges: int) -> DataFrame:
 def without_lines(text: pa.Array, drops: pa.Array) -> pa.Array:
     """The text without the lines of the given keys, with its lines counted before."""
     texts, counts, dropped = [], [], []
-    for t, keys in zip(utf8(text), drops.to_pylist()):
-        lines = (t or b"").split(b"\n")
-        gone = set(keys or ())
-        kept = [x for x in lines if digest_of(line_key(x)) not in gone] if gone else lines
-        texts.append(None if t is None else b"\n".join(kept))
-        counts.append(len(lines))
+    for i in range(len(text)):
+        t, gone = utf8(text.slice(i, 1))[0], set(drops[i].as_py() or ())
+        lines = (t or b"").split(b"\n") if gone else ()
+        kept = [x for x in lines if digest_of(line_key(x)) not in gone]
+        texts.append(b"\n".join(kept) if gone and t is not None else t)
+        counts.append(len(lines) if gone else 1 + (t or b"").count(b"\n"))
         dropped.append(len(lines) - len(kept))
     return pa.StructArray.from_arrays(
         [pa.array(texts, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), pa.array(dropped, pa.int64())],
