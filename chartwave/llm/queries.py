@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_tree, langid, lines, mixing, quality, rabitq, secret_scan, simhash, urls
+from . import alignment, bpe, html_tree, langid, lines, mixing, quality, rabitq, secret_scan, simhash, urls
 from .common import cut, table
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -13,6 +13,7 @@ RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 BLOCKED_NAMES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 BLOCKED_ZONES = ("com", "net", "org", "example.com", "example.net", "example.org")
 BLOCKED_HOSTS = [f"{name}.{zone}" for name in BLOCKED_NAMES for zone in BLOCKED_ZONES]
+BYTE_FILE, PIECE_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -85,10 +86,18 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "mix_block", "mix_slot", "mix_place")
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    return alignment.align(docs, public_tokenizers.path(BYTE_FILE), public_tokenizers.path(PIECE_FILE), groups=False)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_near_vectors, op2_near_texts, op3_line_dedup, op4_secret_scan, op5_main_text, op6_quality_rules,
-        op7_url_filter, op8_language_id, op9_byte_bpe, op10_source_mix, quality_ablation,
+        op7_url_filter, op8_language_id, op9_byte_bpe, op10_source_mix,
+        op13_tokenizer_alignment, quality_ablation,
     )
 }
