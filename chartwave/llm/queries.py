@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, html_tree, langid, lines, mixing, quality, rabitq, secret_scan, simhash, urls
+from . import alignment, bpe, html_tree, langid, lines, mixing, negatives, quality, rabitq, secret_scan, simhash, substrings, urls
 from .common import cut, table
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -86,6 +86,16 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "mix_block", "mix_slot", "mix_place")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label, positives=5, negatives=10, low=30, high=90)
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.dedup_substrings(table(spark, sf_dir, "documents"), words=50)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -98,6 +108,6 @@ QUERIES = {
     for f in (
         op1_near_vectors, op2_near_texts, op3_line_dedup, op4_secret_scan, op5_main_text, op6_quality_rules,
         op7_url_filter, op8_language_id, op9_byte_bpe, op10_source_mix,
-        op13_tokenizer_alignment, quality_ablation,
+        op11_hard_negatives, op12_substring_dedup, op13_tokenizer_alignment, quality_ablation,
     )
 }
