@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .regions import distances_at
+
 
 def gray_of(b="b", g="g", r="r") -> Column:
     return F.floor(0.114 * F.col(b) + 0.587 * F.col(g) + 0.299 * F.col(r) + 0.5).cast("int")
@@ -112,18 +114,11 @@ def overlap(trace: DataFrame, projected: DataFrame) -> DataFrame:
     )
 
 
-def nearest_distances(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Distance from each true pixel of a to the nearest of b in the same image."""
-    q = b.select("image_id", F.col("y").alias("v"), F.col("x").alias("u"))
-    dd = (F.col("y") - F.col("v")) ** 2 + (F.col("x") - F.col("u")) ** 2
-    return a.join(q, "image_id").groupBy("image_id", "y", "x").agg(F.sqrt(F.min(dd)).alias("dist"))
-
-
 def hausdorff(trace: DataFrame, projected: DataFrame) -> DataFrame:
-    go = nearest_distances(trace, projected).groupBy("image_id").agg(
+    go = distances_at(trace, projected).groupBy("image_id").agg(
         F.sqrt(F.avg(F.col("dist") * F.col("dist"))).alias("pixel_rmse"), F.avg("dist").alias("mean_distance"), F.max("dist").alias("max_deviation")
     )
-    back = nearest_distances(projected, trace).groupBy("image_id").agg(F.max("dist").alias("back"))
+    back = distances_at(projected, trace).groupBy("image_id").agg(F.max("dist").alias("back"))
     return go.join(back, "image_id").select("*", F.greatest("max_deviation", "back").alias("hausdorff")).drop("back")
 
 

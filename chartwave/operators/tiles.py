@@ -31,16 +31,16 @@ def batch_of(ids: list, boxes: list[tuple], data: list[bytes], kind: pa.DataType
     return pa.RecordBatch.from_arrays([pa.array(ids, kind), *columns, pa.array(data, pa.binary())], names=["image_id", *NAMES, "px"])
 
 
-def from_images(images: DataFrame) -> DataFrame:
+def from_images(images: DataFrame, size: int = SIZE) -> DataFrame:
     """Tiles of whole images (image_id, width, height, px): gray bytes, row by row."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, width, height, px in zip(*[c.to_pylist() for c in batch.columns]):
                 grid = np.frombuffer(px, dtype=np.uint8).reshape(height, width)
-                for y in range(0, height, SIZE):
-                    for x in range(0, width, SIZE):
-                        part = grid[y : y + SIZE, x : x + SIZE]
+                for y in range(0, height, size):
+                    for x in range(0, width, size):
+                        part = grid[y : y + size, x : x + size]
                         yield batch_of([i], [(width, height, y, x, *part.shape)], [part.tobytes()], batch.schema.field(0).type)
 
     narrow = images.select("image_id", F.col("width").cast("int"), F.col("height").cast("int"), F.col("px").cast("binary"))
@@ -63,9 +63,9 @@ def gray_images(spark, path: str) -> DataFrame:
     return rows.mapInArrow(gray, "image_id string, width int, height int, px binary")
 
 
-def from_pixels(pixels: DataFrame) -> DataFrame:
+def from_pixels(pixels: DataFrame, tile: int = SIZE) -> DataFrame:
     """Tiles of dense pixel rows (image_id, width, height, y, x, gray)."""
-    size = F.lit(SIZE)
+    size = F.lit(tile)
     rows = pixels.select(
         "image_id", F.col("width").cast("int"), F.col("height").cast("int"), (F.floor(F.col("y") / size) * size).cast("int").alias("y0"),
         (F.floor(F.col("x") / size) * size).cast("int").alias("x0"), F.col("y").cast("int"), F.col("x").cast("int"), F.col("gray").cast("int"),
@@ -73,7 +73,7 @@ def from_pixels(pixels: DataFrame) -> DataFrame:
 
     def fill(part: pa.Table) -> pa.Table:
         width, height, y0, x0 = (part[c][0].as_py() for c in NAMES[:4])
-        grid = np.zeros((min(SIZE, height - y0), min(SIZE, width - x0)), dtype=np.uint8)
+        grid = np.zeros((min(tile, height - y0), min(tile, width - x0)), dtype=np.uint8)
         grid[part["y"].to_numpy() - y0, part["x"].to_numpy() - x0] = part["gray"].to_numpy()
         return pa.Table.from_batches([batch_of([part["image_id"][0].as_py()], [(width, height, y0, x0, *grid.shape)], [grid.tobytes()], part.schema.field(0).type)])
 
@@ -101,13 +101,13 @@ BORDERS = {
 }
 
 
-def gather(tiles: DataFrame, needs: Callable, out_size: Callable, work: Callable) -> DataFrame:
+def gather(tiles: DataFrame, needs: Callable, out_size: Callable, work: Callable, tile: int = SIZE) -> DataFrame:
     """Output tiles made from the parts of the input tiles that each needs.
 
     out_size(width, height) gives the output's size; needs(start, count, n) the first and last
     input index, along one axis of n pixels, for output pixels from start on, which may lie
     outside the image; work(patch(rows, columns), y0, x0, h, w, width, height) the tile, where
-    patch gives the input at index arrays inside the image.
+    patch gives the input at index arrays inside the image.  tile is the side of output tiles.
     """
 
     def spans(start: int, count: int, n: int) -> tuple[int, int]:
@@ -115,21 +115,26 @@ def gather(tiles: DataFrame, needs: Callable, out_size: Callable, work: Callable
         return max(0, min(low, n - 1)), max(0, min(high, n - 1))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {}
+
+        def strips(n_out: int, n: int) -> list[tuple[int, int, int]]:
+            if (n_out, n) not in known:
+                known[n_out, n] = [(o, *spans(o, min(tile, n_out - o), n)) for o in range(0, n_out, tile)]
+            return known[n_out, n]
+
         for batch in batches:
             for i, width, height, y0, x0, h, w, px in zip(*[c.to_pylist() for c in batch.columns]):
                 grid = np.frombuffer(px, dtype=np.uint8).reshape(h, w)
                 ow, oh = out_size(width, height)
                 ids, boxes, data, to = [], [], [], []
-                for oy in range(0, oh, SIZE):
-                    top, bottom = spans(oy, min(SIZE, oh - oy), height)
-                    for ox in range(0, ow, SIZE):
-                        left, right = spans(ox, min(SIZE, ow - ox), width)
-                        part = grid[max(0, top - y0) : max(0, bottom + 1 - y0), max(0, left - x0) : max(0, right + 1 - x0)]
-                        if part.size:
-                            ids.append(i)
-                            boxes.append((width, height, max(y0, top), max(x0, left), *part.shape))
-                            data.append(part.tobytes())
-                            to.append((oy, ox))
+                across = [s for s in strips(ow, width) if s[1] < x0 + w and s[2] >= x0]
+                for oy, top, bottom in (s for s in strips(oh, height) if s[1] < y0 + h and s[2] >= y0):
+                    for ox, left, right in across:
+                        part = grid[max(0, top - y0) : bottom + 1 - y0, max(0, left - x0) : right + 1 - x0]
+                        ids.append(i)
+                        boxes.append((width, height, max(y0, top), max(x0, left), *part.shape))
+                        data.append(part.tobytes())
+                        to.append((oy, ox))
                 made = batch_of(ids, boxes, data, batch.schema.field(0).type)
                 places = [pa.array([t[k] for t in to], pa.int32()) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*made.columns, *places], names=[*made.schema.names, "oy", "ox"])
@@ -138,7 +143,7 @@ def gather(tiles: DataFrame, needs: Callable, out_size: Callable, work: Callable
         rows = parts.to_pylist()
         width, height, oy, ox = (rows[0][c] for c in ("width", "height", "oy", "ox"))
         ow, oh = out_size(width, height)
-        h, w = min(SIZE, oh - oy), min(SIZE, ow - ox)
+        h, w = min(tile, oh - oy), min(tile, ow - ox)
         (top, bottom), (left, right) = spans(oy, h, height), spans(ox, w, width)
         whole = np.zeros((bottom + 1 - top, right + 1 - left), dtype=np.uint8)
         for r in rows:
@@ -151,7 +156,7 @@ def gather(tiles: DataFrame, needs: Callable, out_size: Callable, work: Callable
     return tiles.mapInArrow(deal, f"{schema}, oy int, ox int").groupBy("image_id", "oy", "ox").applyInArrow(build, schema)
 
 
-def around(tiles: DataFrame, up: int, left: int, down: int, right: int, border: str, work: Callable) -> DataFrame:
+def around(tiles: DataFrame, up: int, left: int, down: int, right: int, border: str, work: Callable, tile: int = SIZE) -> DataFrame:
     """A filter that sees so many pixels around each; work(padded float array, its offset into the tile's rows and columns known) gives the tile.
 
     The mirror border needs pixels from as far inside as it reaches outside.
@@ -170,7 +175,7 @@ def around(tiles: DataFrame, up: int, left: int, down: int, right: int, border:
         low, high = start - reach, start + count - 1 + reach
         return (min(low, 2 * (n - 1) - high), max(high, -low)) if border == "mirror" else (low, high)
 
-    return gather(tiles, needs, lambda w, h: (w, h), step)
+    return gather(tiles, needs, lambda w, h: (w, h), step, tile)
 
 
 def blurred(grid: np.ndarray, kernel: list[float]) -> np.ndarray:
@@ -180,26 +185,26 @@ def blurred(grid: np.ndarray, kernel: list[float]) -> np.ndarray:
     return sum(k * rows[:, i : rows.shape[1] - n + 1 + i] for i, k in enumerate(kernel))
 
 
-def blur(tiles: DataFrame, size: int, sigma: float = 0.0) -> DataFrame:
+def blur(tiles: DataFrame, size: int, sigma: float = 0.0, tile: int = SIZE) -> DataFrame:
     kernel = gaussian(size, sigma)
-    return around(tiles, *[size // 2] * 4, "mirror", lambda g: blurred(g, kernel))
+    return around(tiles, *[size // 2] * 4, "mirror", lambda g: blurred(g, kernel), tile)
 
 
-def adaptive_threshold(tiles: DataFrame, size: int, offset: float) -> DataFrame:
+def adaptive_threshold(tiles: DataFrame, size: int, offset: float, tile: int = SIZE) -> DataFrame:
     """255 where a pixel is brighter than the Gaussian mean around it less the offset, else 0."""
     kernel, r = gaussian(size), size // 2
-    return around(tiles, r, r, r, r, "repeat", lambda g: 255.0 * (g[r : g.shape[0] - r, r : g.shape[1] - r] > np.rint(blurred(g, kernel)) - offset))
+    return around(tiles, r, r, r, r, "repeat", lambda g: 255.0 * (g[r : g.shape[0] - r, r : g.shape[1] - r] > np.rint(blurred(g, kernel)) - offset), tile)
 
 
-def median_blur(tiles: DataFrame, size: int) -> DataFrame:
+def median_blur(tiles: DataFrame, size: int, tile: int = SIZE) -> DataFrame:
     def median(grid: np.ndarray) -> np.ndarray:
         windows = np.lib.stride_tricks.sliding_window_view(grid.astype(np.uint8), (size, size))
         return np.stack([np.median(row.reshape(row.shape[0], -1), axis=1) for row in windows])
 
-    return around(tiles, *[size // 2] * 4, "repeat", median)
+    return around(tiles, *[size // 2] * 4, "repeat", median, tile)
 
 
-def rank(tiles: DataFrame, height: int, width: int, pick: str) -> DataFrame:
+def rank(tiles: DataFrame, height: int, width: int, pick: str, tile: int = SIZE) -> DataFrame:
     """Largest ("max": dilation) or smallest ("min": erosion) value of a rectangle; outside the image there is none."""
     choose = np.fmax if pick == "max" else np.fmin
 
@@ -214,24 +219,24 @@ def rank(tiles: DataFrame, height: int, width: int, pick: str) -> DataFrame:
 
     up, left = height // 2, width // 2
     if pick == "max":  # the dilation's rectangle is mirrored, as an opening must not move anything
-        return around(tiles, height - 1 - up, width - 1 - left, up, left, "none", extreme)
-    return around(tiles, up, left, height - 1 - up, width - 1 - left, "none", extreme)
+        return around(tiles, height - 1 - up, width - 1 - left, up, left, "none", extreme, tile)
+    return around(tiles, up, left, height - 1 - up, width - 1 - left, "none", extreme, tile)
 
 
-def dilate(tiles: DataFrame, height: int, width: int) -> DataFrame:
-    return rank(tiles, height, width, "max")
+def dilate(tiles: DataFrame, height: int, width: int, tile: int = SIZE) -> DataFrame:
+    return rank(tiles, height, width, "max", tile)
 
 
-def erode(tiles: DataFrame, height: int, width: int) -> DataFrame:
-    return rank(tiles, height, width, "min")
+def erode(tiles: DataFrame, height: int, width: int, tile: int = SIZE) -> DataFrame:
+    return rank(tiles, height, width, "min", tile)
 
 
-def opened(tiles: DataFrame, height: int, width: int) -> DataFrame:
-    return dilate(erode(tiles, height, width), height, width)
+def opened(tiles: DataFrame, height: int, width: int, tile: int = SIZE) -> DataFrame:
+    return dilate(erode(tiles, height, width, tile), height, width, tile)
 
 
-def closed(tiles: DataFrame, height: int, width: int) -> DataFrame:
-    return erode(dilate(tiles, height, width), height, width)
+def closed(tiles: DataFrame, height: int, width: int, tile: int = SIZE) -> DataFrame:
+    return erode(dilate(tiles, height, width, tile), height, width, tile)
 
 
 def cubic(t: np.ndarray, a: float = -0.75) -> np.ndarray:
@@ -246,7 +251,7 @@ def lanczos4(t: np.ndarray) -> np.ndarray:
 KERNELS = {"bilinear": (1, lambda t: np.maximum(1 - np.abs(t), 0.0)), "bicubic": (2, cubic), "lanczos4": (4, lanczos4)}
 
 
-def resize(tiles: DataFrame, factor: float, kind: str = "bicubic") -> DataFrame:
+def resize(tiles: DataFrame, factor: float, kind: str = "bicubic", tile: int = SIZE) -> DataFrame:
     """Images scaled by a factor; pixel centres map to pixel centres, borders repeat."""
     reach, weight = KERNELS[kind]
 
@@ -260,10 +265,16 @@ def resize(tiles: DataFrame, factor: float, kind: str = "bicubic") -> DataFrame:
         at, _ = taps(start, count, n)
         return int(at.min()), int(at.max())
 
+    def matrix(start: int, count: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(input indices, weights of each for each output index): a band, but small enough to multiply whole."""
+        at, w = taps(start, count, n)
+        low = at.min()
+        out = np.zeros((count, at.max() + 1 - low))
+        np.add.at(out, (np.arange(count)[:, None], at - low), w)
+        return np.arange(low, at.max() + 1), out
+
     def work(patch, y0, x0, h, w, width, height):
-        (ys, wy), (xs, wx) = taps(y0, h, height), taps(x0, w, width)
-        columns = np.arange(xs.min(), xs.max() + 1)
-        rows = sum(wy[:, k, None] * patch(ys[:, k], columns) for k in range(ys.shape[1]))
-        return sum(wx[None, :, k] * rows[:, xs[:, k] - columns[0]] for k in range(xs.shape[1]))
+        (ys, wy), (xs, wx) = matrix(y0, h, height), matrix(x0, w, width)
+        return (wy @ patch(ys, xs).astype(np.float64)) @ wx.T
 
-    return gather(tiles, needs, lambda w, h: (int(w * factor), int(h * factor)), work)
+    return gather(tiles, needs, lambda w, h: (int(w * factor), int(h * factor)), work, tile)

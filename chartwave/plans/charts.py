@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import chart
-from ..operators import align, calibrate, colour, layout, matching, raster, sequence, shapes, stats, tiles
+from ..operators import align, calibrate, colour, layout, matching, raster, regions, sequence, shapes, stats, tiles, warps
 from ..sources import adapters as src
 from .oracles import PAIR, PEAKS, QUADS, RUNS, SIG
 
@@ -42,6 +42,10 @@ MOMENT = "CAST(sum(gray * ((y * 31 + x * 17) % 1009)) AS BIGINT) AS moment"
 DIGEST = f"SELECT image_id, count(*) AS n, CAST(sum(gray) AS BIGINT) AS total, {MOMENT} FROM o GROUP BY image_id"
 
 
+#: Tiles of the plates: small, so that every filter works across their borders.
+TILE = 16
+
+
 def digest(made: DataFrame) -> DataFrame:
     at = (F.col("y") * 31 + F.col("x") * 17) % 1009
     own = tiles.to_pixels(made).groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), F.sum("gray").alias("total"), F.sum(F.col("gray") * at).alias("moment"))
@@ -49,7 +53,7 @@ def digest(made: DataFrame) -> DataFrame:
 
 
 def plate_tiles(spark: SparkSession, d: str) -> DataFrame:
-    return tiles.from_pixels(src.plates(spark, d))
+    return tiles.from_pixels(src.plates(spark, d), TILE)
 
 
 def _scaled(reach: int, weight: str) -> str:
@@ -74,12 +78,12 @@ _LANCZOS = "CASE WHEN abs(t) < 1e-9 THEN 1.0 WHEN abs(t) >= 4 THEN 0.0 ELSE 4 *
 
 @query(_scaled(2, _CUBIC))
 def plate_bicubic(spark, d):
-    return digest(tiles.resize(plate_tiles(spark, d), 2.0, "bicubic"))
+    return digest(tiles.resize(plate_tiles(spark, d), 2.0, "bicubic", tile=TILE))
 
 
 @query(_scaled(4, _LANCZOS))
 def plate_lanczos(spark, d):
-    return digest(tiles.resize(plate_tiles(spark, d), 2.0, "lanczos4"))
+    return digest(tiles.resize(plate_tiles(spark, d), 2.0, "lanczos4", tile=TILE))
 
 
 def _kernel(size: int) -> str:
@@ -98,13 +102,13 @@ m AS (SELECT image_id, oy AS y, ox AS x, sum(w * g) AS mean FROM sx JOIN ra USIN
 @query(_mean(11, lambda c, n: f"least(greatest({c}, 0), {n} - 1)") + f""",
 o AS (SELECT image_id, y, x, CASE WHEN gray > round_even(mean, 0) - 2 THEN 255 ELSE 0 END AS gray FROM px JOIN m USING (image_id, y, x)) {DIGEST}""")
 def plate_threshold(spark, d):
-    return digest(tiles.adaptive_threshold(plate_tiles(spark, d), 11, 2.0))
+    return digest(tiles.adaptive_threshold(plate_tiles(spark, d), 11, 2.0, tile=TILE))
 
 
 @query(_mean(7, lambda c, n: f"({n} - 1) - abs(({n} - 1) - (({c}) + 2 * ({n} - 1)) % (2 * {n} - 2))") + f""",
 o AS (SELECT image_id, y, x, CAST(round_even(mean, 0) AS BIGINT) AS gray FROM m) {DIGEST}""")
 def plate_blur(spark, d):
-    return digest(tiles.blur(plate_tiles(spark, d), 7))
+    return digest(tiles.blur(plate_tiles(spark, d), 7, tile=TILE))
 
 
 def _rank(source: str, out: str, h: int, w: int, pick: str, sign: int) -> str:
@@ -115,19 +119,19 @@ def _rank(source: str, out: str, h: int, w: int, pick: str, sign: int) -> str:
 
 @query(f"WITH {PLATES}, {_rank('px', 'e', 2, 5, 'min', 1)}, {_rank('e', 'o', 2, 5, 'max', -1)} {DIGEST}")
 def plate_opened(spark, d):
-    return digest(tiles.opened(plate_tiles(spark, d), 2, 5))
+    return digest(tiles.opened(plate_tiles(spark, d), 2, 5, tile=TILE))
 
 
 @query(f"WITH {PLATES}, {_rank('px', 'e', 4, 3, 'max', -1)}, {_rank('e', 'o', 4, 3, 'min', 1)} {DIGEST}")
 def plate_closed(spark, d):
-    return digest(tiles.closed(plate_tiles(spark, d), 4, 3))
+    return digest(tiles.closed(plate_tiles(spark, d), 4, 3, tile=TILE))
 
 
 @query(f"""WITH {PLATES}, c(dy, dx) AS (SELECT a, b FROM (SELECT unnest([-1, 0, 1]) AS a), (SELECT unnest([-1, 0, 1]) AS b)),
 o AS (SELECT a.image_id, a.y, a.x, CAST(median(b.gray) AS BIGINT) AS gray FROM px a, c, px b WHERE b.image_id = a.image_id
   AND b.y = least(greatest(a.y + dy, 0), a.height - 1) AND b.x = least(greatest(a.x + dx, 0), a.width - 1) GROUP BY a.image_id, a.y, a.x) {DIGEST}""")
 def plate_median(spark, d):
-    return digest(tiles.median_blur(plate_tiles(spark, d), 3))
+    return digest(tiles.median_blur(plate_tiles(spark, d), 3, tile=TILE))
 
 
 @query(f"""WITH {PLATES}, t AS (SELECT *, CASE WHEN gray > 110 THEN 255 ELSE 0 END AS o FROM px),
@@ -138,8 +142,8 @@ o AS (SELECT b.image_id, b.y, b.x, greatest(b.gray - v.gray - h.gray, 0) AS gray
 def mask_without_lines(spark, d):
     """A mask less its vertical and its horizontal lines."""
     mask = src.plates(spark, d).withColumn("gray", F.when(F.col("gray") > 110, 255).otherwise(0))
-    made = tiles.from_pixels(mask)
-    sides = [tiles.to_pixels(tiles.opened(made, h, w)).withColumnRenamed("gray", n) for h, w, n in ((5, 1, "v"), (1, 5, "h"))]
+    made = tiles.from_pixels(mask, TILE)
+    sides = [tiles.to_pixels(tiles.opened(made, h, w, TILE)).withColumnRenamed("gray", n) for h, w, n in ((5, 1, "v"), (1, 5, "h"))]
     own = tiles.to_pixels(made).join(sides[0], ["image_id", "y", "x"]).join(sides[1], ["image_id", "y", "x"])
     left = own.withColumn("gray", F.greatest(F.col("gray") - F.col("v") - F.col("h"), F.lit(0)))
     at = (F.col("y") * 31 + F.col("x") * 17) % 1009
@@ -156,9 +160,9 @@ def content_crop(spark, d):
     """Box around all that is not white, closed by 5 x 5 twice, with 16 pixels around."""
     pixels = src.plates(spark, d)
     on = (F.col("gray") <= 245) & (((F.col("x") * 3 + F.col("y")) % 11 == 0) | (F.col("y") > F.col("x")))
-    made = tiles.from_pixels(pixels.withColumn("gray", F.when(on, 1).otherwise(0)))
+    made = tiles.from_pixels(pixels.withColumn("gray", F.when(on, 1).otherwise(0)), TILE)
     for step in (tiles.dilate, tiles.dilate, tiles.erode, tiles.erode):
-        made = step(made, 5, 5)
+        made = step(made, 5, 5, TILE)
     box = tiles.to_pixels(made).where("gray > 0").groupBy("image_id").agg(F.min("x").alias("a"), F.min("y").alias("b"), F.max("x").alias("c"), F.max("y").alias("e"))
     images = pixels.select("image_id", "width", "height").distinct().join(box, "image_id", "left")
     return longs(images.select(
@@ -168,6 +172,77 @@ def content_crop(spark, d):
     ))
 
 
+# Components of masks, over tile borders.
+
+_REGIONS = f"""WITH RECURSIVE {PLATES}, m AS MATERIALIZED (SELECT image_id, y * width + x AS p, width, y, x FROM px WHERE gray >= 150),
+e AS MATERIALIZED (SELECT a.image_id * 10000 + a.p AS a, b.image_id * 10000 + b.p AS b FROM m a, (VALUES (-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)) k(dy, dx), m b
+  WHERE b.image_id = a.image_id AND b.y = a.y + dy AND b.x = a.x + dx),
+cc(a, label) USING KEY (a) AS (
+  SELECT image_id * 10000 + p, p FROM m
+  UNION SELECT e.b, min(cc.label) FROM cc JOIN e ON e.a = cc.a JOIN recurring.cc r ON r.a = e.b WHERE cc.label < r.label GROUP BY e.b),
+l AS (SELECT m.*, label FROM cc JOIN m ON a = image_id * 10000 + p),
+c AS (SELECT image_id, label, count(*) AS area, min(y) AS y1, min(x) AS x1, max(y) AS y2, max(x) AS x2 FROM l GROUP BY image_id, label)"""
+
+
+def plate_mask(spark: SparkSession, d: str) -> DataFrame:
+    return tiles.from_pixels(src.plates(spark, d).withColumn("gray", F.when(F.col("gray") >= 150, 255).otherwise(0)), TILE)
+
+
+@query(f"{_REGIONS} SELECT image_id, CAST(label AS BIGINT) AS label, area, y1, x1, y2, x2 FROM c")
+def plate_components(spark, d):
+    """Every component of the bright pixels with its area and box."""
+    return longs(regions.regions(plate_mask(spark, d))[0])
+
+
+@query(f"""{_REGIONS}, k AS (SELECT image_id, p FROM l JOIN c USING (image_id, label) WHERE area >= 50),
+o AS (SELECT px.image_id, y, x, CASE WHEN k.p IS NULL THEN 0 ELSE 255 END AS gray FROM px LEFT JOIN k ON k.image_id = px.image_id AND k.p = y * width + x) {DIGEST}""")
+def plate_large_components(spark, d):
+    """The bright pixels without components of fewer than 50."""
+    return digest(regions.without_small(plate_mask(spark, d)))
+
+
+@query(f"""WITH {PLATES}, b AS (SELECT image_id, y, x FROM px WHERE gray >= 250),
+d AS (SELECT px.image_id, px.y, px.x, min((px.y - b.y) ** 2 + (px.x - b.x) ** 2) AS d2 FROM px JOIN b USING (image_id) GROUP BY px.image_id, px.y, px.x)
+SELECT image_id, count(*) AS n, CAST(sum(d2) AS BIGINT) AS total, CAST(max(d2) AS BIGINT) AS most, CAST(sum(d2 * ((y * 31 + x * 17) % 1009)) AS BIGINT) AS moment FROM d GROUP BY image_id""")
+def plate_distances(spark, d):
+    """The squared distance of every pixel to the nearest very bright one."""
+    pixels = src.plates(spark, d)
+    made = regions.distances_at(pixels, pixels.where("gray >= 250"))
+    d2, at = F.rint(F.col("dist") * F.col("dist")).cast("long"), (F.col("y") * 31 + F.col("x") * 17) % 1009
+    return longs(made.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), F.sum(d2).alias("total"), F.max(d2).alias("most"), F.sum(d2 * at).alias("moment")))
+
+
+# Geometry: each image by its own map.
+
+_TURN = f"""WITH {PLATES}, s AS (SELECT px.*, {{sx}} AS sx, {{sy}} AS sy FROM px),
+f AS (SELECT *, floor(sy) AS v0, floor(sx) AS u0, sy - floor(sy) AS fy, sx - floor(sx) AS fx FROM s),
+t AS (SELECT f.image_id, f.y, f.x, dy, dx, (CASE WHEN dy = 0 THEN 1 - fy ELSE fy END) * (CASE WHEN dx = 0 THEN 1 - fx ELSE fx END) AS w,
+  least(greatest(v0 + dy, 0), f.height - 1) AS v, least(greatest(u0 + dx, 0), f.width - 1) AS u FROM f, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) k(dy, dx)),
+o AS (SELECT t.image_id, t.y, t.x, CAST(floor(round(sum(w * gray), 6) + 0.5) AS BIGINT) AS gray FROM t JOIN px ON px.image_id = t.image_id AND px.y = v AND px.x = u GROUP BY t.image_id, t.y, t.x)
+{DIGEST}"""
+_ANGLE = "radians((image_id % 17 - 8) * 1.0::DOUBLE)"
+_DX, _DY = "(x - width // 2)", "(y - height // 2)"
+
+
+@query(_TURN.format(sx=f"cos({_ANGLE}) * {_DX} - sin({_ANGLE}) * {_DY} + width // 2", sy=f"sin({_ANGLE}) * {_DX} + cos({_ANGLE}) * {_DY} + height // 2"))
+def plate_turned(spark, d):
+    """Each plate turned about its middle by an angle of its own, from -8 to 8 degrees; borders repeat."""
+    sizes = src.plates(spark, d).select("image_id", "width", "height").distinct()
+    turns = warps.turned(sizes.withColumn("angle", (F.col("image_id") % 17 - 8).cast("double")))
+    return digest(warps.warp(plate_tiles(spark, d), turns, tile=TILE))
+
+
+_W3 = "(1 + 0.002::DOUBLE * x + 0.001::DOUBLE * (image_id % 5) * y)"
+
+
+@query(_TURN.format(sx=f"(1.1::DOUBLE * x + 0.05::DOUBLE * y - 2) / {_W3}", sy=f"(0.03::DOUBLE * x + 1.2::DOUBLE * y - 1) / {_W3}"))
+def plate_warped(spark, d):
+    """Each plate through a perspective map of its own."""
+    sizes = src.plates(spark, d).select("image_id", F.col("width").alias("out_w"), F.col("height").alias("out_h")).distinct()
+    m = [F.lit(v) for v in (1.1, 0.05, -2.0, 0.03, 1.2, -1.0, 0.002)] + [0.001 * (F.col("image_id") % 5), F.lit(1.0)]
+    return digest(warps.warp(plate_tiles(spark, d), sizes.withColumn("m", F.array(*m)), tile=TILE))
+
+
 # Colour and tone.
 
 _HSV = """c AS (SELECT image_id, y, x, greatest(gray, g, r) AS v, greatest(gray, g, r) - least(gray, g, r) AS s0, gray AS b, g, r FROM px),
