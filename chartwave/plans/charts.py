@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import chart
-from ..operators import align, calibrate, colour, layout, matching, raster, regions, sequence, shapes, stats, tiles, warps
+from ..operators import align, calibrate, colour, layout, matching, raster, regions, sequence, shapes, stats, strokes, tiles, warps
 from ..sources import adapters as src
+from . import deskew
 from .oracles import PAIR, PEAKS, QUADS, RUNS, SIG
 
 RUN, IMAGE = ["run_id"], ["image_id"]
@@ -243,6 +244,86 @@ def plate_warped(spark, d):
     return digest(warps.warp(plate_tiles(spark, d), sizes.withColumn("m", F.array(*m)), tile=TILE))
 
 
+# Edges and lines.
+
+_EDGES = f"""WITH RECURSIVE {PLATES}, c(dy, dx) AS (SELECT a, b FROM (SELECT unnest([-1, 0, 1]) AS a), (SELECT unnest([-1, 0, 1]) AS b)),
+s AS MATERIALIZED (SELECT image_id, y, x, dy, dx, least(greatest(y + dy, 0), height - 1) AS v, least(greatest(x + dx, 0), width - 1) AS u FROM px, c),
+g AS MATERIALIZED (SELECT s.image_id, s.y, s.x, CAST(sum(dx * (2 - abs(dy)) * gray) AS BIGINT) AS gx, CAST(sum(dy * (2 - abs(dx)) * gray) AS BIGINT) AS gy
+  FROM s JOIN px b ON b.image_id = s.image_id AND b.y = v AND b.x = u GROUP BY s.image_id, s.y, s.x),
+m AS MATERIALIZED (SELECT *, abs(gx) + abs(gy) AS m, abs(gy) * 32768 < abs(gx) * 13573 AS flat, abs(gy) * 32768 > abs(gx) * (13573 + 65536) AS steep,
+  CASE WHEN (gx < 0) <> (gy < 0) THEN -1 ELSE 1 END AS slope FROM g),
+d AS MATERIALIZED (SELECT *, CASE WHEN flat THEN 0 ELSE 1 END AS sy, CASE WHEN flat THEN 1 WHEN steep THEN 0 ELSE slope END AS sx FROM m WHERE m > 300),
+r AS MATERIALIZED (SELECT d.image_id, d.y, d.x, d.m FROM d LEFT JOIN m a ON a.image_id = d.image_id AND a.y = d.y - sy AND a.x = d.x - sx
+  LEFT JOIN m b ON b.image_id = d.image_id AND b.y = d.y + sy AND b.x = d.x + sx
+  WHERE d.m > coalesce(a.m, 0) AND (d.m > coalesce(b.m, 0) OR ((d.flat OR d.steep) AND d.m = coalesce(b.m, 0)))),
+e AS MATERIALIZED (SELECT a.image_id * 10000 + a.y * 100 + a.x AS a, b.image_id * 10000 + b.y * 100 + b.x AS b FROM (SELECT *, y + dy AS v, x + dx AS u FROM r, c) a
+  JOIN r b ON b.image_id = a.image_id AND b.y = v AND b.x = u WHERE dy <> 0 OR dx <> 0),
+cc(a, label) USING KEY (a) AS (
+  SELECT image_id * 10000 + y * 100 + x, image_id * 10000 + y * 100 + x FROM r
+  UNION SELECT e.b, min(cc.label) FROM cc JOIN e ON e.a = cc.a JOIN recurring.cc q ON q.a = e.b WHERE cc.label < q.label GROUP BY e.b),
+k AS (SELECT r.*, max(m) OVER (PARTITION BY label) > 600 AS sure FROM cc JOIN r ON a = image_id * 10000 + y * 100 + x),
+o AS (SELECT px.image_id, px.y, px.x, CASE WHEN sure THEN 255 ELSE 0 END AS gray FROM px LEFT JOIN k USING (image_id, y, x))"""
+
+
+@query(f"{_EDGES} {DIGEST}")
+def plate_edges(spark, d):
+    """Edge pixels: ridges of the gradient, followed over tile borders from the strong ones."""
+    return digest(strokes.edges(plate_tiles(spark, d), 300, 600, TILE))
+
+
+_VOTES = f"""WITH {PLATES}, v AS (SELECT image_id, theta, CAST(round_even(round(x * cos(radians(theta)) + y * sin(radians(theta)), 6), 0) AS BIGINT) AS rho FROM px, (SELECT unnest(range(180)) AS theta) WHERE gray >= 240),
+n AS (SELECT image_id, theta, rho, count(*) AS votes FROM v GROUP BY image_id, theta, rho)"""
+
+
+@query(f"{_VOTES} SELECT image_id, count(*) AS n, max(votes) AS most, CAST(sum(votes * votes) AS BIGINT) AS squares, CAST(sum(votes * (theta * 7 + rho)) AS BIGINT) AS moment FROM n GROUP BY image_id")
+def plate_line_votes(spark, d):
+    """Votes of the bright pixels for all lines, digested by image."""
+    mask = tiles.from_pixels(src.plates(spark, d).withColumn("gray", F.when(F.col("gray") >= 240, 255).otherwise(0)), TILE)
+    own = F.col("votes")
+    return longs(strokes.line_votes(mask).groupBy("image_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max("votes").alias("most"), F.sum(own * own).alias("squares"), F.sum(own * (F.col("theta") * 7 + F.col("rho"))).alias("moment")
+    ))
+
+
+@query(f"""{_VOTES} SELECT a.image_id, a.theta, a.rho, a.votes FROM n a LEFT JOIN n b ON b.image_id = a.image_id AND b.theta = a.theta AND b.rho = a.rho - 1
+LEFT JOIN n c ON c.image_id = a.image_id AND c.theta = a.theta AND c.rho = a.rho + 1 LEFT JOIN n d ON d.image_id = a.image_id AND d.rho = a.rho AND d.theta = a.theta - 1
+LEFT JOIN n e ON e.image_id = a.image_id AND e.rho = a.rho AND e.theta = a.theta + 1
+WHERE a.votes > 6 AND a.votes > coalesce(b.votes, 0) AND a.votes >= coalesce(c.votes, 0) AND a.votes > coalesce(d.votes, 0) AND a.votes >= coalesce(e.votes, 0)""")
+def plate_lines(spark, d):
+    """Lines of more than six bright pixels that beat their neighbours."""
+    mask = tiles.from_pixels(src.plates(spark, d).withColumn("gray", F.when(F.col("gray") >= 240, 255).otherwise(0)), TILE)
+    return longs(strokes.lines(strokes.line_votes(mask), 6))
+
+
+@query()
+def plate_segments(spark, d):
+    """Straight runs of at least eight pixels on those lines."""
+    mask = tiles.from_pixels(src.plates(spark, d).withColumn("gray", F.when(F.col("gray") >= 240, 255).otherwise(0)), TILE)
+    return rounded(strokes.segments(mask, 6, 8.0, 6), 3)
+
+
+@query()
+def plate_baselines(spark, d):
+    """Rows where the ink of each plate peaks, four of them where there are."""
+    return deskew.baseline_rows(plate_mask(spark, d)).select("image_id", F.concat_ws(",", F.col("baselines").cast("array<string>")).alias("baselines"))
+
+
+@query()
+def deskewed_charts(spark, d):
+    """A sheet drawn for each supplier, turned by an angle of its own, straightened again: method, last turn and size."""
+    made = deskew.colour_tiles(src.sheets(spark, d), 128)
+    done, report = deskew.deskew(made, 128)
+    return rounded(report.join(done.select("image_id", "width", "height").distinct(), "image_id"), 3)
+
+
+@query()
+def processed_plates(spark, d):
+    """Plates in colour, twice as large and with raised contrast, digested."""
+    made = deskew.colour_tiles(src.plate_images(spark, d), TILE)
+    done = deskew.process_image(made, 2.0, 0.5, TILE)
+    return digest(deskew.mapped(done, deskew.gray))
+
+
 # Colour and tone.
 
 _HSV = """c AS (SELECT image_id, y, x, greatest(gray, g, r) AS v, greatest(gray, g, r) - least(gray, g, r) AS s0, gray AS b, g, r FROM px),

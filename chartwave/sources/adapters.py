@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -121,3 +123,36 @@ def plates(spark: SparkSession, sf_dir: str) -> DataFrame:
     i, y, x = F.col("image_id"), F.col("y"), F.col("x")
     gray = (x * x * 3 + y * 7 * (i % 13 + 1) + x * y) % 256
     return rows.select("*", gray.alias("gray"), gray.alias("b"), ((x * 5 + y * 3 + i) % 256).alias("g"), ((x * y + i * 11) % 256).alias("r"))
+
+
+def plate_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image_id, width, height, px): the plates as whole images, three bytes (b, g, r) for each pixel."""
+    colour = F.concat(*[F.lpad(F.hex(c), 2, "0") for c in ("b", "g", "r")])
+    rows = plates(spark, sf_dir).withColumn("at", F.col("y") * F.col("width") + F.col("x"))
+    held = rows.groupBy("image_id", "width", "height").agg(F.sort_array(F.collect_list(F.struct("at", colour.alias("c")))).alias("all"))
+    return held.select("image_id", "width", "height", F.unhex(F.array_join("all.c", "")).alias("px"))
+
+
+def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image_id, width, height, px): for each supplier a drawn sheet on a dark table, turned; every other has red corner marks."""
+    k = F.col("s_suppkey").cast("int")
+    keys = table(spark, sf_dir, "supplier").select(k.alias("image_id"), (240 + (k * 7) % 45).alias("width"), (190 + (k * 11) % 37).alias("height"), ((k * 5) % 13 - 6).cast("double").alias("angle"), (k % 2 == 0).alias("marks"))
+
+    def draw(batches):
+        for batch in batches:
+            made = []
+            for width, height, angle, marks in zip(*[c.to_pylist() for c in batch.columns[1:]]):
+                y, x = np.indices((height, width)) + 0.0
+                c, s = np.cos(np.deg2rad(angle)), np.sin(np.deg2rad(angle))
+                v = np.rint(-s * (x - width // 2) + c * (y - height // 2) + height // 2).astype(int)
+                u = np.rint(c * (x - width // 2) + s * (y - height // 2) + width // 2).astype(int)
+                inside = (v >= 28) & (v < height - 28) & (u >= 28) & (u < width - 28)
+                grid = inside & (((v - 28) % 18 < 2) | ((u - 28) % 18 < 2))
+                corner = marks & inside & (np.minimum(np.abs(v - 38), np.abs(v - height + 38)) < 6) & (np.minimum(np.abs(u - 38), np.abs(u - width + 38)) < 6)
+                px = np.full((height, width, 3), 30, dtype=np.uint8)
+                for where, colour in ((inside, (235, 235, 235)), (grid, (170, 175, 235)), (corner, (20, 20, 220))):
+                    px[where] = colour
+                made.append(px.tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(made, pa.binary())], names=["image_id", "width", "height", "px"])
+
+    return keys.mapInArrow(draw, "image_id int, width int, height int, px binary")
