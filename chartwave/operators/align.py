@@ -6,10 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from . import sequence, stats
-
-#: Time scales tried: 0.95 to 1.05 by 0.002.
-SCALES = 51
+from ..plans.store import stored
+from . import matching, sequence, stats
 
 
 def packed(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -32,36 +30,18 @@ def anchor_peaks(features: DataFrame, name: str, hz: float) -> DataFrame:
     return features.withColumn(f"{name}_peaks", peaks)
 
 
-def candidate_offsets(own: DataFrame, step: int) -> DataFrame:
-    """Rows with scale and the distinct offsets to try under it: all pairs of peaks and a coarse sweep, in steps.
-
-    own: (truth, paper, truth_peaks, paper_peaks) as arrays.
-    """
-    scales = F.explode(F.transform(F.sequence(F.lit(0), F.lit(SCALES - 1)), lambda k: F.round(0.95 + 0.002 * k, 6))).alias("scale")
-    own = own.select("*", scales)
-    s, n, m = F.col("scale"), F.size("truth"), F.size("paper")
-    pairs = F.flatten(F.transform("truth_peaks", lambda t: F.transform("paper_peaks", lambda p: F.rint((t - s * p) / step))))
-    lo, hi = 0.2 * F.least(n, m) - s * m, n - 0.2 * F.least(n, m)
-    count = F.greatest(F.lit(0), F.ceil((hi + step - lo) / step)).cast("int")
-    sweep = F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.rint((lo + k * step) / step))).otherwise(F.array().cast("array<double>"))
-    return own.withColumn("offsets", F.transform(F.array_distinct(F.concat(pairs, sweep)), lambda q: q * step + F.lit(0.0)))
-
-
 def horizontal(truth: DataFrame, paper: DataFrame, keys: list[str], hz: float) -> DataFrame:
     """(keys, scale, offset, score, corr, anchor, matches): the best time scale and offset of each pair of signals.
 
-    truth, paper: (keys, idx, v), baseline-corrected.  Each scale is scored in a row of its
-    own; the first best one in the order of scale and offset wins.
+    truth, paper: (keys, idx, v), baseline-corrected.  All scales and offsets of a pair are
+    scored where its signals lie; the first best one in the order of scale and offset wins.
     """
     sides = []
     for rows, name in ((truth, "truth"), (paper, "paper")):
         feature = packed(sequence.alignment_feature(rows, keys, hz), keys, name)
         sides.append(anchor_peaks(feature, name, hz))
-    tried = candidate_offsets(sides[0].join(sides[1], keys), max(5, round(0.025 * hz)))
-    best = kernels.best_of_scale(*[F.col(c) for c in ("truth", "paper", "truth_peaks", "paper_peaks", "scale", "offsets")], hz)
-    scored = tried.repartition(*keys, "scale").select(*keys, "scale", best.alias("b"))
-    top = F.max_by(F.struct("scale", "b"), F.struct(F.col("b.score"), -F.col("scale"), -F.col("b.offset")))
-    return scored.groupBy(*keys).agg(top.alias("t")).select(*keys, "t.scale", "t.b.*")
+    best = kernels.best_alignment(*[F.col(c) for c in ("truth", "paper", "truth_peaks", "paper_peaks")], hz)
+    return sides[0].join(sides[1], keys).select(*keys, best.alias("b")).select(*keys, "b.*")
 
 
 def laid_over(truth: DataFrame, paper: DataFrame, fit: DataFrame, keys: list[str]) -> DataFrame:
@@ -85,11 +65,21 @@ def aligned_metrics(pairs: DataFrame, gains: DataFrame, keys: list[str], active:
     return stats.pair_metrics(own, keys)
 
 
-def align(truth: DataFrame, paper: DataFrame, keys: list[str], hz: float) -> DataFrame:
+def at_rate(rows: DataFrame, keys: list[str], source_hz: float, target_hz: float) -> DataFrame:
+    """(keys, idx, v) at another rate, by polyphase filtering; gaps count as zero.  Equal rates change nothing."""
+    if abs(source_hz - target_hz) < 1e-6:
+        return rows
+    own = packed(rows, keys, "v")
+    return own.select(*keys, F.posexplode(kernels.polyphase_resampled(F.col("v"), F.lit(source_hz), F.lit(target_hz))).alias("idx", "v"))
+
+
+def align(truth: DataFrame, paper: DataFrame, keys: list[str], hz: float, paper_hz: float | None = None) -> DataFrame:
     """One row for each pair of signals: time scale and offset (samples and ms), scores, gain, offset and error metrics.
 
-    truth, paper: (keys, idx, v) at the same rate; gaps in v are filled.
+    truth, paper: (keys, idx, v) at hz and paper_hz (the same if not given); gaps in v are filled.
+    Samples are counted at hz.  Pairs of which one side is missing have no row.
     """
+    paper = at_rate(paper, keys, paper_hz or hz, hz)
     truth, paper = (sequence.baseline_corrected(df, keys, hz) for df in (truth, paper))
     fit = horizontal(truth, paper, keys, hz)
     pairs = laid_over(truth, paper, fit, keys)
@@ -103,3 +93,26 @@ def summary(aligned: DataFrame, keys: list[str], digits: int = 4) -> DataFrame:
     """The rounded report row of each pair, halves to even."""
     cols = ("scale", "offset_ms", "corr", "anchor", "gain", "v_offset", "rmse", "mae", "pearson", "snr")
     return aligned.select(*keys, "matches", *[F.bround(c, digits).alias(c) for c in cols])
+
+
+def validate(reference: DataFrame, estimate: DataFrame, keys: list[str], hz: float) -> DataFrame:
+    """The report of each pair of signals: error metrics, time warping distance, lag, and errors of beats.
+
+    reference, estimate: (keys, idx, v).  Both are cut to the shorter one; then the estimate is moved
+    by the lag of the highest cross-correlation and both are cut to what overlaps.  Beats are peaks of
+    the standardised signal above 0.7 and its 90th percentile, 0.22 s apart.  Pairs of which one side
+    is missing have no row; metrics that are undefined (constant signals, no beats) are null.  Where
+    all lags are equal, as for a constant signal, the least one counts.
+    """
+    arrays = packed(reference, keys, "a").join(packed(estimate, keys, "b"), keys)
+    n = F.least(F.size("a"), F.size("b"))
+    arrays = arrays.select(*keys, F.slice("a", 1, n).alias("a"), F.slice("b", 1, n).alias("b")).withColumn("lag", kernels.lag_between(F.col("a"), F.col("b")))
+    lag, size = F.col("lag"), F.size("a") - F.abs("lag")
+    start = lambda c: F.greatest(c, F.lit(0)) + 1
+    cut = stored(arrays.select(*keys, "lag", F.slice("a", start(lag), size).alias("a"), F.slice("b", start(-lag), size).alias("b")))
+    pairs = cut.select(*keys, F.posexplode(F.arrays_zip("a", "b")).alias("idx", "s")).select(*keys, "idx", F.col("s.a").alias("ref"), F.col("s.b").alias("est"))
+    metrics = stats.pair_metrics(pairs, keys)
+    warped = cut.select(*keys, "lag", (1000.0 * F.col("lag") / hz).alias("lag_ms"), kernels.dtw_distance(F.col("a"), F.col("b")).alias("dtw"))
+    beats = [sequence.beat_peaks(pairs.select(*keys, "idx", F.col(c).alias("v")), keys, hz) for c in ("ref", "est")]
+    errors = matching.beat_errors(*beats, keys, hz).withColumnRenamed("n", "n_beats")
+    return metrics.join(warped, keys).join(errors, keys, "left")

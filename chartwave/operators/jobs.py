@@ -50,6 +50,16 @@ def job_steps(events: DataFrame) -> DataFrame:
     return rows.select("run_id", "ord", "step_id", status.alias("status"), (F.col("failed") == 1).alias("failed"))
 
 
+def last_attempt(events: DataFrame) -> DataFrame:
+    """Events (run_id, attempt, seq, type, step) of each job's last attempt, and its start.
+
+    A job whose attempt fails is tried anew, and the next attempt reports its steps again: what the
+    failed one reported no longer counts.  A start event counts whichever attempt it came with.
+    """
+    last = F.max("attempt").over(Window.partitionBy("run_id"))
+    return events.withColumn("last", last).where((F.col("attempt") == F.col("last")) | (F.col("type") == "start")).drop("last")
+
+
 def newest_jobs(events: DataFrame, most: int = 5) -> DataFrame:
     """The jobs started last, newest first (a top-k report)."""
     starts = events.where("type = 'start'").groupBy("run_id").agg(F.max("seq").alias("started"))

@@ -191,3 +191,18 @@ def deskew_method(red: Column, paper: Column, angle: Column, hough: Column) -> C
     return F.when(base.isNotNull() & fine, F.concat(base, F.lit("+fine_rotation"))).when(base.isNotNull(), base).when(fine, F.lit("fine_rotation")).when(
         F.abs(hough) >= 0.5, F.lit("hough_rotation")
     ).otherwise(F.lit("none"))
+
+
+def crop_cascade(images: DataFrame, frames: DataFrame, contents: DataFrame) -> DataFrame:
+    """(image_id, method, x1, y1, x2, y2): the drawn frame's inside, else the box around all content, else the whole image.
+
+    images: (image_id, width, height); frames and contents: (image_id, x1, y1, x2, y2), null or
+    empty boxes count as not found.  A box is cut to its image.
+    """
+    named = lambda df, n: df.where("x2 > x1 AND y2 > y1").select("image_id", F.struct("x1", "y1", "x2", "y2").alias(n))
+    own = images.join(named(frames, "frame"), "image_id", "left").join(named(contents, "content"), "image_id", "left")
+    method = F.when(F.col("frame").isNotNull(), "blue_box").when(F.col("content").isNotNull(), "content").otherwise("original")
+    whole = {"x1": F.lit(0), "y1": F.lit(0), "x2": F.col("width"), "y2": F.col("height")}
+    side = lambda c: F.coalesce(F.col("frame")[c], F.col("content")[c], whole[c])
+    cut = lambda c: F.least(F.greatest(side(c), F.lit(0)), F.col("width" if c[0] == "x" else "height")).cast("int").alias(c)
+    return own.select("image_id", method.alias("method"), *[cut(c) for c in whole])

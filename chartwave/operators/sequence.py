@@ -101,6 +101,20 @@ def keep_spaced(df: DataFrame, keys: list[str], order: str, least: float) -> Dat
     return grouped.select(*keys, F.explode(kept).alias(order))
 
 
+def beat_peaks(df: DataFrame, keys: list[str], hz: float) -> DataFrame:
+    """(keys, idx, v) of beats: local maxima of the standardised signal above 0.7 and its 90th percentile, 0.22 s apart.
+
+    The first of close ones is kept; a constant signal has none.
+    """
+    from . import stats
+
+    z = df.select(*keys, "idx", F.col("v").alias("raw"), "v").withColumn("v", F.round(stats.zscore(df, keys, 1e-12, "zero"), 9))
+    high = F.greatest(F.lit(0.7), F.percentile("v", F.lit(0.9)).over(Window.partitionBy(*keys)))
+    tops = local_maxima(z.withColumn("high", high), keys, 0.7).where("v >= high - 1e-9")
+    kept = keep_spaced(tops, keys, "idx", max(1, int(0.22 * hz))).withColumn("idx", F.col("idx").cast(dict(df.dtypes)["idx"]))
+    return kept.join(df.select(*keys, "idx", "v"), [*keys, "idx"])
+
+
 def vertical_anchors(baselines: DataFrame, keys: list[str], height: int, share: float = 0.7) -> DataFrame:
     """(y, top, bottom): rows within 0.7 of the distance to the nearer neighbour; null where there is none."""
     w = ordered(keys, "y")

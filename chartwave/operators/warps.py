@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tiles import SIZE, batch_of, schema_of
@@ -153,5 +153,8 @@ def warp(tiles: DataFrame, maps: DataFrame, repeat: bool = True, tile: int = SIZ
     return cut.groupBy("image_id", "oy", "ox").applyInArrow(build, schema_of(tiles))
 
 
-def corners_of(*points: tuple[Column, Column]) -> Column:
-    return F.array(*[F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in points])
+def cropped(boxes: DataFrame) -> DataFrame:
+    """Maps that cut images to their boxes (image_id, x1, y1, x2, y2), the last two exclusive."""
+    one, zero = F.lit(1.0), F.lit(0.0)
+    m = F.array(one, zero, F.col("x1").cast("double"), zero, one, F.col("y1").cast("double"), zero, zero, one)
+    return boxes.where("x2 > x1 AND y2 > y1").select("image_id", m.alias("m"), (F.col("x2") - F.col("x1")).alias("out_w"), (F.col("y2") - F.col("y1")).alias("out_h"))

@@ -327,6 +327,12 @@ def job_state(spark, d):
     return longs(jobs.job_steps(src.progress(spark, d)), "ord")
 
 
+@query
+def job_attempts(spark, d):
+    """Steps of each job by its last attempt only."""
+    return longs(jobs.job_steps(jobs.last_attempt(src.attempts(spark, d))), "ord")
+
+
 @query
 def newest_jobs(spark, d):
     return jobs.newest_jobs(src.progress(spark, d))

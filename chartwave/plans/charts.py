@@ -114,8 +114,8 @@ def plate_blur(spark, d):
 
 def _rank(source: str, out: str, h: int, w: int, pick: str, sign: int) -> str:
     cells = ", ".join(f"({sign * (i - h // 2)}, {sign * (j - w // 2)})" for i in range(h) for j in range(w))
-    return f"""{out} AS (SELECT a.image_id, a.y, a.x, {pick}(b.gray) AS gray FROM {source} a, (VALUES {cells}) c(dy, dx), {source} b
-  WHERE b.image_id = a.image_id AND b.y = a.y + dy AND b.x = a.x + dx GROUP BY a.image_id, a.y, a.x)"""
+    return f"""{out} AS (SELECT s.image_id, s.y, s.x, {pick}(b.gray) AS gray FROM (SELECT image_id, y, x, y + dy AS v, x + dx AS u FROM {source}, (VALUES {cells}) c(dy, dx)) s
+  JOIN {source} b ON b.image_id = s.image_id AND b.y = s.v AND b.x = s.u GROUP BY s.image_id, s.y, s.x)"""
 
 
 @query(f"WITH {PLATES}, {_rank('px', 'e', 2, 5, 'min', 1)}, {_rank('e', 'o', 2, 5, 'max', -1)} {DIGEST}")
@@ -129,8 +129,8 @@ def plate_closed(spark, d):
 
 
 @query(f"""WITH {PLATES}, c(dy, dx) AS (SELECT a, b FROM (SELECT unnest([-1, 0, 1]) AS a), (SELECT unnest([-1, 0, 1]) AS b)),
-o AS (SELECT a.image_id, a.y, a.x, CAST(median(b.gray) AS BIGINT) AS gray FROM px a, c, px b WHERE b.image_id = a.image_id
-  AND b.y = least(greatest(a.y + dy, 0), a.height - 1) AND b.x = least(greatest(a.x + dx, 0), a.width - 1) GROUP BY a.image_id, a.y, a.x) {DIGEST}""")
+s AS (SELECT image_id, y, x, least(greatest(y + dy, 0), height - 1) AS v, least(greatest(x + dx, 0), width - 1) AS u FROM px, c),
+o AS (SELECT s.image_id, s.y, s.x, CAST(median(b.gray) AS BIGINT) AS gray FROM s JOIN px b ON b.image_id = s.image_id AND b.y = v AND b.x = u GROUP BY s.image_id, s.y, s.x) {DIGEST}""")
 def plate_median(spark, d):
     return digest(tiles.median_blur(plate_tiles(spark, d), 3, tile=TILE))
 
@@ -302,6 +302,12 @@ def plate_segments(spark, d):
     return rounded(strokes.segments(mask, 6, 8.0, 6), 3)
 
 
+@query()
+def plate_skeleton(spark, d):
+    """The bright pixels thinned to lines, digested."""
+    return digest(strokes.skeleton(plate_mask(spark, d), TILE))
+
+
 @query()
 def plate_baselines(spark, d):
     """Rows where the ink of each plate peaks, four of them where there are."""
@@ -390,6 +396,23 @@ def crop_boxes(spark, d):
     return longs(made.select("image_id", "fx1", "fy1", "fx2", "fy2"))
 
 
+@query(f"""WITH {PLATES}, fr AS (SELECT image_id, ix1, iy1, ix2, iy2 FROM ({ORACLES["blue_frame"]}) WHERE image_id % 3 = 0 AND ix2 > ix1 AND iy2 > iy1),
+co AS (SELECT * FROM ({ORACLES["content_crop"]}) WHERE image_id % 3 = 1 AND found),
+b AS (SELECT p.*, CASE WHEN fr.image_id IS NOT NULL THEN 'blue_box' WHEN found THEN 'content' ELSE 'original' END AS method,
+  least(greatest(coalesce(ix1, x1, 0), 0), width) AS bx1, least(greatest(coalesce(iy1, y1, 0), 0), height) AS by1,
+  least(greatest(coalesce(ix2, x2, width), 0), width) AS bx2, least(greatest(coalesce(iy2, y2, height), 0), height) AS by2 FROM p LEFT JOIN fr USING (image_id) LEFT JOIN co USING (image_id)),
+o AS (SELECT image_id, px.y - by1 AS y, px.x - bx1 AS x, gray FROM px JOIN b USING (image_id) WHERE px.y >= by1 AND px.y < by2 AND px.x >= bx1 AND px.x < bx2),
+g AS ({DIGEST})
+SELECT image_id, method, n, total, moment FROM b LEFT JOIN g USING (image_id)""")
+def cropped_plates(spark, d):
+    """Plates cut to a frame (every third is taken to have one), else to their content, else not at all."""
+    sizes = src.plates(spark, d).select("image_id", "width", "height").distinct()
+    frames = blue_frame(spark, d).where("image_id % 3 = 0").select("image_id", *[F.col(f"i{c}").alias(c) for c in ("x1", "y1", "x2", "y2")])
+    boxes = layout.crop_cascade(sizes, frames, content_crop(spark, d).where("image_id % 3 = 1 AND found"))
+    made = warps.warp(plate_tiles(spark, d), warps.cropped(boxes), tile=TILE)
+    return boxes.select("image_id", "method").join(digest(made), "image_id", "left")
+
+
 @query(f"""WITH {PLATES}, n AS (SELECT image_id, y, count(*) AS n FROM px WHERE gray >= 160 GROUP BY image_id, y)
 SELECT image_id, CAST(y AS BIGINT) AS y, n FROM n""")
 def row_projection(spark, d):
@@ -786,6 +809,30 @@ def confident_text(spark, d):
     return longs(chart.confident(c).groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), F.sum("turn").alias("turns")))
 
 
+@query(f"""WITH {PAIR}, z AS (SELECT run_id, idx, ref, est, (ref - avg(ref) OVER w) / coalesce(nullif(stddev_pop(ref) OVER w, 0), 1) AS a, (est - avg(est) OVER w) / coalesce(nullif(stddev_pop(est) OVER w, 0), 1) AS b
+  FROM p WINDOW w AS (PARTITION BY run_id)),
+c AS (SELECT x.run_id, x.idx - y.idx AS lag, round(sum(x.a * y.b), 6) AS score FROM z x JOIN z y USING (run_id) GROUP BY x.run_id, x.idx - y.idx),
+l AS (SELECT run_id, arg_max(lag, (score, -lag)) AS lag FROM c GROUP BY run_id),
+q AS (SELECT run_id, lag, x.ref, y.est FROM l JOIN p x USING (run_id) JOIN p y USING (run_id) WHERE x.idx - y.idx = lag)
+SELECT run_id, lag, count(*) AS n, round(CASE WHEN count(*) > 1 AND stddev_pop(ref) > 1e-12 AND stddev_pop(est) > 1e-12 THEN corr(ref, est) END, 5) AS pearson,
+  round(sqrt(sum((est - ref) ** 2) / count(*)), 5) AS rmse, round(avg(abs(est - ref)), 5) AS mae, round(100 * sqrt(sum((est - ref) ** 2) / nullif(sum(ref * ref), 0)), 5) AS prd,
+  round(CASE WHEN sum((est - ref) ** 2) <= 1e-12 THEN 'Infinity'::DOUBLE ELSE 10 * log10(sum(ref * ref) / sum((est - ref) ** 2)) END, 5) AS snr,
+  round(20.0 * lag, 5) AS lag_ms FROM q GROUP BY run_id, lag""")
+def signal_report(spark, d):
+    """Each user's two signals at their best lag, with the metrics of what overlaps, at 50 samples a second."""
+    s = src.sig_pair(spark, d)
+    report = align.validate(*[s.select("run_id", "idx", F.col(c).alias("v")) for c in ("ref", "est")], RUN, 50.0)
+    return rounded(longs(report.select("run_id", "lag", "n", "pearson", "rmse", "mae", "prd", "snr", "lag_ms")))
+
+
+@query()
+def signal_report_beats(spark, d):
+    """The rest of that report: time warping distance and errors of beats."""
+    s = src.sig_pair(spark, d)
+    report = align.validate(*[s.select("run_id", "idx", F.col(c).alias("v")) for c in ("ref", "est")], RUN, 50.0)
+    return rounded(report.select("run_id", "dtw", "n_beats", "rr_error_ms", "r_error", "qrs_error_ms", "qt_error_ms"), 4)
+
+
 # Numpy steps in them: no SQL form; tests hold them against rendered charts and known shifts.
 
 

@@ -200,6 +200,12 @@ c AS (SELECT doc_id, {_TOKEN_CASES} AS lead FROM k) SELECT lead, count(*) AS n,
     "job_state": f"""WITH {PROGRESS}, h AS (SELECT *, min(CASE WHEN type = 'start' THEN seq END) OVER (PARTITION BY run_id) AS b FROM f), j AS (SELECT run_id, coalesce(max(CASE WHEN type = 'progress' THEN k END), -2) AS r,
 bool_or(type = 'complete') AS done, bool_or(type = 'error') AS failed FROM h WHERE seq >= b GROUP BY run_id)
 SELECT run_id, ord, ['received', 'orientation', 'yolo', 'crop', 'enhanced', 'mask', 'digitized', 'predicted'][ord + 1] AS step_id,
+CASE WHEN done OR ord <= r THEN 'complete' WHEN ord = r + 1 THEN 'processing' WHEN ord = 0 THEN 'complete' ELSE 'waiting' END AS status, failed FROM j, (SELECT unnest(range(0, 8)) AS ord)""",
+    "job_attempts": f"""WITH {PROGRESS}, a AS (SELECT *, coalesce(sum(CAST(type = 'error' AS INT)) OVER (PARTITION BY run_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS attempt FROM f),
+l AS (SELECT * FROM a QUALIFY attempt = max(attempt) OVER (PARTITION BY run_id) OR type = 'start'),
+h AS (SELECT *, min(CASE WHEN type = 'start' THEN seq END) OVER (PARTITION BY run_id) AS b FROM l), j AS (SELECT run_id, coalesce(max(CASE WHEN type = 'progress' THEN k END), -2) AS r,
+bool_or(type = 'complete') AS done, bool_or(type = 'error') AS failed FROM h WHERE seq >= b GROUP BY run_id)
+SELECT run_id, ord, ['received', 'orientation', 'yolo', 'crop', 'enhanced', 'mask', 'digitized', 'predicted'][ord + 1] AS step_id,
 CASE WHEN done OR ord <= r THEN 'complete' WHEN ord = r + 1 THEN 'processing' WHEN ord = 0 THEN 'complete' ELSE 'waiting' END AS status, failed FROM j, (SELECT unnest(range(0, 8)) AS ord)""",
     "newest_jobs": f"WITH {PROGRESS} SELECT run_id, max(seq) AS started FROM f WHERE type = 'start' GROUP BY 1 ORDER BY started DESC, run_id LIMIT 5",
     "stable_runs": f"WITH {SIG}, {RUNS.format(30)} SELECT run_id, start, stop - start + 1 AS n FROM b WHERE stop - start + 1 >= 10",

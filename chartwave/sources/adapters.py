@@ -102,6 +102,13 @@ def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), kind.alias("type"), step.alias("step"))
 
 
+def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(run_id, attempt, seq, type, step): progress of jobs that are tried anew after each error."""
+    w = Window.partitionBy("run_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    tries = F.coalesce(F.sum((F.col("type") == "error").cast("int")).over(w), F.lit(0))
+    return progress(spark, sf_dir).withColumn("attempt", tries.cast("int"))
+
+
 def progress_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq, line): progress events as a job prints them, among other lines and broken ones."""
     p = progress(spark, sf_dir)

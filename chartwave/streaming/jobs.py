@@ -63,6 +63,38 @@ def track(events: DataFrame, monotone: bool = True) -> DataFrame:
     return events.groupBy("run_id").applyInPandasWithState(update, OUT, "state string", "update", GroupStateTimeout.NoTimeout)
 
 
+def track_attempts(events: DataFrame) -> DataFrame:
+    """Steps of each job after each batch of its events (run_id, attempt, seq, type, step), and the attempt they belong to.
+
+    The first event of a later attempt sets a started job back to its first step; events of an
+    earlier attempt that come late change nothing.  Steps of one attempt never go back.  Events of
+    one batch are applied by attempt and seq; those before a job's start only say which attempt is on.
+    """
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        attempt, begin, state = json.loads(held.get[0]) if held.exists else (-1, None, None)
+        rows = pd.concat(list(frames)).sort_values(["attempt", "seq"], kind="stable")
+        starts = rows.seq[rows.type == "start"]
+        if begin is None and len(starts):
+            begin = int(starts.min())
+        for r in rows.itertuples():
+            if r.attempt > attempt:
+                attempt, state = int(r.attempt), None
+            if begin is not None and r.seq >= begin and r.attempt == attempt:
+                state = advance(state or advance(None, "start", None, True), r.type, r.step, True)
+        if begin is not None and state is None:
+            state = advance(None, "start", None, True)
+        held.update((json.dumps([attempt, begin, state]),))
+        if state is not None:
+            n = len(STEPS)
+            yield pd.DataFrame(
+                {"run_id": [key[0]] * n, "attempt": [attempt] * n, "seq": [int(rows.seq.max())] * n, "ord": range(n), "step_id": STEPS, "status": state["status"], "failed": [state["failed"]] * n}
+            )
+
+    out = OUT.replace("run_id long, ", "run_id long, attempt int, ")
+    return events.groupBy("run_id").applyInPandasWithState(update, out, "state string", "update", GroupStateTimeout.NoTimeout)
+
+
 def deduplicated(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """The first event of each (run_id, step) within the watermark; ts must be a timestamp."""
     stamped = events.withColumn("ts", F.col("ts").cast("timestamp"))

@@ -293,3 +293,62 @@ def test_steady_detection_over_batches(spark, tmp_path):
     assert sum(counts) == len(out) and sorted(out) == wanted
     events = spark.createDataFrame([(1, 1, "{a}"), (1, 2, None), (2, 1, None)], "run_id int, seq int, prediction string")
     assert {r.run_id: r.prediction for r in stream.predictions(events).collect()} == {1: "{a}", 2: None}
+
+
+def slow_alignment(truth, paper, truth_peaks, paper_peaks, step, tol):
+    """Every scale and offset on its own, as the rule says it."""
+    best, n, m = (-np.inf,), len(truth), len(paper)
+    for scale in kernels.SCALES:
+        sweep, at = [], 0.2 * min(n, m) - scale * m
+        while at < n - 0.2 * min(n, m) + step:
+            sweep.append(at)
+            at += step
+        for offset in sorted({step * round(o / step) for o in [t - scale * p for t in truth_peaks for p in paper_peaks] + sweep}):
+            spots = [(i, (i - offset) / scale) for i in range(n)]
+            both = [(truth[i], np.interp(u, np.arange(m), paper)) for i, u in spots if 0 <= u <= m - 1 + 1e-12]
+            corr = -np.inf
+            if len(both) >= max(80, 0.15 * min(n, m)):
+                a, b = np.array(both).T
+                corr = np.corrcoef(a, b)[0, 1] if a.std() * b.std() >= 1e-6 else -np.inf
+            taken, score = set(), 0.0
+            for p in paper_peaks:
+                gaps = [abs(t - offset - scale * p) for t in truth_peaks]
+                if gaps and min(gaps) <= tol and gaps.index(min(gaps)) not in taken:
+                    taken.add(gaps.index(min(gaps)))
+                    score += np.exp(-0.5 * (min(gaps) / tol) ** 2)
+            anchor = score if len(taken) >= 2 else 0.2 * score
+            if (total := anchor + 0.35 * max(corr, -1.0)) > best[0] + 1e-9:
+                best = (total, corr, anchor, len(taken), scale, offset)
+    return best
+
+
+def test_alignment_of_all_offsets_at_once():
+    rng = np.random.default_rng(9)
+    for n, m in ((150, 130), (120, 170)):
+        truth, paper = np.convolve(rng.normal(size=n), np.ones(4), "same"), np.convolve(rng.normal(size=m), np.ones(4), "same")
+        peaks = [np.sort(rng.choice(k, 5, replace=False)).astype(float) for k in (n, m)]
+        assert kernels.alignment(truth, paper, *peaks, 5, 8) == pytest.approx(slow_alignment(truth, paper, *peaks, 5, 8), abs=1e-6)
+    flat = kernels.alignment(np.ones(100), np.ones(90), np.zeros(0), np.zeros(0), 5, 8)
+    assert flat[1] == -np.inf and flat[3] == 0
+    assert kernels.alignment(np.zeros(0), np.ones(5), np.zeros(0), np.zeros(0), 5, 8)[0] == -np.inf
+
+
+def test_alignment_at_unequal_rates(spark):
+    fast, slow = np.interp(np.arange(9000) * 0.1, np.arange(900), beats(900)), beats(900)
+    low = np.interp(np.arange(0, 700, 50 / 36), np.arange(900), slow)
+    frame = lambda v: spark.createDataFrame([("r", i, float(x)) for i, x in enumerate(v)], "run_id string, idx int, v double")
+    row = align.align(frame(slow), frame(low), ["run_id"], 50.0, 36.0).first()
+    assert abs(row.scale - 1) <= 0.004 and abs(row.offset_samples) <= 5 and row["corr"] > 0.8 and len(fast) == 9000
+    assert align.at_rate(frame(np.arange(10.0)), ["run_id"], 500.0, 360.0).count() == 8
+
+
+def test_validation_report(spark):
+    rows = [("a", i, float(v)) for i, v in enumerate(beats(600))] + [("b", i, 1.0) for i in range(20)] + [("c", 0, 1.0)]
+    late = [("a", i, float(v)) for i, v in enumerate(np.r_[np.zeros(13), beats(600)[:-13]])] + [("b", i, 1.0) for i in range(25)] + [("d", 0, 1.0)]
+    frame = lambda r: spark.createDataFrame(r, "run_id string, idx int, v double")
+    got = {r.run_id: r for r in align.validate(frame(rows), frame(late), ["run_id"], 50.0).collect()}
+    assert set(got) == {"a", "b"}
+    a, b = got["a"], got["b"]
+    assert a.lag == -13 and a.lag_ms == -260 and a.n == 587 and a.rmse < 1e-9 and a.pearson == pytest.approx(1) and a.dtw < 1e-9
+    assert a.rr_error_ms < 1e-9 and a.r_error < 1e-9 and a.n_beats > 5
+    assert b.lag == -19 and b.n == 1 and b.pearson is None and b.rmse == 0 and b.n_beats is None  # all lags are equal

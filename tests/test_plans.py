@@ -139,3 +139,26 @@ def test_windows_and_watermarks(spark, tmp_path):
         q = df.writeStream.format("memory").queryName(f"w{i}").outputMode("append").option("checkpointLocation", str(tmp_path / f"c{i}")).trigger(availableNow=True).start()
         q.awaitTermination(120)
     assert spark.table("w0").count() > 0 and spark.table("w1").count() > 0
+
+
+def test_attempts_in_a_stream_equal_the_batch(spark, tmp_path):
+    from chartwave.functions.chart import STEPS
+
+    rows = [(1, 0, 1, "progress", STEPS[3]), (1, 0, 2, "start", None), (1, 0, 3, "progress", STEPS[4]), (1, 0, 4, "error", None), (1, 1, 5, "progress", STEPS[1]),
+            (2, 0, 1, "start", None), (2, 0, 2, "progress", STEPS[2]), (2, 0, 9, "complete", None), (3, 0, 1, "progress", STEPS[2]), (3, 1, 2, "progress", STEPS[1]),
+            (4, 1, 3, "progress", STEPS[2]), (4, 0, 1, "start", None), (4, 0, 2, "progress", STEPS[5]), (5, 2, 7, "start", None)]
+    schema = "run_id long, attempt int, seq long, type string, step string"
+    for k, part in enumerate((rows, rows[:4], rows[4:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / ("whole" if not k else "parts") / str(k)))
+    wanted = {(r.run_id, r.ord): (r.status, r.failed) for r in jobs.job_steps(jobs.last_attempt(spark.createDataFrame(rows, schema))).collect()}
+    assert wanted[1, 2] == ("processing", False) and wanted[4, 3] == ("processing", False) and wanted[5, 0] == ("complete", False) and (3, 0) not in wanted
+    for name in ("whole", "parts"):
+        got = {}
+
+        def keep(batch, number):
+            got.update({(r.run_id, r.ord): (r.status, r.failed) for r in batch.collect()})
+
+        reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name / "*"))
+        q = stream.track_attempts(reader).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", str(tmp_path / f"ck{name}")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        assert got == wanted, name

@@ -260,3 +260,17 @@ def test_baseline_rows(spark):
     images = {"four": drawn([(30, 90), (90, 80), (150, 85), (210, 70)]), "close": drawn([(30, 90), (62, 60), (94, 70), (130, 50), (200, 40)]), "two": drawn([(50, 90), (180, 80)]), "none": drawn([]), "weak": drawn([(30, 90), (90, 80), (150, 85), (210, 11)])}
     got = {r.image_id: r.baselines for r in deskew.baseline_rows(tiled(spark, images, 64)).collect()}
     assert got == {"four": [30, 90, 150, 210], "close": [30, 62, 94, 130], "two": [50, 180], "none": [], "weak": [30, 90, 150, 210]}
+
+
+def test_skeleton_does_not_depend_on_the_tiles(spark):
+    from chartwave.operators.edges import thinned
+
+    rng = np.random.default_rng(8)
+    thick = np.zeros((70, 90))
+    for y, x in zip(rng.integers(5, 65, 14), rng.integers(5, 85, 14)):
+        thick[max(0, y - rng.integers(2, 12)) : y + 8, max(0, x - 3) : x + rng.integers(2, 30)] = 255
+    images = {"a": thick, "b": np.full((40, 25), 255), "none": np.zeros((9, 9))}
+    for rounds in (8, 2):
+        got = whole(strokes.skeleton(tiled(spark, images, 16), 16, rounds))
+        for i, a in images.items():
+            assert (got[i] == 255 * thinned(a > 0)).all(), i
