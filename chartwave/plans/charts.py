@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import chart
-from ..operators import align, calibrate, colour, layout, matching, raster, regions, sequence, shapes, stats, strokes, tiles, warps
+from ..operators import align, calibrate, colour, contours, layout, matching, raster, regions, sequence, shapes, stats, strokes, tiles, warps
 from ..sources import adapters as src
 from . import deskew
 from .oracles import PAIR, PEAKS, QUADS, RUNS, SIG
@@ -202,6 +202,16 @@ def plate_large_components(spark, d):
     return digest(regions.without_small(plate_mask(spark, d)))
 
 
+@query(f"""{_REGIONS}, n AS (SELECT l.image_id, l.label, count(*) AS own, count(b.p) AS inner_sides FROM l, (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) k(dy, dx)
+  LEFT JOIN m b ON b.image_id = l.image_id AND b.y = l.y + dy AND b.x = l.x + dx GROUP BY l.image_id, l.label)
+SELECT image_id, CAST(label AS BIGINT) AS label, CAST(own // 4 AS BIGINT) AS area, CAST(own - inner_sides AS BIGINT) AS length FROM n""")
+def plate_outlines(spark, d):
+    """What the outlines of each component of the bright pixels enclose, less their holes, and how long they are."""
+    rings = contours.outlines(plate_mask(spark, d), TILE)
+    own = F.when(F.col("hole"), -F.col("area")).otherwise(F.col("area"))
+    return longs(rings.groupBy("image_id", "label").agg(F.sum(own).alias("area"), F.sum("length").alias("length")))
+
+
 @query(f"""WITH {PLATES}, b AS (SELECT image_id, y, x FROM px WHERE gray >= 250),
 d AS (SELECT px.image_id, px.y, px.x, min((px.y - b.y) ** 2 + (px.x - b.x) ** 2) AS d2 FROM px JOIN b USING (image_id) GROUP BY px.image_id, px.y, px.x)
 SELECT image_id, count(*) AS n, CAST(sum(d2) AS BIGINT) AS total, CAST(max(d2) AS BIGINT) AS most, CAST(sum(d2 * ((y * 31 + x * 17) % 1009)) AS BIGINT) AS moment FROM d GROUP BY image_id""")

@@ -274,3 +274,43 @@ def test_skeleton_does_not_depend_on_the_tiles(spark):
         got = whole(strokes.skeleton(tiled(spark, images, 16), 16, rounds))
         for i, a in images.items():
             assert (got[i] == 255 * thinned(a > 0)).all(), i
+
+
+def test_outlines_enclose_their_pixels(spark, masks):
+    from chartwave.operators import contours
+
+    ring = np.zeros((40, 50))
+    ring[5:35, 6:45] = 255
+    ring[10:20, 12:30] = 0
+    ring[12:15, 15:18] = 255
+    ring[25, 40] = 0
+    images = masks | {"ring": ring}
+    found = {}
+    for r in contours.polygons(contours.outlines(tiled(spark, images), 16)).collect():
+        found.setdefault((r.image_id, r.label), []).append(r)
+    for i, a in images.items():
+        label = flood(a > 0)
+        for k in np.unique(label[label >= 0]):
+            rings = sorted(found.pop((i, int(k))), key=lambda r: r.ring)
+            assert sum(-r.area if r.hole else r.area for r in rings) == (label == k).sum()
+            assert [r.hole for r in rings] == [False] + [True] * (len(rings) - 1)
+            # Holes are the 4-neighbour parts of the outside that the component encloses.
+            grid = np.pad(label != k, 1, constant_values=True)
+            parts, seen = 0, np.zeros(grid.shape, dtype=bool)
+            for y, x in zip(*np.nonzero(grid)):
+                if not seen[y, x]:
+                    parts += 1
+                    open_ = [(y, x)]
+                    seen[y, x] = True
+                    while open_:
+                        p, q = open_.pop()
+                        for v, u in ((p - 1, q), (p + 1, q), (p, q - 1), (p, q + 1)):
+                            if 0 <= v < grid.shape[0] and 0 <= u < grid.shape[1] and grid[v, u] and not seen[v, u]:
+                                seen[v, u] = True
+                                open_.append((v, u))
+            assert len(rings) == parts, (i, k)
+            edges = sum((np.diff(np.pad(label == k, 1).astype(int), axis=ax) != 0).sum() for ax in (0, 1))
+            assert sum(r.length for r in rings) == edges
+            if (i, k) == ("ring", 5 * 50 + 6):
+                assert [len(r.polygon) for r in rings] == [4, 4, 4] and rings[0].corners == [[6, 5], [45, 5], [45, 35], [6, 35]]
+    assert not found
