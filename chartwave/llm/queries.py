@@ -9,11 +9,13 @@ from . import alignment, bpe, html_tree, langid, lines, mixing, negatives, quali
 from .common import cut, table
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
-#: The list of blocked hosts: each of these names in each of these zones.
+#: The list of blocked hosts: each of these names in each of these zones, and numbered mirrors of them, most of
+#: which no corpus holds; hosts that only resemble one are not listed.
 BLOCKED_NAMES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 BLOCKED_ZONES = ("com", "net", "org", "example.com", "example.net", "example.org")
 BLOCKED_HOSTS = [f"{name}.{zone}" for name in BLOCKED_NAMES for zone in BLOCKED_ZONES]
 BYTE_FILE, PIECE_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
+BLOCKED_MIRRORS = 120_000
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -64,9 +66,17 @@ def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.ablation(book, quality.POLICIES["v1"])
 
 
+def blocked_hosts(spark: SparkSession) -> DataFrame:
+    """Rows (host) of the list, made by rule."""
+    pick = lambda values, at: F.element_at(F.array(*[F.lit(v) for v in values]), (at + 1).cast("int"))
+    n, zones = len(BLOCKED_NAMES), len(BLOCKED_ZONES)
+    mirror = F.concat(pick(BLOCKED_NAMES, F.col("id") % n), F.expr(f"id div {n * zones} + 1").cast("string"), F.lit("."), pick(BLOCKED_ZONES, F.expr(f"id div {n} % {zones}")))
+    plain = F.concat(pick(BLOCKED_NAMES, F.col("id") % n), F.lit("."), pick(BLOCKED_ZONES, F.expr(f"id div {n}")))
+    return spark.range(BLOCKED_MIRRORS).select(mirror.alias("host")).union(spark.range(n * zones).select(plain.alias("host")))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = spark.createDataFrame([(h,) for h in BLOCKED_HOSTS], "host string")
-    return urls.filter_urls(table(spark, sf_dir, "pages"), RULES, listed)
+    return urls.filter_urls(table(spark, sf_dir, "pages"), RULES, blocked_hosts(spark))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import BLOCKED_HOSTS, RULES
+from .queries import BLOCKED_HOSTS, BLOCKED_MIRRORS, BLOCKED_NAMES, BLOCKED_ZONES, RULES
 from .secret_scan import BASE, MAX_OWNERS, MAX_REPOSITORIES, OPAQUE
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -132,15 +132,22 @@ def _op7() -> str:
         cases["rule"] += f" {fits} '{text}'"
         cases["verdict"] += f" {fits} '{kind}'"
     listed = ", ".join(f"('{x}')" for x in BLOCKED_HOSTS)
+    names, zones = (str(list(x)) for x in (BLOCKED_NAMES, BLOCKED_ZONES))
+    n, z = len(BLOCKED_NAMES), len(BLOCKED_ZONES)
     return f"""
 WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substring(url, instr(url, '://') + 3) END AS tail FROM pages),
 h AS (
   SELECT page_id, coalesce({_LOWER.format("regexp_extract(tail, '^([^/?#]*)', 1)")}, '') AS host,
-    coalesce(regexp_extract(tail, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u)
-SELECT page_id, host, path, CASE{cases["rule"]} END AS rule,
-  CASE{cases["verdict"]} WHEN EXISTS (
-    SELECT 1 FROM (VALUES {listed}) b(listed) WHERE host = listed OR ends_with(host, '.' || listed)) THEN 'block' ELSE 'allow' END AS verdict
-FROM h
+    coalesce(regexp_extract(tail, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+listed AS (
+  SELECT * FROM (VALUES {listed}) b(listed)
+  UNION ALL SELECT {names}[i % {n} + 1] || CAST(i // {n * z} + 1 AS VARCHAR) || '.' || {zones}[i // {n} % {z} + 1] FROM range({BLOCKED_MIRRORS}) t(i)),
+parts AS (SELECT host, string_split(host, '.') AS labels FROM (SELECT DISTINCT host FROM h)),
+suffixes AS (SELECT host, array_to_string(labels[i:], '.') AS suffix FROM (SELECT host, labels, unnest(range(1, len(labels) + 1)) AS i FROM parts)),
+hit AS (SELECT DISTINCT host FROM suffixes WHERE suffix IN (SELECT listed FROM listed))
+SELECT page_id, h.host, path, CASE{cases["rule"].replace("host", "h.host")} END AS rule,
+  CASE{cases["verdict"].replace("host", "h.host")} WHEN hit.host IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+FROM h LEFT JOIN hit ON hit.host = h.host
 """
 
 

@@ -57,6 +57,16 @@ def test_no_python_and_no_join_in_the_plan(spark):
     assert "Join" not in plan and "Python" not in plan and "Arrow" not in plan
 
 
+def test_the_list_is_large_and_near_misses_pass(spark):
+    listed = queries.blocked_hosts(spark)
+    n = len(queries.BLOCKED_NAMES) * len(queries.BLOCKED_ZONES)
+    assert listed.distinct().count() == queries.BLOCKED_MIRRORS + n and listed.where(F.col("host").isin(queries.BLOCKED_HOSTS)).count() == n
+    hosts = ["casino-win7.com", "m.ads-track3333.example.org", "casino-win0.com", "casino-win7.co", "xcasino-win7.com", "casino-win3335.com", "casino-win7.example.comm", "spam-farm.net"]
+    pages = spark.createDataFrame([(i, f"http://{h}/") for i, h in enumerate(hosts)], "page_id long, url string")
+    got = {r.host: r.verdict for r in urls.filter_urls(pages, [], listed).collect()}
+    assert [got[h] for h in hosts] == ["block", "block", "allow", "allow", "allow", "allow", "allow", "block"]
+
+
 def test_empty_table(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     assert urls.filter_urls(pages, queries.RULES, blocked(spark)).count() == 0
