@@ -24,6 +24,11 @@ TOPS = "header masthead topbar site-header banner header-content page-header".sp
 ENDS = "footer site-footer colophon footer-text copyright page-footer footer-content".split()
 REMARKS = "comment comment-body reply comment-content user-comment comment-text".split()
 REMARK_LISTS = "comments comment-list discussion responds comments-main replies disqus_thread".split()
+#: Classes of content that tell what the page has or lacks.
+STATED = (
+    "ad-free no-ads no-sidebar has-comments comments-open share-enabled newsletter-signup-enabled without-related with-sidebar"
+    " hide-share promo-off notice-board"
+).split()
 SHARES = "share social sharing share-tools follow tags".split()
 
 
@@ -61,7 +66,7 @@ class PageMaker:
     def own_name(self) -> str:
         """The attribute of an element of content: mostly none or one that says nothing."""
         kind = self.rng.random()
-        return "" if kind < 0.4 else self.named(NEUTRAL) if kind < 0.7 else self.named(GOOD) if kind < 0.92 else self.named(CLASHING)
+        return "" if kind < 0.4 else self.named(NEUTRAL) if kind < 0.7 else self.named(GOOD) if kind < 0.9 else self.named(STATED) if kind < 0.94 else self.named(CLASHING)
 
     # Content
 
@@ -154,6 +159,8 @@ class PageMaker:
             parts += blocks
         if self.maybe(junk / 2):
             parts.append(self.pick(self.junk, self.comments, lambda: f"<footer data-y='0'>{self.words(1, 3)}{self.links(1, 3, 'span')}</footer>")())
+        if self.maybe(0.2):
+            parts.append(self.tags())
         body = "".join(parts)
         return self.wrapped(body, 6) if self.maybe(0.4) else body
 
@@ -162,18 +169,31 @@ class PageMaker:
     def junk(self) -> str:
         made = (
             lambda: f"<div{self.named(ADS)} data-y='0'>{self.pick('', '<p>')}{self.sentences(1, 3)}</div>",
+            lambda: f"<p{self.named(self.pick(ADS, SIDES, NOTICES))} data-y='0'>{self.pick('', '<a href=/p>')}{self.sentences(1, 2)}</a></p>",
             lambda: f"<{self.pick('aside', 'aside', 'div class=sidebar')} data-y='0'{self.named(SIDES, 0.3)}><h3>{self.words(1, 3)}</h3><ul>{self.links(2, 6)}</ul></aside></div>",
             lambda: f"<aside{self.named(SIDES, 0.5)} data-y='0'>{self.pick('<p>', '<div><p>', '<h4>')}{self.sentences(1, 3)}</aside>",
             lambda: f"<div{self.named(NOTICES)} data-y='0'><p>{self.sentences(1, 3)}</p>{self.pick('', f'<button>{self.words(1, 2)}</button>', f'<form><input><button>{self.words(1, 2)}</button></form>')}</div>",
             self.form,
             self.form,
             lambda: f"<div{self.named(SHARES)} data-y='0'>{self.words(0, 2)}{self.links(2, 4, 'span')}</div>",
+            self.tags,
             lambda: f"<{self.pick('section', 'div')}{self.named(SIDES)} data-y='0'><h3>{self.words(1, 3)}</h3>{self.teasers()}</section></div>",
             lambda: f"<nav{self.named(NAVS, 0.5)} data-y='0'>{self.pick(f'<ul>{self.links(2, 9)}</ul>', self.links(2, 5, 'span'), self.links(2, 5, 'div'))}</nav>",
             lambda: f"<{self.pick('ul', 'ol', 'div')}{self.named(NAVS)} data-y='0'>{self.links(2, 8)}</ul></ol></div>",
         )
         return self.pick(*made)()
 
+    def tags(self) -> str:
+        tag, names = self.pick("div", "p", "p"), self.pick(["tags"], ["post-tags"], ["share"], ["tags-line"])
+        links = self.pick(", ", " ", " | ").join(f"<a href='/t'>{self.words(1, 2)}</a>" for _ in self.some(1, 4))
+        word = self.words(1, 1).capitalize()
+        return f"<{tag}{self.named(names)} data-y='0'>{self.pick(f'{word}: ', f'<span>{word}:</span> ', '')}{links}</{tag}>"
+
+    def plain_side(self) -> str:
+        tag = self.pick("div", "div", "section")
+        body = "".join(f"<p>{self.sentences(1, 3)}</p>" for _ in self.some(1, 3)) if self.maybe(0.8) else self.sentences(1, 3)
+        return f"<{tag}{self.named(SIDES)} data-y='0'>{f'<h3>{self.words(1, 3)}</h3>' if self.maybe(0.4) else ''}{body}</{tag}>"
+
     def form(self) -> str:
         body = self.pick("", f"<p>{self.sentences(1, 2)}</p>", f"<h3>{self.words(1, 3)}</h3>")
         for _ in self.some(1, 4):
@@ -232,6 +252,9 @@ class PageMaker:
             core, loose = body, 1  # content that lies among the rest: what is not content is marked itself
         else:
             core = f"<table><tr><td data-y='0'><ul>{self.links(3, 8)}</ul></td><td data-y='1'>{body}</td></tr></table>"
+        side = self.plain_side()
+        if self.maybe(0.2) and len(body) > 2 * len(side):
+            core = f"<div{self.named(NEUTRAL, 0.5)} data-y='{loose}'>{self.pick(side + core, core + side)}</div>"
         if self.maybe(0.35):
             core = f"<div{self.named(NEUTRAL, 0.5)} data-y='{loose}'>{self.junk() if self.maybe(junk) else ''}{core}{self.junk() if self.maybe(0.3) else ''}</div>"
         around = self.maybe(0.85)

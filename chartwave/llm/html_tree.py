@@ -93,8 +93,14 @@ HINT_OF: dict[str, list[str]] = {}
 for _group, _words in HINTS.items():
     for _word in _words.split():
         HINT_OF.setdefault(_word, []).append(_group)
+#: Parts of a class that turn what it names into a property of the page: ad-free, no-sidebar, comments-open.
+TURNS = frozenset("no not free without with has hide hidden open closed on off enabled disabled".split())
+#: Hints that do not count on a node that holds this share of the page's unlinked text outside the parts that tags set
+#: aside: one name never outweighs it all.
+DOUBTED, NEARLY_ALL = ("nav", "edge", "side", "notice", "advert", "share"), 0.9
+SET_ASIDE = frozenset("nav menu header footer aside form".split())
 #: Groups of tags and hints that all nodes below inherit as features, at any depth, unless they hold most of the page.
-BELOW = ("nav", "footer", "aside", "form", "hint_comment", "hint_advert", "hint_notice")
+BELOW = ("nav", "footer", "aside", "form", "hint_comment", "hint_advert", "hint_notice", "hint_side", "hint_share")
 NAMES = (
     ["bias", "is_text"] + list(GROUPS) + [f"hint_{h}" for h in HINTS]
     + ["link_share", "links", "long", "brief", "sentence", "empty", "deep", "has_paras", "near_top_link"]
@@ -146,8 +152,10 @@ def hints_of(raw: str) -> tuple[tuple, str | None]:
     for name, a, b, c in ATTRIBUTE.findall(raw):
         name = name.lower()
         if name in ("class", "id", "role", "aria-label", "itemprop"):
-            for word in re.split(r"[^a-z]+", entities.unescape(a or b or c).lower()):
-                groups.update(HINT_OF.get(word, ()))
+            for token in entities.unescape(a or b or c).lower().split():
+                words = re.split(r"[^a-z]+", token)
+                found = {g for word in words for g in HINT_OF.get(word, ())}
+                groups.update(found & {"good"} if len(words) > 1 and not TURNS.isdisjoint(words) else found)
         elif name == "data-y" and (a or b or c) in ("0", "1"):
             label = a or b or c
         elif name == "hidden":
@@ -234,7 +242,7 @@ def features(forest: Forest) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[n
     parent, depth, page = (np.array(v, dtype=np.int64) for v in (forest.parent, forest.depth, forest.page))
     kind = np.full(n, KIND_OF["other"])
     own, stops, paras, controls, rights, mains, in_paras = (np.zeros(n) for _ in range(7))
-    linked, main, para, article = (np.zeros(n, dtype=bool) for _ in range(4))
+    linked, main, para, article, apart = (np.zeros(n, dtype=bool) for _ in range(5))
     links = np.zeros(n)
     for i, (tag, text, hints) in enumerate(zip(forest.tag, forest.text, forest.hints)):
         p = parent[i]
@@ -259,23 +267,27 @@ def features(forest: Forest) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[n
                     x[i, AT[f"hint_{h}"]] = 1
         if p >= 0:
             linked[i], main[i], para[i] = linked[p], main[p], para[p]
-            article[i] = article[p]
+            article[i], apart[i] = article[p], apart[p]
+        apart[i] |= tag in SET_ASIDE
         x[i, AT["again_main"]] = tag == "article" and article[i]
         article[i] |= tag == "article"
         linked[i] |= tag == "a"
         main[i] |= mains[i] > 0
         para[i] |= tag in ("p", "li", "blockquote", "pre", "td")
-    in_links, in_paras = own * linked, own * (para & ~linked)
+    in_links, in_paras, middle = own * linked, own * (para & ~linked), own * ~(linked | apart)
     order = np.argsort(depth, kind="stable")
     levels = np.split(order, np.cumsum(np.bincount(depth))[:-1]) if n else []
     for level in reversed(levels[1:]):
-        for sums in (own, in_links, stops, paras, controls, rights, mains, in_paras, links):
+        for sums in (own, in_links, stops, paras, controls, rights, mains, in_paras, links, middle):
             np.add.at(sums, parent[level], sums[level])
-    whole, of_page, chars = (np.zeros(forest.pages + 1) for _ in range(3))
+    whole, of_page, chars, middles = (np.zeros(forest.pages + 1) for _ in range(4))
     if n:
         roots = levels[0]
         whole[page[roots]], of_page[page[roots]], chars[page[roots]] = in_paras[roots], mains[roots], (own - in_links)[roots]
+        middles[page[roots]] = middle[roots]
     share = in_links / np.maximum(own, 1)
+    sure = middle <= NEARLY_ALL * np.maximum(middles[page], 1)
+    x[:, [AT[f"hint_{h}"] for h in DOUBTED]] *= sure[:, None]
     bad = x[:, [AT[f"hint_{h}"] for h in HINTS if h != "good"]].any(axis=1)
     x[:, AT["link_share"]] = share
     x[:, AT["links"]] = np.minimum(links, 6) / 6

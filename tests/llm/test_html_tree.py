@@ -115,3 +115,41 @@ def test_articles_of_the_table(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
     got = h.extract(MODEL, [r.html for r in rows])
     assert sum(text == plain_article(r.html) for r, text in zip(rows, got)) >= 0.99 * len(rows)
+
+
+SAID = [f"Paragraph {i} says something of substance here, and then it goes on for a while longer." for i in range(1, 7)]
+SHEET = [f"<p>{p}</p>" for p in SAID]
+STATED = ("post-content ad-free", "ad-free", "post ad", "content no-ads", "notice-board", "entry newsletter-signup-enabled", "has-comments", "comments-open",
+          "share-enabled", "no-sidebar", "main with-sidebar", "post hide-share", "promo-story", "related-article")
+
+
+@pytest.mark.parametrize("name", STATED)
+@pytest.mark.parametrize("k", [2, 6])
+def test_one_class_does_not_empty_a_page(name, k):
+    page = f'<html><body><nav><ul><li><a href=/>Home</a><li><a href=/n>News</a></ul></nav><div class="{name}">{"".join(SHEET[:k])}</div><footer>&copy; 2020 The Site. All rights reserved.</footer></body></html>'
+    assert h.extract(MODEL, [page]) == ["\n".join(SAID[:k])]
+
+
+@pytest.mark.parametrize("core", ["<div class=content>{}</div>", "<article>{}</article>", "<div class=post>{}</div>"])
+@pytest.mark.parametrize("side", ["<div class=sidebar><p>{0}</p></div>", "<div class='side'><h3>More</h3><p>{0}</p></div>", "<div id=sidebar><p>{0}</p><p>{0}</p></div>", "<div class=widget><p>{0}</p></div>"])
+def test_a_plain_sidebar_beside_the_text_goes(core, side):
+    side = side.format("Read more of our stories about the harbour and the people who work there every day of the year.")
+    for inside in (core.format("".join(SHEET[:4])) + side, side + core.format("".join(SHEET[:4]))):
+        page = f"<body><header><a href=/>Site</a></header><div class=wrap>{inside}</div><footer>&copy; me</footer></body>"
+        assert h.extract(MODEL, [page]) == ["\n".join(SAID[:4])]
+
+
+@pytest.mark.parametrize("core", ["<div class=content>{}</div>", "<article>{}</article>"])
+@pytest.mark.parametrize("tags", ["<div class=tags>Tags: <a href=/s>ships</a></div>", "<p class=tags>Tags: <a href=/s>ships</a>, <a href=/t>trade</a></p>", '<div class="post-tags"><span>Tags:</span> <a href=/s>ships</a> <a href=/q>quay</a></div>'])
+def test_a_line_of_tags_goes(core, tags):
+    page = f"<body><nav><a href=/>H</a><a href=/b>B</a></nav>{core.format(''.join(SHEET[:3]) + tags)}<footer>&copy; x</footer></body>"
+    assert h.extract(MODEL, [page]) == ["\n".join(SAID[:3])]
+
+
+@pytest.mark.parametrize("name", ["single-post", "entry-body", "td-post-content", "article__body", "rich-text", "field-item", "mw-parser-output", "markdown-body", "blog-post-full", "news-detail", "c-article-body", "story-body__inner"])
+def test_common_layouts(name):
+    nav, foot = "<nav><a href=/>Home</a> <a href=/x>World</a> <a href=/y>Sport</a></nav>", "<footer><p>&copy; 2021 Harbour News</p></footer>"
+    alone = f'<html><body>{nav}<div id="page"><div class="{name}"><h1>Harbour opens</h1>{"".join(SHEET[:4])}</div></div>{foot}</body></html>'
+    beside = f'<html><body>{nav}<div class="container"><div class="row"><div class="col-8 {name}"><h1>Harbour opens</h1>{"".join(SHEET)}</div><div class="col-4 sidebar"><h4>Latest</h4><ul><li><a href=/1>One story</a></li><li><a href=/2>Another story</a></li></ul><p>Sign up to get the best of our work every week.</p></div></div></div>{foot}</body></html>'
+    remarked = f'<html><body>{nav}<div class="{name}"><h1>Harbour opens</h1>{"".join(SHEET[:5])}<div class="share-bar"><a href=/t>Tweet</a><a href=/f>Post</a></div></div><div id="comments"><h3>2 comments</h3><div class="comment"><p>I think this is quite wrong, and I said so before.</p></div><div class="comment"><p>Well done to all of them.</p></div></div>{foot}</body></html>'
+    assert h.extract(MODEL, [alone, beside, remarked]) == ["\n".join(["Harbour opens", *SAID[:k]]) for k in (4, 6, 5)]
