@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import chart
-from ..operators import align, calibrate, colour, contours, layout, matching, raster, regions, sequence, shapes, stats, strokes, tiles, warps
+from ..operators import align, calibrate, colour, contours, contrast, layout, matching, raster, regions, sequence, shapes, stats, strokes, tiles, warps
 from ..sources import adapters as src
 from . import deskew
 from .oracles import PAIR, PEAKS, QUADS, RUNS, SIG
@@ -312,6 +312,25 @@ def plate_segments(spark, d):
     return rounded(strokes.segments(mask, 6, 8.0, 6), 3)
 
 
+@query(f"""WITH {PLATES}, q AS (SELECT *, (width + 7) // 8 AS cw, (height + 7) // 8 AS ch FROM p),
+ev AS (SELECT *, unnest(range(8 * ch)) AS v FROM q), eu AS (SELECT *, unnest(range(8 * cw)) AS u FROM ev),
+ex AS (SELECT image_id, v // ch AS ty, u // cw AS tx, (height - 1) - abs((height - 1) - v % (2 * height - 2)) AS y, (width - 1) - abs((width - 1) - u % (2 * width - 2)) AS x FROM eu),
+h AS (SELECT ex.image_id, ty, tx, gray, count(*) AS n FROM ex JOIN px ON px.image_id = ex.image_id AND px.y = ex.y AND px.x = ex.x GROUP BY ex.image_id, ty, tx, gray),
+g AS (SELECT image_id, cw * ch AS area, greatest(1, 2 * cw * ch // 256) AS most, ty, tx, gray FROM q, (SELECT unnest(range(8)) AS ty), (SELECT unnest(range(8)) AS tx), (SELECT unnest(range(256)) AS gray)),
+b AS (SELECT g.*, coalesce(n, 0) AS n FROM g LEFT JOIN h USING (image_id, ty, tx, gray)),
+c AS (SELECT *, least(n, most) AS kept, CAST(sum(n - least(n, most)) OVER (PARTITION BY image_id, ty, tx) AS BIGINT) AS over FROM b),
+k AS (SELECT *, kept + over // 256 + CASE WHEN gray % greatest(256 // greatest(over % 256, 1), 1) = 0 AND gray // greatest(256 // greatest(over % 256, 1), 1) < over % 256 THEN 1 ELSE 0 END AS m FROM c),
+u AS (SELECT image_id, ty, tx, gray, least(round_even(sum(m) OVER (PARTITION BY image_id, ty, tx ORDER BY gray) * (255.0::DOUBLE / area), 0), 255) AS level FROM k),
+f AS (SELECT px.image_id, px.y, px.x, px.gray, y / ch::DOUBLE - 0.5 AS py, x / cw::DOUBLE - 0.5 AS qx FROM px JOIN q USING (image_id)),
+t AS (SELECT image_id, y, x, gray, least(greatest(floor(py) + dy, 0), 7) AS ty, least(greatest(floor(qx) + dx, 0), 7) AS tx,
+  (CASE WHEN dy = 0 THEN 1 - (py - floor(py)) ELSE py - floor(py) END) * (CASE WHEN dx = 0 THEN 1 - (qx - floor(qx)) ELSE qx - floor(qx) END) AS w FROM f, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) d(dy, dx)),
+o AS (SELECT t.image_id, t.y, t.x, CAST(round_even(round(sum(w * level), 6), 0) AS BIGINT) AS gray FROM t JOIN u ON u.image_id = t.image_id AND u.ty = t.ty AND u.tx = t.tx AND u.gray = t.gray GROUP BY t.image_id, t.y, t.x)
+{DIGEST}""")
+def plate_contrast(spark, d):
+    """Plates with local contrast raised in 8 x 8 cells, digested."""
+    return digest(contrast.local_contrast(plate_tiles(spark, d)))
+
+
 @query()
 def plate_skeleton(spark, d):
     """The bright pixels thinned to lines, digested."""

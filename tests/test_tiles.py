@@ -314,3 +314,18 @@ def test_outlines_enclose_their_pixels(spark, masks):
             if (i, k) == ("ring", 5 * 50 + 6):
                 assert [len(r.polygon) for r in rings] == [4, 4, 4] and rings[0].corners == [[6, 5], [45, 5], [45, 35], [6, 35]]
     assert not found
+
+
+def test_local_contrast_equals_the_pixel_form(spark):
+    from chartwave.operators import contrast, edges
+
+    rng = np.random.default_rng(10)
+    images = {"a": rng.integers(0, 256, (37, 50)), "b": np.clip(rng.normal(90, 10, (20, 33)), 0, 255).astype(int), "c": np.indices((64, 48)).sum(axis=0)}
+    got = whole(contrast.local_contrast(tiled(spark, images), 2.0, 4))
+    for i, a in images.items():
+        rows = [(i, y, x, int(a[y, x])) for y in range(a.shape[0]) for x in range(a.shape[1])]
+        pixels = spark.createDataFrame(rows, "image_id string, y int, x int, gray int")
+        wanted = np.zeros(a.shape)
+        for r in edges.local_contrast(pixels, a.shape[1], a.shape[0], 2.0, 4).collect():
+            wanted[r.y, r.x] = r.gray
+        assert np.abs(got[i] - wanted).max() == 0, i
