@@ -106,6 +106,24 @@ def class_names(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.posexplode(F.when(right.isNull(), F.col("names"))).alias("ord", "name"))
 
 
+#: Fields of a run's result, of both shapes: a success names its outputs, a failure its error.
+RESULT = (
+    "success boolean, error string, details string, run_id string, width long, height long, processed_image string, cropped_image string,"
+    " npz_file string, prediction string, message string"
+)
+
+
+def result_documents(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each result document (a JSON object a file) below a path, with its file and whether the run succeeded.
+
+    Fields that a document lacks are null, a nested prediction stays JSON text.  ok is false for a
+    document that reports failure, names an error or cannot be read.
+    """
+    read = spark.read.schema(RESULT).option("multiLine", True).option("recursiveFileLookup", True).json(path)
+    ok = F.coalesce("success", F.col("error").isNull() & F.col("run_id").isNotNull())
+    return read.select("*", F.col("_metadata.file_path").alias("file"), ok.alias("ok"))
+
+
 def preferred_file(spark: SparkSession, folders: list[str], preferred: str, pattern: str) -> str:
     """The preferred file of the first folder that has it, else the first of the pattern by folder and name."""
     jvm = spark._jvm.org.apache.hadoop.fs

@@ -162,3 +162,15 @@ def test_attempts_in_a_stream_equal_the_batch(spark, tmp_path):
         q = stream.track_attempts(reader).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", str(tmp_path / f"ck{name}")).trigger(availableNow=True).start()
         q.awaitTermination()
         assert got == wanted, name
+
+
+def test_result_documents_of_either_shape(spark, tmp_path):
+    docs = {"a": {"success": True, "run_id": "r1", "width": 10, "height": 20, "prediction": [{"class": "x", "probability": 0.5}]}, "b": {"success": False, "error": "ECG cropping failed", "details": "no box"}, "c": {"run_id": "r3", "npz_file": "f.npz"}}
+    for name, doc in docs.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(doc, indent=2))
+    (tmp_path / "d.json").write_text("{broken")
+    got = {r.file.rsplit("/", 1)[1][0]: r for r in readers.result_documents(spark, str(tmp_path)).collect()}
+    assert {k: r.ok for k, r in got.items()} == {"a": True, "b": False, "c": True, "d": False}
+    assert json.loads(got["a"].prediction)[0]["class"] == "x" and got["a"].width == 10 and got["b"].error == "ECG cropping failed" and got["b"].run_id is None
+    back = sinks.result_json(spark.createDataFrame([("r9", True, "m")], "run_id string, success boolean, message string")).first()
+    assert json.loads(back.value) == {"run_id": "r9", "success": True, "message": "m"}
