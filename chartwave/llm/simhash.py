@@ -28,6 +28,8 @@ SEED = 42
 FANOUT = 8
 #: Fingerprints of one run searched in one task; longer runs are dealt out again.
 RUN_ROWS = 4096
+#: Pairs of a query and a code that a search holds at a time.
+PAIRS = 1 << 18
 #: Fingerprints of a sketch that travel with the bands: 512 bits.
 KEPT = 8
 #: Shingles of a set up to which its pairs are found by an exact join; sketches of so few hashes vary too much.
@@ -128,8 +130,12 @@ class GrayIndex:
         return query, node
 
 
-def run_stars(fps: np.ndarray, radius: int, strip: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Links (fingerprint, another one) that join what is within the radius in one run."""
+def run_stars(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (fingerprint, another one) that join what is within the radius in one run.
+
+    So few queries are searched at a time that even if all codes were near each other, PAIRS of them would be held.
+    """
+    strip = max(1, min(512, PAIRS // max(1, len(fps))))
     codes = fps[np.argsort(gray_rank(fps), kind="stable")]
     index = GrayIndex(codes)
     label = np.arange(len(codes))
