@@ -44,7 +44,7 @@ DIGEST = f"SELECT image_id, count(*) AS n, CAST(sum(gray) AS BIGINT) AS total, {
 
 
 #: Tiles of the plates: small, so that every filter works across their borders.
-TILE = 16
+TILE = 32
 
 
 def digest(made: DataFrame) -> DataFrame:
