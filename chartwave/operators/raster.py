@@ -73,7 +73,11 @@ def gamma_curve(pixels: DataFrame, alpha: float = 0.5) -> DataFrame:
 
 def otsu(pixels: DataFrame) -> DataFrame:
     """The threshold of the largest variance between classes (the least wins ties), and the mean."""
-    bins = pixels.groupBy("image_id", "gray").count()
+    return otsu_of(pixels.groupBy("image_id", "gray").count())
+
+
+def otsu_of(bins: DataFrame) -> DataFrame:
+    """The same of histograms (image_id, gray, count)."""
     upto, all_ = Window.partitionBy("image_id").orderBy("gray"), Window.partitionBy("image_id")
     s = F.col("gray") * F.col("count")
     bins = bins.select("image_id", "gray", F.sum("count").over(upto).alias("n0"), F.sum(s).over(upto).alias("s0"), F.sum("count").over(all_).alias("n"), F.sum(s).over(all_).alias("s"))

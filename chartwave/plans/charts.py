@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import chart
 from ..operators import align, calibrate, colour, contours, contrast, layout, matching, raster, regions, sequence, shapes, stats, strokes, tiles, warps
 from ..sources import adapters as src
-from . import deskew
+from . import deskew, digitize
 from .oracles import PAIR, PEAKS, QUADS, RUNS, SIG
 
 RUN, IMAGE = ["run_id"], ["image_id"]
@@ -351,6 +351,17 @@ def deskewed_charts(spark, d):
     return rounded(report.join(done.select("image_id", "width", "height").distinct(), "image_id"), 3)
 
 
+@query()
+def digitized_charts(spark, d):
+    """A chart drawn for each supplier, digitised, some with labels or baselines given: samples and quality of each lead."""
+    made = deskew.colour_tiles(src.charts(spark, d), 128)
+    sizes = src.charts(spark, d).select("image_id", "width")
+    anchors = layout.label_anchors(src.chart_labels(spark, d), sizes)
+    samples, quality = digitize.run_tiles(made, chart.lead_dim(spark), anchors, src.chart_baselines(spark, d), 128)
+    own = samples.groupBy("image_id", "lead").agg(F.count(F.lit(1)).alias("n"), F.sum("mv").alias("total_mv"), F.max("mv").alias("top_mv"), F.min("mv").alias("least_mv"))
+    return rounded(own.join(quality, ["image_id", "lead"]), 4)
+
+
 @query()
 def processed_plates(spark, d):
     """Plates in colour, twice as large and with raised contrast, digested."""

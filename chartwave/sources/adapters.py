@@ -163,3 +163,44 @@ def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(made, pa.binary())], names=["image_id", "width", "height", "px"])
 
     return keys.mapInArrow(draw, "image_id int, width int, height int, px binary")
+
+
+def chart_shape(key: int, width: int, height: int) -> tuple[np.ndarray, np.ndarray]:
+    """Baselines of the four rows of a drawn chart, and how far its trace lies above them at each column."""
+    x = np.arange(width)
+    wave = (7 + key % 4) * np.sin(2 * np.pi * x / (36 + key % 9)) + 4 * np.sin(2 * np.pi * (x + key) / 90)
+    return (np.array([0.14, 0.38, 0.62, 0.86]) * height).astype(int) + key % 5 - 2, wave
+
+
+def charts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image_id, width, height, px): for each supplier a drawn chart, bright on black: three rows of leads and a rhythm strip."""
+    k = F.col("s_suppkey").cast("int")
+    keys = table(spark, sf_dir, "supplier").select(k.alias("image_id"), (360 + (k * 37) % 120).alias("width"), (260 + (k * 23) % 60).alias("height"))
+
+    def draw(batches):
+        for batch in batches:
+            made = []
+            for key, width, height in zip(*[c.to_pylist() for c in batch.columns]):
+                px = np.zeros((height, width, 3), dtype=np.uint8)
+                rows, wave = chart_shape(key, width, height)
+                for row in rows:
+                    for thick in (-1, 0, 1):
+                        px[np.rint(row - wave).astype(int) + thick, np.arange(width)] = 255
+                made.append(px.tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=["image_id", "width", "height", "px"])
+
+    return keys.mapInArrow(draw, "image_id int, width int, height int, px binary")
+
+
+def chart_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image_id, x): places of the labels read on every other of those charts, a little beside the columns' middles."""
+    own = charts(spark, sf_dir).select("image_id", "width").where("image_id % 2 = 0")
+    middle = F.expr("CAST((2 * i + 1) * width / 8 AS INT) + 2 * (image_id % 7) - 6")
+    return own.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(3)))).select("image_id", middle.alias("x"))
+
+
+def chart_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image_id, row_idx, y): baselines given for every third of those charts."""
+    own = charts(spark, sf_dir).select("image_id", "height").where("image_id % 3 = 0")
+    shares = F.posexplode(F.array(*[F.lit(s) for s in (0.14, 0.38, 0.62, 0.86)])).alias("row_idx", "share")
+    return own.select("*", shares).select("image_id", "row_idx", F.expr("CAST(floor(share * height) AS INT) + image_id % 5 - 2").alias("y"))

@@ -10,9 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from chartwave.functions import chart, kernels
-from chartwave.operators import align, calibrate, layout, stats, tiles
-from chartwave.plans import classify, digitize
-from chartwave.sources import readers, sinks
+from chartwave.operators import align, calibrate, colour, layout, raster, stats, tallies, tiles
+from chartwave.plans import classify, deskew, digitize
+from chartwave.sources import adapters, readers, sinks
 from chartwave.streaming import jobs as stream
 
 
@@ -123,6 +123,62 @@ def test_digitize_a_whole_chart(spark):
     assert len(q) == 13 and all(r.finite_share > 0.8 and r.mask_pixels > 300 and r.score == 1.0 for r in q.values())
 
 
+def test_drawn_charts_come_back_with_and_without_labels_and_baselines(spark):
+    """Every lead of ten charts within three pixels of what was drawn; given baselines are the drawn rows."""
+    d, leads = "/root/testdata/sf0.001", chart.lead_dim(spark)
+    images = adapters.charts(spark, d)
+    made = deskew.colour_tiles(images, 128)
+    anchors = layout.label_anchors(adapters.chart_labels(spark, d), images.select("image_id", "width"))
+    samples, quality = digitize.run_tiles(made, leads, anchors, adapters.chart_baselines(spark, d), 128)
+    boxes, splits = digitize.segment(made, anchors, 128)
+    boxes = {(r.image_id, r.lead): r for r in boxes.collect()}
+    sizes = {r.image_id: (r.width, r.height) for r in images.select("image_id", "width", "height").collect()}
+    q = {(r.image_id, r.lead): r for r in quality.collect()}
+    assert len(sizes) == 10 and q.keys() == boxes.keys() == {(i, n) for i in sizes for n, *_ in chart.LEADS}
+    assert {r.image_id: r.method for r in splits.collect()} == {i: "equal-width" if i % 2 else "OCR" for i in sizes}
+    got = {}
+    for r in samples.collect():
+        got.setdefault((r.image_id, r.lead), []).append((r.idx, r.mv))
+    for (i, lead), own in got.items():
+        box, (rows, wave) = boxes[i, lead], adapters.chart_shape(i, *sizes[i])
+        row = rows[[n for n, *_ in chart.LEADS].index(lead) // 4]
+        at = np.linspace(box.fx1, box.fx2 - 1, len(own))
+        middle = slice(len(own) // 5, -len(own) // 10)
+        drawn = row - np.interp(at, np.arange(sizes[i][0]), wave)
+        found = q[i, lead].baseline + box.fy1 - np.array([v for _, v in sorted(own)]) * 118
+        assert np.abs(found - drawn)[middle].max() < 3, (i, lead)
+        assert q[i, lead].finite_share > 0.8 and (i % 3 or q[i, lead].baseline + box.fy1 == row)
+    assert len(got) == 130
+
+
+def test_digitising_black_images_and_none(spark):
+    """No ink: flat leads of equal width; no image: no row."""
+    black = spark.createDataFrame([("b", 64, 48, bytes(64 * 48 * 3)), ("s", 2, 2, bytes(12))], "image_id string, width int, height int, px binary")
+    samples, quality = digitize.run_tiles(deskew.colour_tiles(black, 16), chart.lead_dim(spark), tile=16)
+    rows = samples.where("image_id = 'b'").collect()
+    assert len({r.lead for r in rows}) == 13 and all(r.mv == r.norm == 0 for r in rows)
+    assert all((r.mask_pixels, r.finite_share) == (0, 0) for r in quality.collect())
+    samples, quality = digitize.run_tiles(deskew.colour_tiles(black.where("false"), 16), chart.lead_dim(spark), tile=16)
+    assert not samples.count() and not quality.count()
+
+
+def test_counts_of_tiles_equal_those_of_pixels(spark):
+    """Calibration, boxes' ink and percentiles from counts over tiles of 16 are those of pixel rows."""
+    rng = np.random.default_rng(4)
+    images = {"a": rng.integers(0, 256, (50, 70, 3), dtype=np.uint8), "b": np.zeros((130, 140, 3), np.uint8)}
+    images["b"][::8, :, 2] = images["b"][:, ::8, 2] = 200
+    pixels = pixels_of(spark, images)
+    made = tallies.colour_from_pixels(pixels, 16)
+    one, two = ({r.image_id: r.asDict() for r in f.collect()} for f in (calibrate.px_per_mm(pixels), calibrate.px_per_mm_of(made)))
+    assert one == two
+    boxes = spark.createDataFrame([("a", "I", 5, 3, 40, 45), ("a", "II", 20, 10, 70, 50), ("b", "I", 0, 0, 140, 130)], "image_id string, lead string, x1 long, y1 long, x2 long, y2 long")
+    gray = pixels.withColumn("gray", raster.gray_of()).join(boxes, "image_id").where("x >= x1 AND x < x2 AND y >= y1 AND y < y2")
+    cells = gray.select(F.concat_ws(" ", "image_id", "lead").alias("image_id"), (F.col("x2") - F.col("x1")).alias("width"), (F.col("y2") - F.col("y1")).alias("height"), (F.col("y") - F.col("y1")).alias("y"), (F.col("x") - F.col("x1")).alias("x"), "gray")
+    want = {r.image_id: (r.top, r.bottom) for r in colour.tight_bounds(cells).collect()}
+    got = {f"{r.image_id} {r.lead}": (r.top, r.bottom) for r in digitize.tight_rows(made, boxes).collect()}
+    assert got == want and len(got) == 3
+
+
 def test_column_splits_prefer_labels_then_lines(spark):
     anchors = spark.createDataFrame([(1, 100, [12, 40, 60, 90]), (2, 100, [2, 4, 60, 90]), (3, 100, None), (4, 100, [12, None, None, None])], "image_id int, width int, anchors array<bigint>")
     lines = spark.createDataFrame([(2, [24, 51, 77, 90]), (4, [1, 2, 3])], "image_id int, places array<bigint>")
