@@ -355,8 +355,7 @@ def deskewed_charts(spark, d):
 def digitized_charts(spark, d):
     """A chart drawn for each supplier, digitised, some with labels or baselines given: samples and quality of each lead."""
     made = deskew.colour_tiles(src.charts(spark, d), 128)
-    sizes = src.charts(spark, d).select("image_id", "width")
-    anchors = layout.label_anchors(src.chart_labels(spark, d), sizes)
+    anchors = layout.label_anchors(src.chart_labels(spark, d), src.chart_sizes(spark, d))
     samples, quality = digitize.run_tiles(made, chart.lead_dim(spark), anchors, src.chart_baselines(spark, d), 128)
     own = samples.groupBy("image_id", "lead").agg(F.count(F.lit(1)).alias("n"), F.sum("mv").alias("total_mv"), F.max("mv").alias("top_mv"), F.min("mv").alias("least_mv"))
     return rounded(own.join(quality, ["image_id", "lead"]), 4)

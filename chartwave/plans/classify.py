@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import chart, kernels
+from ..functions.held import held
 from ..operators import stats
 
 POINTS = 5000
@@ -42,16 +44,16 @@ def predict(signals: DataFrame, keys: list[str], model: Callable[[], Callable[[n
     rows = packed.withColumn("missing", F.array_join(missing, ","))
     stacked = F.when(F.col("missing") == "", F.flatten(F.array(*[F.try_element_at("m", F.lit(n)) for n in leads])))
 
+    key = uuid.uuid4().hex
+
     @F.pandas_udf("array<double>")
     def scores(batches: pd.Series) -> pd.Series:
-        global _MODEL
-        if "_MODEL" not in globals() or _MODEL[0] is not model:
-            _MODEL = (model, model())
+        judge = held(key, model)
         out: list = [None] * len(batches)
         for i, flat in enumerate(batches):
             if flat is not None:
                 x = np.asarray(flat, dtype=np.float32).reshape(len(leads), -1).T[None]
-                p = np.asarray(_MODEL[1](x))[0]
+                p = np.asarray(judge(x))[0]
                 if len(p) != len(classes):
                     raise ValueError(f"the model gave {len(p)} probabilities for {len(classes)} classes")
                 out[i] = p.astype(float).tolist()

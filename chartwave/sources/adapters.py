@@ -172,10 +172,15 @@ def chart_shape(key: int, width: int, height: int) -> tuple[np.ndarray, np.ndarr
     return (np.array([0.14, 0.38, 0.62, 0.86]) * height).astype(int) + key % 5 - 2, wave
 
 
-def charts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(image_id, width, height, px): for each supplier a drawn chart, bright on black: three rows of leads and a rhythm strip."""
+def chart_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image_id, width, height) of a chart for each supplier."""
     k = F.col("s_suppkey").cast("int")
-    keys = table(spark, sf_dir, "supplier").select(k.alias("image_id"), (360 + (k * 37) % 120).alias("width"), (260 + (k * 23) % 60).alias("height"))
+    return table(spark, sf_dir, "supplier").select(k.alias("image_id"), (360 + (k * 37) % 120).alias("width"), (260 + (k * 23) % 60).alias("height"))
+
+
+def charts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image_id, width, height, px): those charts drawn, bright on black: three rows of leads and a rhythm strip."""
+    keys = chart_sizes(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "image_id")
 
     def draw(batches):
         for batch in batches:
@@ -194,13 +199,13 @@ def charts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chart_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(image_id, x): places of the labels read on every other of those charts, a little beside the columns' middles."""
-    own = charts(spark, sf_dir).select("image_id", "width").where("image_id % 2 = 0")
+    own = chart_sizes(spark, sf_dir).where("image_id % 2 = 0")
     middle = F.expr("CAST((2 * i + 1) * width / 8 AS INT) + 2 * (image_id % 7) - 6")
     return own.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(3)))).select("image_id", middle.alias("x"))
 
 
 def chart_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(image_id, row_idx, y): baselines given for every third of those charts."""
-    own = charts(spark, sf_dir).select("image_id", "height").where("image_id % 3 = 0")
+    own = chart_sizes(spark, sf_dir).where("image_id % 3 = 0")
     shares = F.posexplode(F.array(*[F.lit(s) for s in (0.14, 0.38, 0.62, 0.86)])).alias("row_idx", "share")
     return own.select("*", shares).select("image_id", "row_idx", F.expr("CAST(floor(share * height) AS INT) + image_id % 5 - 2").alias("y"))

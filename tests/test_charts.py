@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from chartwave.functions import chart, kernels
+from chartwave.functions import chart, held, kernels
 from chartwave.operators import align, calibrate, colour, layout, raster, stats, tallies, tiles
 from chartwave.plans import classify, deskew, digitize
 from chartwave.sources import adapters, readers, sinks
@@ -222,6 +222,11 @@ def test_polyphase_keeps_a_slow_wave():
     assert kernels.polyphase(x, 1, 1) is x and len(kernels.polyphase(x, 2, 3)) == 267
 
 
+def test_a_model_is_made_once_in_a_worker():
+    made = []
+    assert [held.held(k, lambda: made.append(1) or len(made)) for k in ("a", "a", "b", "b")] == [1, 1, 2, 2] and list(held.HELD) == ["b"]
+
+
 def test_classification_with_a_given_model(spark):
     leads = ["I", "II", "Rhythm"]
     rows = [(1, n, [float(k) for k in range(50)]) for n in ("I", "II", "RHYTHM")] + [(2, "I", [1.0])]
