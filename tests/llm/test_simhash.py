@@ -1,5 +1,6 @@
 import math
 import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -175,3 +176,35 @@ def test_sketch_bounds_hold_for_the_worst_sizes():
         most = simhash.open_bits(width, 0.8)
         lost += sum(math.comb(width, k) * share**k * (1 - share) ** (width - k) for k in range(most + 1, width + 1))
     assert lost < 1e-4
+
+
+def exact_groups(sets, share=0.8):
+    """Smallest id reachable over pairs of sets of at least that similarity, by an inverted index of each set's rarest members."""
+    seen = Counter(h for own in sets.values() for h in own)
+    held, parent = defaultdict(list), {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in sorted(sets, key=lambda i: (len(sets[i]), i)):
+        n = len(sets[i])
+        rare = sorted(sets[i], key=lambda h: (seen[h], h))[: n - math.ceil(share * n - 1e-9) + 1] if n else [None]
+        for j in {j for h in rare for j in held[h] if len(sets[j]) >= share * n}:
+            both = len(sets[i] & sets[j])
+            if not n or both >= share * (n + len(sets[j]) - both):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+        for h in rare:
+            held[h].append(i)
+    return {i: root(i) for i in sets}
+
+
+def test_no_near_copy_of_a_whole_table_is_missed(spark):
+    """All documents of sf0.01 get the group that exact comparison of their five-word shingle sets gives."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets = {r.doc_id: set(simhash.shingle_hashes((r.text or "").encode(), 5).tolist()) for r in docs.collect()}
+    want = exact_groups(sets)
+    assert {r.doc_id: r.component_id for r in simhash.similar_texts(docs).collect()} == want
+    assert len(set(want.values())) < len(want) > 500
