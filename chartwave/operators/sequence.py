@@ -146,7 +146,8 @@ def resample(df: DataFrame, keys: list[str], n: int) -> DataFrame:
     at = F.col("place") * F.col("last") / F.lit(float(max(1, n - 1)))
     spine = spine.withColumn("spot", at).withColumn("i0", F.floor("spot")).withColumn("i1", F.ceil("spot"))
     low, high = (df.select(*keys, F.col("idx").alias(i), F.col("v").alias(v)) for i, v in (("i0", "v0"), ("i1", "v1")))
-    both = spine.join(low, [*keys, "i0"]).join(high, [*keys, "i1"])
+    # Spark takes the spine, made from one row for each signal, for as small as those: it must not be broadcast.
+    both = spine.hint("merge").join(low, [*keys, "i0"]).hint("merge").join(high.hint("merge"), [*keys, "i1"])
     value = F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("spot") - F.col("i0"))
     return both.select(*keys, F.col("place").alias("idx"), value.alias("v"))
 
