@@ -10,13 +10,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .regions import grids
-from .tiles import BORDERS, NAMES, batch_of, schema_of
+from .tiles import BORDERS, NAMES, batch_of, packed, schema_of
 
 
 def cell_share(start: int, count: int, n: int, cells: int) -> np.ndarray:
@@ -30,19 +29,16 @@ def cell_share(start: int, count: int, n: int, cells: int) -> np.ndarray:
     return out
 
 
-def curve(counts: np.ndarray, clip: float) -> np.ndarray:
-    """The level that each level becomes in a cell: running counts after what exceeds the limit is dealt out evenly."""
-    area = int(counts.sum())
-    limit = max(1, int(clip * area / 256))
-    kept = np.minimum(counts, limit)
-    excess = int((counts - kept).sum())
-    kept = kept + excess // 256
+def curves_of(counts: np.ndarray, clip: float) -> np.ndarray:
+    """The level that each level becomes in each cell (cells, 256): running counts after what exceeds the limit is dealt out evenly."""
+    area = counts.sum(axis=1, keepdims=True)
+    kept = np.minimum(counts, np.maximum(1, (clip * area / 256).astype(np.int64)))
+    excess = (counts - kept).sum(axis=1, keepdims=True)
     rest = excess % 256
-    if rest:
-        step = max(1, 256 // rest)
-        at = np.arange(0, 256, step)[:rest]
-        kept[at] += 1
-    return np.minimum(np.rint(np.cumsum(kept) * (255.0 / max(1, area))), 255)
+    step = np.maximum(1, 256 // np.maximum(rest, 1))
+    gray = np.arange(256)
+    kept = kept + excess // 256 + ((gray % step == 0) & (gray // step < rest))
+    return np.minimum(np.rint(np.cumsum(kept, axis=1) * (255.0 / np.maximum(1, area))), 255)
 
 
 def blend(start: int, count: int, n: int, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,30 +56,30 @@ def local_contrast(tiles: DataFrame, clip: float = 2.0, cells: int = 8) -> DataF
         for batch in batches:
             for i, width, height, y0, x0, grid in grids(batch):
                 rows, columns = cell_share(y0, grid.shape[0], height, cells), cell_share(x0, grid.shape[1], width, cells)
-                found = []
-                for ty in np.flatnonzero(rows.any(axis=1)):
-                    for tx in np.flatnonzero(columns.any(axis=1)):
-                        y, x = np.flatnonzero(rows[ty]), np.flatnonzero(columns[tx])
-                        part = grid[np.ix_(y, x)]
-                        n = np.bincount(part.ravel(), np.outer(rows[ty, y], columns[tx, x]).ravel(), 256).astype(np.int64)
-                        levels = np.flatnonzero(n)
-                        found.append((np.full(len(levels), ty * cells + tx), levels, n[levels]))
-                columns_ = [pa.array(np.concatenate([f[k] for f in found]), pa.int64()) for k in range(3)]
+                (ty, y), (tx, x) = np.nonzero(rows), np.nonzero(columns)
+                at = (ty[:, None] * cells + tx) * 256 + grid[y[:, None], x]
+                n = np.bincount(at.ravel(), np.outer(rows[ty, y], columns[tx, x]).ravel())
+                own = np.flatnonzero(n)
+                columns_ = [pa.array(c) for c in (own // 256, own % 256, n[own].astype(np.int64))]
                 yield pa.RecordBatch.from_arrays([pa.array([i] * len(columns_[0]), batch.schema.field(0).type), *columns_], names=["image_id", "cell", "gray", "n"])
 
-    counts = tiles.select("image_id", *NAMES, "px").mapInArrow(count, f"image_id {kind}, cell long, gray long, n long").groupBy("image_id", "cell", "gray").agg(F.sum("n").alias("n"))
+    counts = tiles.select("image_id", *NAMES, "px").mapInArrow(lambda batches: packed(count(batches)), f"image_id {kind}, cell long, gray long, n long").groupBy("image_id", "cell", "gray").agg(F.sum("n").alias("n"))
 
-    @F.pandas_udf("binary")
-    def curves(all_counts: pd.Series) -> pd.Series:
-        def of_image(rows) -> bytes:
-            table = np.zeros((cells * cells, 256), dtype=np.int64)
-            for r in rows:
-                table[r["cell"], r["gray"]] = r["n"]
-            return np.stack([curve(t, clip) for t in table]).astype(np.uint8).tobytes()
+    # A count as one number: (cell * 256 + gray) * 2^40 + n.
+    coded = ((F.col("cell") * 256 + F.col("gray")) * (1 << 40) + F.col("n")).alias("c")
+    held = counts.select("image_id", coded).groupBy("image_id").agg(F.collect_list("c").alias("all"))
 
-        return pd.Series([of_image(rows) for rows in all_counts])
+    def curves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends, flat = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy()
+            for k in range(batch.num_rows):
+                at, n = np.divmod(flat[ends[k] : ends[k + 1]], 1 << 40)
+                table = np.zeros(cells * cells * 256, dtype=np.int64)
+                table[at] = n
+                own = curves_of(table.reshape(-1, 256), clip).astype(np.uint8).tobytes()
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([own], pa.binary())], names=["image_id", "curves"])
 
-    made = counts.groupBy("image_id").agg(F.collect_list(F.struct("cell", "gray", "n")).alias("all")).select("image_id", curves("all").alias("curves"))
+    made = held.mapInArrow(lambda batches: packed(curves(batches)), f"image_id {kind}, curves binary")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,4 +93,4 @@ def local_contrast(tiles: DataFrame, clip: float = 2.0, cells: int = 8) -> DataF
                 data = np.rint(np.round(out, 6)).astype(np.uint8).tobytes()
                 yield batch_of([i], [(width, height, y0, x0, *grid.shape)], [data], batch.schema.field(0).type)
 
-    return tiles.join(made, "image_id").select("image_id", *NAMES, "px", "curves").mapInArrow(apply, schema_of(tiles))
+    return tiles.join(made.hint("merge"), "image_id").select("image_id", *NAMES, "px", "curves").mapInArrow(lambda batches: packed(apply(batches)), schema_of(tiles))
