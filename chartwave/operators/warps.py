@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tiles import SIZE, batch_of, schema_of
+from .tiles import SIZE, batch_of, by_groups, packed, schema_of
 
 
 def turned(images: DataFrame) -> DataFrame:
@@ -104,9 +104,9 @@ def warp(tiles: DataFrame, maps: DataFrame, repeat: bool = True, tile: int = SIZ
                 own = [pa.array([x[k] for x in rows], pa.int32()) for k in range(8)]
                 yield pa.RecordBatch.from_arrays([*fixed, *own], names=["image_id", *(c.split()[0] for c in ask.split(", "))])
 
-    asks = jobs.select("image_id", "m", "out_w", "out_h", "width", "height", "side", "across").mapInArrow(needs, f"image_id {kind}, {ask}")
+    asks = jobs.select("image_id", "m", "out_w", "out_h", "width", "height", "side", "across").mapInArrow(lambda batches: packed(needs(batches)), f"image_id {kind}, {ask}")
     source = tiles.select("image_id", F.col("y0").alias("ty"), F.col("x0").alias("tx"), "h", "w", "px")
-    met = asks.join(source, ["image_id", "ty", "tx"])
+    met = asks.hint("merge").join(source, ["image_id", "ty", "tx"])
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,7 +123,7 @@ def warp(tiles: DataFrame, maps: DataFrame, repeat: bool = True, tile: int = SIZ
     order = ["image_id", *(c.split()[0] for c in ask.split(", ")), "h", "w", "px"]
     cut = met.select(*order).mapInArrow(part, f"image_id {kind}, {ask}, h int, w int, px binary")
 
-    def build(parts: pa.Table) -> pa.Table:
+    def build(parts: pa.Table) -> pa.RecordBatch:
         rows = parts.to_pylist()
         first = rows[0]
         oy, ox, width, height, out_w, out_h = (first[c] for c in ("oy", "ox", "width", "height", "out_w", "out_h"))
@@ -148,9 +148,9 @@ def warp(tiles: DataFrame, maps: DataFrame, repeat: bool = True, tile: int = SIZ
                     value = np.where((a >= 0) & (a < height) & (b >= 0) & (b < width), value, 0.0)
                 out += (fy if dy else 1 - fy) * (fx if dx else 1 - fx) * value
         gray = np.where(real, np.floor(np.round(out, 6) + 0.5), 0).astype(np.uint8)
-        return pa.Table.from_batches([batch_of([first["image_id"]], [(out_w, out_h, oy, ox, h, w)], [gray.tobytes()], parts.schema.field("image_id").type)])
+        return batch_of([first["image_id"]], [(out_w, out_h, oy, ox, h, w)], [gray.tobytes()], parts.schema.field("image_id").type)
 
-    return cut.groupBy("image_id", "oy", "ox").applyInArrow(build, schema_of(tiles))
+    return by_groups(cut, ["image_id", "oy", "ox"], build, schema_of(tiles))
 
 
 def cropped(boxes: DataFrame) -> DataFrame:
