@@ -18,14 +18,19 @@ from pyspark.sql import functions as F
 
 from . import regions
 from .edges import simplified
-from .tiles import SIZE, around
+from .tiles import SIZE, around, by_groups, packed
 
 #: Directions of steps: right, down, left, up, as (dy, dx).
 STEPS = np.array([(0, 1), (1, 0), (0, -1), (-1, 0)])
 
 
 def chained(y: np.ndarray, x: np.ndarray, d: np.ndarray) -> list[np.ndarray]:
-    """The closed rings of unit sides, each as its corners (x, y) in order from its first corner in reading order.
+    """The closed rings of unit sides, each as its corners (x, y) in order from its first corner in reading order."""
+    return [ring for _, ring in rings_of(y, x, d)]
+
+
+def rings_of(y: np.ndarray, x: np.ndarray, d: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """The same, each with the place of its first side.
 
     Where two rings touch at a corner a ring turns left, so pixels that touch there belong to one ring.
     """
@@ -50,7 +55,7 @@ def chained(y: np.ndarray, x: np.ndarray, d: np.ndarray) -> list[np.ndarray]:
                 at = nexts[at]
             ring = np.array(ring)
             turns = ring[d[ring] != d[np.roll(ring, 1)]]
-            rings.append(np.stack([x[turns], y[turns]], axis=1))
+            rings.append((k, np.stack([x[turns], y[turns]], axis=1)))
     return rings
 
 
@@ -65,7 +70,8 @@ def outlines(mask: DataFrame, tile: int = SIZE) -> DataFrame:
 
     label names the component as regions.regions does.  Ring 0 is its outer outline, the others are
     its holes, in reading order; area is what a ring encloses in pixels, length its sides, corners
-    the (x, y) where it turns.  A task holds the sides of one component, never its pixels.
+    the (x, y) where it turns.  A task holds the sides of one component, or of several of an image,
+    never their pixels: components are dealt to one piece for each 2^21 pixels of their image.
     """
     kind = dict(mask.dtypes)["image_id"]
     _, parts = regions.regions(mask)
@@ -83,7 +89,7 @@ def outlines(mask: DataFrame, tile: int = SIZE) -> DataFrame:
 
     def own_sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, width, _, y0, x0, grid in regions.grids(batch):
+            for i, width, height, y0, x0, grid in regions.grids(batch):
                 (row, start, stop), seed = regions.local_seeds(grid != 0, width, y0, x0)
                 at, column = regions.spread(start, stop)
                 y, x, s, bits = row[at], column, seed[at], grid[row[at], column]
@@ -92,23 +98,30 @@ def outlines(mask: DataFrame, tile: int = SIZE) -> DataFrame:
                     edge = bits & open_ == 0
                     found.append((s[edge], y[edge] + oy + y0, x[edge] + ox + x0, np.full(int(edge.sum()), d)))
                 columns = [np.concatenate([f[k] for f in found]) for k in range(4)]
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array([i] * len(columns[0]), batch.schema.field(0).type), *(pa.array(c.astype(k.to_pandas_dtype())) for c, k in zip(columns, kinds))], names=["image_id", "seed", "y", "x", "d"])
-
-    steps = marked.mapInArrow(own_sides, f"image_id {kind}, seed long, y int, x int, d int").join(parts.select("image_id", "seed", "label"), ["image_id", "seed"])
-
-    def follow(part: pa.Table) -> pa.Table:
-        rings = chained(*(part[c].to_numpy().astype(np.int64) for c in ("y", "x", "d")))
-        areas = [ring_area(r) for r in rings]
-        order = sorted(range(len(rings)), key=lambda k: (areas[k] < 0, k))
-        length = [int(np.abs(np.roll(rings[k], -1, axis=0) - rings[k]).sum()) for k in order]
-        n = len(order)
-        fixed = [pa.array([part[c][0].as_py()] * n, part.schema.field(c).type) for c in ("image_id", "label")]
-        own = [pa.array(range(n), pa.int32()), pa.array([areas[k] < 0 for k in order]), pa.array([abs(areas[k]) for k in order], pa.int64()), pa.array(length, pa.int64())]
-        return pa.table([*fixed, *own, pa.array([rings[k].tolist() for k in order], pa.list_(pa.list_(pa.int32())))], names=["image_id", "label", "ring", "hole", "area", "length", "corners"])
+                columns.append(np.full(len(columns[0]), 1 + (width * height >> 21)))
+                kinds = (pa.int64(), *[pa.int32()] * 4)
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(columns[0]), batch.schema.field(0).type), *(pa.array(c.astype(k.to_pandas_dtype())) for c, k in zip(columns, kinds))], names=["image_id", "seed", "y", "x", "d", "pieces"])
+
+    steps = marked.mapInArrow(lambda batches: packed(own_sides(batches)), f"image_id {kind}, seed long, y int, x int, d int, pieces int").join(parts.select("image_id", "seed", "label").hint("merge"), ["image_id", "seed"])
+    steps = steps.withColumn("piece", F.pmod(F.xxhash64("label"), F.col("pieces")))
+
+    def follow(part: pa.Table) -> pa.RecordBatch:
+        labels = part["label"].to_numpy()
+        # Components of one image have no corner in common, so their sides are chained together.
+        found = rings_of(*(part[c].to_numpy().astype(np.int64) for c in ("y", "x", "d")))
+        rings = [(int(labels[k]), ring_area(r), r) for k, r in found]
+        order = sorted(range(len(rings)), key=lambda k: (rings[k][0], rings[k][1] < 0, k))
+        own, area, held = zip(*[rings[k] for k in order])
+        place = np.arange(len(own)) - np.searchsorted(own, own, "left")
+        length = [int(np.abs(np.diff(r, axis=0, append=r[:1])).sum()) for r in held]
+        corners = np.concatenate(held).astype(np.int32)
+        points = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(corners) + 1, 2, dtype=np.int32)), pa.array(corners.ravel()))
+        ends = np.r_[0, np.cumsum([len(r) for r in held])].astype(np.int32)
+        columns = [pa.array(own, pa.int64()), pa.array(place.astype(np.int32)), pa.array(np.array(area) < 0), pa.array(np.abs(area).astype(np.int64)), pa.array(length, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), points)]
+        return pa.RecordBatch.from_arrays([pa.repeat(part["image_id"][0], len(own)), *columns], names=["image_id", "label", "ring", "hole", "area", "length", "corners"])
 
     schema = f"image_id {kind}, label long, ring int, hole boolean, area long, length long, corners array<array<int>>"
-    return steps.groupBy("image_id", "label").applyInArrow(follow, schema)
+    return by_groups(steps.select("image_id", "piece", "label", "y", "x", "d"), ["image_id", "piece"], follow, schema)
 
 
 def polygons(rings: DataFrame, share: float = 0.02) -> DataFrame:
