@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..plans.store import stored
+from ..plans.store import dropped, stored
 from . import matching, sequence, stats
 
 
@@ -80,10 +80,12 @@ def align(truth: DataFrame, paper: DataFrame, keys: list[str], hz: float, paper_
     Samples are counted at hz.  Pairs of which one side is missing have no row.
     """
     paper = at_rate(paper, keys, paper_hz or hz, hz)
-    truth, paper = (sequence.baseline_corrected(df, keys, hz) for df in (truth, paper))
-    fit = horizontal(truth, paper, keys, hz)
-    pairs = laid_over(truth, paper, fit, keys)
-    gains = stats.trimmed_gain_fit(pairs.where("est IS NOT NULL"), keys)
+    # Each step is needed more than once by those after it, so it is written.
+    truth, paper = (stored(sequence.baseline_corrected(df, keys, hz)) for df in (truth, paper))
+    fit = stored(horizontal(truth, paper, keys, hz))
+    pairs = stored(laid_over(truth, paper, fit, keys))
+    gains = stored(stats.trimmed_gain_fit(pairs.where("est IS NOT NULL"), keys))
+    dropped(truth, paper)
     errors = aligned_metrics(pairs, gains, keys)
     out = fit.withColumnRenamed("offset", "offset_samples").join(gains.withColumnRenamed("offset", "v_offset"), keys, "left").join(errors, keys, "left")
     return out.withColumn("offset_ms", 1000 * F.col("offset_samples") / hz)
