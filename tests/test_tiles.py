@@ -252,6 +252,8 @@ def test_tiles_put_together(spark):
     made = deskew.colour_tiles(spark.createDataFrame([("a", 90, 70, a.tobytes())], IMAGES), 16)
     for size in (128, 40, 7):
         back = tiles.retiled(made, size).collect()
+        again = {(r.y0, r.x0): r.px for r in tiles.cut(tiles.retiled(made, 40), 8).collect()}
+        assert again == {(r.y0, r.x0): r.px for r in tiles.cut(made, 8).collect()} and len(again) == 9 * 12
         assert len(back) == -(-70 // size) * -(-90 // size)
         for r in back:
             assert (np.frombuffer(r.px, dtype=np.uint8).reshape(r.h, r.w, 3) == a[r.y0 : r.y0 + r.h, r.x0 : r.x0 + r.w]).all() and (r.width, r.height) == (90, 70)
